@@ -88,14 +88,15 @@ def scientific_entries(part2: DataFrame) -> DataFrame:
 
 
 def edge_keys(word: Column) -> Column:
-    """Blocking keys of a word: its first three letters and its last six (four if it is short).
+    """Blocking keys of a word: its first three letters, its last six (four if it is short) and all but three at each end.
 
-    One edit never breaks both ends, two edits rarely do.
+    One edit never breaks them all, two edits rarely do.
     """
     n = F.length(word)
     tail = F.concat(F.right(word, F.lit(6)), F.lit("$"))
     short = F.when(n < 12, F.concat(F.right(word, F.lit(4)), F.lit("$")))
-    return F.array_compact(F.array(F.concat(F.lit("^"), F.left(word, F.lit(3))), tail, short))
+    middle = F.when(n > 8, F.concat(F.lit("~"), word.substr(F.lit(4), n - 6)))
+    return F.array_compact(F.array(F.concat(F.lit("^"), F.left(word, F.lit(3))), middle, tail, short))
 
 
 def plants(entries: DataFrame) -> DataFrame:
@@ -131,23 +132,26 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     exact: same genus and epithet. near: epithet within two edits sharing an
     edge and genus within two, three in all, the closest if unique. initial:
     only the genus's first letter is known. genus-near: a genus alone within
-    one edit of exactly one genus with an own entry. What is left is unmatched.
+    two edits of exactly one genus with an own entry. What is left is unmatched.
+    A genus spelled exactly as one of the volume is never taken for another.
     """
     keys = ["volume_id", "genus", "epithet"]
     names = names.select(*keys).distinct()
     exact = names.join(plant_table, keys).select(*keys, "plant_id", F.lit("exact").alias("rule"))
     rest = names.join(plant_table.select(*keys), keys, "left_anti")
+    known = plant_table.select("volume_id", "genus").distinct().withColumn("_known", F.lit(True))
+    rest = rest.join(known, ["volume_id", "genus"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     full = rest.where(F.col("epithet") != "")
-    cut = full.select(*keys, F.explode(edge_keys(F.col("epithet"))).alias("_v"))
+    cut = full.select(*keys, "_known", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
     p = plant_table.where(F.col("epithet") != "").select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
     pairs = cut.join(p, ["volume_id", "_v"]).drop("_v")
-    long = pairs.where(F.length("genus") > 1).withColumn(
+    long = pairs.where((F.length("genus") > 1) & (~F.col("_known") | (F.col("genus") == F.col("_g")))).withColumn(
         "_d", F.expr("case when levenshtein(genus, _g, 2) < 0 or levenshtein(epithet, _e, 2) < 0 then null else levenshtein(genus, _g, 2) + levenshtein(epithet, _e, 2) end")
     )
     near = _unique_best(long.where(F.col("_d") <= 3), "near")
     short = pairs.where((F.length("genus") == 1) & F.col("_g").startswith(F.col("genus"))).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)"))
     initial = _unique_best(short.where(F.col("_d") >= 0), "initial")
-    alone = rest.where((F.col("epithet") == "") & (F.length("genus") > 1)).select(*keys, F.explode(delete_one("genus")).alias("_v"))
+    alone = rest.where((F.col("epithet") == "") & (F.length("genus") > 1) & ~F.col("_known")).select(*keys, F.explode(delete_one("genus")).alias("_v"))
     heads = plant_table.where(F.col("epithet") == "").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(delete_one("genus")).alias("_v"))
     g = alone.join(heads, ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
     genus_near = _unique_best(g.where(F.col("_d") >= 0), "genus-near")
