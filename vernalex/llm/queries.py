@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernalex.llm import linking
+from vernalex.llm import canonical, groups, linking
 from vernalex.sources.tables import read
 
 
@@ -18,8 +18,27 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_links": p3_links}
+    return {
+        "p2_found": canonical.p2_found,
+        "p2_unmatched": canonical.p2_unmatched,
+        "p3_found": p3_found,
+        "p3_links": p3_links,
+        "p5_found": groups.p5_found,
+        "p5_group_sizes": groups.p5_group_sizes,
+    }
+
+
+P5 = """
+with recursive e as (
+  select left_seq a, right_seq b from match_pairs where is_match and left_seq is not null and right_seq is not null
+  union select right_seq, left_seq from match_pairs where is_match and left_seq is not null and right_seq is not null),
+reach(id, other) as (select a, a from e union select r.id, e.b from reach r join e on e.a = r.other),
+g as (select id record_id, min(other) group_id from reach group by id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": P5 + "select group_id, record_id from g",
+        "p5_group_sizes": P5 + ", s as (select group_id, count(*) n_records from g group by 1) select n_records, count(*) n_groups from s group by 1",
+    }
