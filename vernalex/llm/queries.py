@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernalex.llm import canonical, groups, linking
+from vernalex.llm import canonical, groups, leakage, linking
 from vernalex.sources.tables import read
 
 
@@ -25,6 +25,9 @@ def queries() -> dict:
         "p3_links": p3_links,
         "p5_found": groups.p5_found,
         "p5_group_sizes": groups.p5_group_sizes,
+        "p6_found": leakage.p6_found,
+        "p6_leaks": leakage.p6_leaks,
+        "p6_items": leakage.p6_items,
     }
 
 
