@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there (reliable, survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the checkpoint folder and go on from the written table.
+
+    The folder is shared, so a lost executor costs only its running tasks; unlike an eager
+    ``checkpoint()`` the rows are computed once. Tables of a session go when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(path: str) -> None:
+    local = path.removeprefix("file:")
+    if "://" not in local.lstrip("/"):
+        shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = 200_000, how: str = "inner") -> DataFrame:
