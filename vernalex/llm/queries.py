@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernalex.llm import abuse, canonical, groups, leakage, linking
+from vernalex.llm import abuse, canonical, groups, leakage, linking, mixing
 from vernalex.sources.tables import read
 
 
@@ -28,6 +28,8 @@ def queries() -> dict:
         "p6_found": leakage.p6_found,
         "p6_leaks": leakage.p6_leaks,
         "p6_items": leakage.p6_items,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
         "p8_found": abuse.p8_found,
         "p8_scores": abuse.p8_scores,
         "p8_rates": abuse.p8_rates,
