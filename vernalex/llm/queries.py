@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernalex.llm import abuse, canonical, groups, leakage, linking, mixing
+from vernalex.llm import abuse, canonical, groups, leakage, linking, mixing, noise
 from vernalex.sources.tables import read
 
 
@@ -19,6 +19,8 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_found": noise.p1_found,
+        "p1_repaired": noise.p1_repaired,
         "p2_found": canonical.p2_found,
         "p2_unmatched": canonical.p2_unmatched,
         "p3_found": p3_found,
