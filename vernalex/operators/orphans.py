@@ -78,7 +78,7 @@ def plant_references(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, Dat
     entries = scientific_entries(part2)
     p1 = first_deliveries(part1, "seq", "volume_id", "taxa", "recorded_at")
     c = citations(p1, "seq", keep=("volume_id", "recorded_at")).where(F.col("kind").isin("full", "genus"))
-    refs = c.select("seq", "pos", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"), F.col("recorded_at").alias("at"))
+    refs = cut(c.select("seq", "pos", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"), F.col("recorded_at").alias("at")))
     spelled = plants(entries)
     resolved = resolve_names(refs, spelled)
     of_plant = entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", "recorded_at", "withdrawn_at")

@@ -2,7 +2,8 @@
 
 A plant is a cluster of scientific entries of one volume whose genus and
 epithet agree up to spelling. Citations are resolved by successive exact joins
-on weaker keys; each pass takes only what the passes before left over.
+on weaker keys; each pass takes only what the passes before left over. Tables
+that several passes read are written once (``cut``), which keeps plans small.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vernalex.functions.text import deaccent, delete_one, letters_key, phonetic
 from vernalex.operators.carry import carry_down
+from vernalex.plans.lineage import cut
 from vernalex.sources.tables import first_deliveries
 
 # Words that stand where an epithet is not given.
@@ -83,8 +85,8 @@ def scientific_entries(part2: DataFrame) -> DataFrame:
         "epithet": F.coalesce(name_key(F.get(words, F.lit(1))), F.lit("")),
         "page": F.coalesce("page", F.lit(0)),
     })
-    e = carry_down(e, "_own", "seq", ["volume_id"], "page", "_open")
-    return e.select("volume_id", "seq", F.coalesce("_own", "_open").alias("genus"), "epithet", "vernaculars", "recorded_at", "withdrawn_at")
+    e = carry_down(cut(e), "_own", "seq", ["volume_id"], "page", "_open")
+    return cut(e.select("volume_id", "seq", F.coalesce("_own", "_open").alias("genus"), "epithet", "vernaculars", "recorded_at", "withdrawn_at"))
 
 
 def edge_keys(word: Column) -> Column:
@@ -105,7 +107,7 @@ def plants(entries: DataFrame) -> DataFrame:
     (volume_id, genus, epithet, plant_id): spellings of one genus within two
     edits that share an edge are one plant, whose id is the smallest seq among them.
     """
-    spellings = entries.where(F.col("genus").isNotNull()).groupBy("volume_id", "genus", "epithet").agg(F.min("seq").alias("_seq"))
+    spellings = cut(entries.where(F.col("genus").isNotNull()).groupBy("volume_id", "genus", "epithet").agg(F.min("seq").alias("_seq")))
     k = spellings.where(F.col("epithet") != "").select("volume_id", "genus", "epithet", "_seq", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
     other = k.select("volume_id", "genus", "_v", F.col("epithet").alias("_e2"), F.col("_seq").alias("_s2"))
     near = (
@@ -114,9 +116,8 @@ def plants(entries: DataFrame) -> DataFrame:
         .groupBy("volume_id", "genus", "epithet")
         .agg(F.min("_s2").alias("_s2"))
     )
-    return spellings.join(near, ["volume_id", "genus", "epithet"], "left").select(
-        "volume_id", "genus", "epithet", F.coalesce("_s2", "_seq").alias("plant_id")
-    )
+    out = spellings.join(near, ["volume_id", "genus", "epithet"], "left")
+    return cut(out.select("volume_id", "genus", "epithet", F.coalesce("_s2", "_seq").alias("plant_id")))
 
 
 def _unique_best(cand: DataFrame, rule: str) -> DataFrame:
@@ -136,11 +137,12 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     A genus spelled exactly as one of the volume is never taken for another.
     """
     keys = ["volume_id", "genus", "epithet"]
-    names = names.select(*keys).distinct()
+    names = cut(names.select(*keys).distinct())
     exact = names.join(plant_table, keys).select(*keys, "plant_id", F.lit("exact").alias("rule"))
     rest = names.join(plant_table.select(*keys), keys, "left_anti")
     known = plant_table.select("volume_id", "genus").distinct().withColumn("_known", F.lit(True))
     rest = rest.join(known, ["volume_id", "genus"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    rest = cut(rest)
     full = rest.where(F.col("epithet") != "")
     cut = full.select(*keys, "_known", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
     p = plant_table.where(F.col("epithet") != "").select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
@@ -155,7 +157,7 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     heads = plant_table.where(F.col("epithet") == "").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(delete_one("genus")).alias("_v"))
     g = alone.join(heads, ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
     genus_near = _unique_best(g.where(F.col("_d") >= 0), "genus-near")
-    return exact.unionByName(near).unionByName(initial).unionByName(genus_near)
+    return cut(exact.unionByName(near).unionByName(initial).unionByName(genus_near))
 
 
 def vernacular_key(c: Column | str) -> Column:
