@@ -144,9 +144,9 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     rest = rest.join(known, ["volume_id", "genus"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     rest = cut(rest)
     full = rest.where(F.col("epithet") != "")
-    cut = full.select(*keys, "_known", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
+    split = full.select(*keys, "_known", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
     p = plant_table.where(F.col("epithet") != "").select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
-    pairs = cut.join(p, ["volume_id", "_v"]).drop("_v")
+    pairs = split.join(p, ["volume_id", "_v"]).drop("_v")
     long = pairs.where((F.length("genus") > 1) & (~F.col("_known") | (F.col("genus") == F.col("_g")))).withColumn(
         "_d", F.expr("case when levenshtein(genus, _g, 2) < 0 or levenshtein(epithet, _e, 2) < 0 then null else levenshtein(genus, _g, 2) + levenshtein(epithet, _e, 2) end")
     )
