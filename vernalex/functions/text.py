@@ -40,8 +40,10 @@ def col(c: Column | str) -> Column:
 
 
 def deaccent(c: Column | str) -> Column:
-    """Strip accents of Latin letters and combining marks; other characters stay."""
-    return F.regexp_replace(F.translate(col(c), ACCENTED, PLAIN), "[\u0300-\u036f]", "")
+    """Strip accents of Latin letters and combining marks; other characters stay. Plain ASCII is left alone at once."""
+    x = col(c)
+    folded = F.regexp_replace(F.translate(x, ACCENTED, PLAIN), "[\u0300-\u036f]", "")
+    return F.when(x.rlike(r"[^\x00-\x7F]"), folded).otherwise(x)
 
 
 def squash(c: Column | str) -> Column:

@@ -83,16 +83,15 @@ def dedent(line: Column, margin: Column) -> Column:
 
 
 def restore_initial(line: Column) -> Column:
-    """A lost or damaged initial of an abbreviated genus becomes `?. `; the first rule that fits wins."""
+    """A lost or damaged initial of an abbreviated genus becomes `?. `; the first rule that fits wins, a sound one (`A. `) stays."""
     two_capitals = r"(?=[A-Za-z\u00e9\-]*[A-Z\u00c9][A-Za-z\u00e9\-]*[A-Z\u00c9])"
     lost = r"^[\s>\u00ab\u00bb'\"|]*\.\s+(?=[A-Z\u00c9]|[a-z\u00e9]{1,3}[A-Z\u00c9])"
     damaged = rf"^\s*[A-Za-z&>\u00ab\u00bb|]{{0,6}}[^A-Za-z\s.][A-Za-z&>\u00ab\u00bb|]{{0,6}}\.\s+{two_capitals}"
-    short = rf"^\s*[A-Za-z]{{1,2}}\.\s+{two_capitals}[A-Za-z\u00e9\-]{{4,}}"
+    short = rf"^\s*(?![A-Z]\.\s)[A-Za-z]{{1,2}}\.\s+(?={two_capitals}[A-Za-z\u00e9\-]{{4,}})"
     shifted = r"^\s{1,4}(?=[A-Z\u00c9]{4,}\s+[A-Z\u00c9][a-z\u00e9.])"
     out = line
     for rule in (shifted, short, damaged, lost):
-        swap = F.regexp_replace(line, rule if rule != short else rf"^\s*[A-Za-z]{{1,2}}\.\s+(?={two_capitals[3:-1]})", "?. ")
-        out = F.when(line.rlike(rule), swap).otherwise(out)
+        out = F.when(line.rlike(rule), F.regexp_replace(line, rule, "?. ")).otherwise(out)
     return out
 
 

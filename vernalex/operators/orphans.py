@@ -77,8 +77,10 @@ def plant_references(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, Dat
     """(references, targets) of part1.taxa to the scientific entries of the plant."""
     entries = scientific_entries(part2)
     p1 = first_deliveries(part1, "seq", "volume_id", "taxa", "recorded_at")
-    c = citations(p1, "seq", keep=("volume_id", "recorded_at")).where(F.col("kind").isin("full", "genus"))
-    refs = cut(c.select("seq", "pos", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"), F.col("recorded_at").alias("at")))
+    c = citations(p1, "seq", keep=("volume_id", "recorded_at"))
+    # written before it is filtered: a filter pushed below the parser would parse every name again
+    c = cut(c.select("seq", "pos", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"), F.col("recorded_at").alias("at"), "kind"))
+    refs = c.where(F.col("kind").isin("full", "genus")).drop("kind")
     spelled = plants(entries)
     resolved = resolve_names(refs, spelled)
     of_plant = entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", "recorded_at", "withdrawn_at")
@@ -105,14 +107,14 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
     refs1, targets1 = plant_references(part1, part2)
     judged1 = judge_references(refs1, targets1, ["volume_id", "genus", "epithet"], ["seq", "pos"])
     refs2, targets2 = correction_references(corrections, part1)
-    key2 = ["volume_id", "page", "head", "cited"]
-    judged2 = judge_references(refs2, targets2, key2, ["correction_id", "pos"])
+    refs2 = cut(refs2)
+    standing = cut(refs2.join(targets2, ["volume_id", "page", "head", "cited"]).select("correction_id", "pos", "at", "seq", "recorded_at", "withdrawn_at"))
+    judged2 = judge_references(refs2, standing.drop("at"), ["correction_id", "pos"], ["correction_id", "pos"])
     month = F.date_format("at", "yyyy-MM").alias("year_month")
     first = judged1.where(F.col("reason").isNotNull()).select(F.lit("part1_vernacular").alias("src_table"), F.col("seq").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), month, "reason")
     second = judged2.where(F.col("reason").isNotNull()).select(F.lit("taxa_corrections").alias("src_table"), F.col("correction_id").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), month, "reason")
     direct = cut(first.unionByName(second))
-    holding = refs2.join(targets2.drop("recorded_at", "withdrawn_at"), key2).select(F.lit("taxa_corrections").alias("table"), F.col("correction_id").alias("id"), F.lit("part1_vernacular").alias("parent_table"), F.col("seq").alias("parent_id"), "pos", month)
-    edges = cut(holding)
+    edges = cut(standing.select(F.lit("taxa_corrections").alias("table"), F.col("correction_id").alias("id"), F.lit("part1_vernacular").alias("parent_table"), F.col("seq").alias("parent_id"), "pos", month))
     cascade = orphan_cascade(direct.select(F.col("src_table").alias("table"), F.col("ref_id").alias("id")), edges)
     up = cascade.select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"), F.col("depth").alias("_up"))
     inherited = (

@@ -8,12 +8,14 @@ that several passes read are written once (``cut``), which keeps plans small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vernalex.functions.text import deaccent, delete_one, letters_key, phonetic
 from vernalex.operators.carry import carry_down
-from vernalex.plans.lineage import cut
+from vernalex.plans.lineage import cut, small
 from vernalex.sources.tables import first_deliveries
 
 # Words that stand where an epithet is not given.
@@ -23,31 +25,38 @@ NO_EPITHET = ("SP", "SPP", "SPEC", "SPECIES", "INDET")
 def name_key(word: Column) -> Column:
     """Upper-case letters of a name's word; a run of anything else becomes one `#`."""
     w = F.regexp_replace(word, r"^[\s'\"(]+|[\s,;:.?)]+$", "")
-    return F.regexp_replace(F.upper(deaccent(w)), "[^A-Z]+", "#")
+    return F.when(word.rlike("^[A-Za-z]+$"), F.upper(word)).otherwise(F.regexp_replace(F.upper(deaccent(w)), "[^A-Z]+", "#"))
+
+
+def first_words(text: Column) -> tuple[Column, Column]:
+    """The first two words after quotes and blanks; the second is '' if there is none."""
+    s = F.ltrim(F.translate(text, "\n\t\r", "   "), F.lit(" '‘’\"`"))
+    w1 = F.substring_index(s, " ", 1)
+    return w1, F.substring_index(F.ltrim(F.substring(s, F.length(w1) + 1, F.length(s))), " ", 1)
 
 
-def parse_citation(text: Column) -> Column:
-    """struct(genus, epithet, kind) of one cited name.
+def parse_citations(df: DataFrame, text: str) -> DataFrame:
+    """Add genus, epithet and kind of each cited name.
 
     kind: `full` (epithet given), `genus` (genus alone), `partial` (epithet
     begun, illegible or `sp.`), `none` (blank or no letters). An initial is kept
-    as a genus of one letter.
+    as a genus of one letter. Plain columns, one after the other, so that each is computed once.
     """
-    s = F.trim(F.regexp_replace(text, r"^[\s'‘’\"`]+", ""))
-    s = F.regexp_replace(s, r"(?i),?\s+and other species\W*$", "")
-    words = F.split(s, r"\s+")
-    w1, w2 = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    genus = name_key(w1)
-    epithet = name_key(w2)
-    authority = w2.rlike(r"^[A-Z][^,]*\.$")
-    cut_off = w2.rlike(r"(\.\.+|--|…|—|-)$") | w2.startswith("[") | epithet.isin(*NO_EPITHET)
+    tail = F.when(F.contains(text, F.lit("other species")), F.regexp_replace(text, r"(?i),?\s+and other species\W*$", "")).otherwise(F.col(text))
+    df = df.withColumn("_s", tail)
+    w1, w2 = first_words(F.col("_s"))
+    df = df.withColumns({"_w1": w1, "_w2": w2}).withColumns({"genus": name_key(F.col("_w1")), "_e": name_key(F.col("_w2"))})
+    w2 = F.col("_w2")
+    authority = w2.endswith(".") & w2.rlike(r"^[A-Z][^,]*\.$")
+    cut_off = w2.endswith("..") | w2.endswith("-") | w2.endswith("…") | w2.endswith("—") | w2.startswith("[") | F.col("_e").isin(*NO_EPITHET)
     kind = (
-        F.when(F.coalesce(F.regexp_count(genus, F.lit("[A-Z]")), F.lit(0)) == 0, "none")
-        .when(w2.isNull() | (w2 == "") | authority, "genus")
-        .when(cut_off | (F.length(epithet) < 3), "partial")
+        F.when(F.coalesce(F.col("genus"), F.lit("")).isin("", "#"), "none")
+        .when((w2 == "") | authority, "genus")
+        .when(cut_off | (F.length("_e") < 3), "partial")
         .otherwise("full")
     )
-    return F.struct(genus.alias("genus"), F.when(kind == "full", epithet).alias("epithet"), kind.alias("kind"))
+    df = df.withColumn("kind", kind)
+    return df.withColumn("epithet", F.when(F.col("kind") == "full", F.col("_e"))).drop("_s", "_w1", "_w2", "_e")
 
 
 def citations(entries: DataFrame, key: str, taxa: str = "taxa", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,37 +65,28 @@ def citations(entries: DataFrame, key: str, taxa: str = "taxa", keep: tuple[str,
     An initial takes the nearest full genus before it in the same array (null
     elements count as positions but cite nothing).
     """
-    parsed = F.transform(F.col(taxa), lambda t: parse_citation(t))
-    df = entries.select(key, *keep, F.col(taxa).alias("_t"), parsed.alias("_p"))
-    full = F.transform("_p", lambda p: F.when(F.length(p["genus"]) > 1, p["genus"]))
-    df = df.withColumn("_g", full)
-    opened = F.transform(
-        "_p",
-        lambda p, i: F.when(F.length(p["genus"]) > 1, p["genus"]).otherwise(
-            F.coalesce(F.element_at(F.filter(F.slice("_g", F.lit(1), i + 1), lambda g: g.isNotNull()), -1), p["genus"])
-        ),
-    )
-    df = df.withColumn("_z", F.arrays_zip(F.col("_t"), F.col("_p"), opened.alias("o")))
-    out = df.select(key, *keep, F.posexplode("_z").alias("pos", "_e"))
-    return out.select(key, *keep, "pos", F.col("_e._t").alias("cited"), F.col("_e.o").alias("genus"), F.col("_e._p.epithet").alias("epithet"), F.col("_e._p.kind").alias("kind"))
+    cols = [key, *keep, "pos", "cited", "genus", "epithet", "kind"]
+    # few entries hold an initial after their first name; only these carry their array along
+    has = F.coalesce(F.array_join(taxa, "|").rlike(r"\|[^A-Za-z|]*[A-Z]\."), F.lit(False))
+    plain = parse_citations(entries.where(~has).select(key, *keep, F.posexplode(taxa).alias("pos", "cited")), "cited").select(cols)
+    rest = parse_citations(entries.where(has).select(key, *keep, F.col(taxa).alias("_all"), F.posexplode(taxa).alias("pos", "cited")), "cited")
+    before = F.filter(F.transform(F.slice("_all", F.lit(1), F.col("pos")), lambda t: name_key(first_words(t)[0])), lambda g: F.length(g) > 1)
+    genus = F.when(F.length("genus") == 1, F.coalesce(F.try_element_at(before, F.lit(-1)), F.col("genus"))).otherwise(F.col("genus"))
+    return plain.unionByName(rest.withColumn("genus", genus).select(cols))
 
 
 def scientific_entries(part2: DataFrame) -> DataFrame:
-    """Deduplicated entries with genus and epithet keys (volume_id, seq, genus, epithet, …).
+    """Deduplicated entries with genus and epithet keys (volume_id, seq, genus, epithet, recorded_at, withdrawn_at).
 
     An abbreviated genus comes from the genus column, else from the nearest
     entry before it in the volume that gives one.
     """
-    e = first_deliveries(part2, "seq", "volume_id", "page", "name", "genus", "vernaculars", "recorded_at", "withdrawn_at")
-    words = F.split(F.trim("name"), r"\s+")
-    w1 = name_key(F.get(words, F.lit(0)))
-    e = e.withColumns({
-        "_own": F.coalesce(name_key(F.trim("genus")), F.when(F.length(w1) > 1, w1)),
-        "epithet": F.coalesce(name_key(F.get(words, F.lit(1))), F.lit("")),
-        "page": F.coalesce("page", F.lit(0)),
-    })
+    e = first_deliveries(part2, "seq", "volume_id", "page", "name", "genus", "recorded_at", "withdrawn_at")
+    w1, w2 = first_words(F.col("name"))
+    e = e.withColumns({"_g": name_key(w1), "epithet": F.coalesce(name_key(w2), F.lit("")), "page": F.coalesce("page", F.lit(0))})
+    e = e.withColumn("_own", F.coalesce(name_key(F.trim("genus")), F.when(F.length("_g") > 1, F.col("_g")))).drop("_g", "name", "genus")
     e = carry_down(cut(e), "_own", "seq", ["volume_id"], "page", "_open")
-    return cut(e.select("volume_id", "seq", F.coalesce("_own", "_open").alias("genus"), "epithet", "vernaculars", "recorded_at", "withdrawn_at"))
+    return cut(e.select("volume_id", "seq", F.coalesce("_own", "_open").alias("genus"), "epithet", "recorded_at", "withdrawn_at"))
 
 
 def edge_keys(word: Column) -> Column:
@@ -120,44 +120,61 @@ def plants(entries: DataFrame) -> DataFrame:
     return cut(out.select("volume_id", "genus", "epithet", F.coalesce("_s2", "_seq").alias("plant_id")))
 
 
+KEYS = ["volume_id", "genus", "epithet"]
+
+
 def _unique_best(cand: DataFrame, rule: str) -> DataFrame:
     """The plant of least distance, where it is the only one at that distance."""
-    per = cand.groupBy("volume_id", "genus", "epithet", "_d").agg(F.min("plant_id").alias("plant_id"), F.max("plant_id").alias("_p2"))
-    best = per.groupBy("volume_id", "genus", "epithet").agg(F.min_by(F.struct("plant_id", "_p2"), "_d").alias("b"))
-    return best.where(F.col("b.plant_id") == F.col("b._p2")).select("volume_id", "genus", "epithet", F.col("b.plant_id").alias("plant_id"), F.lit(rule).alias("rule"))
+    plant = F.struct("_d", "plant_id")
+    best = cand.groupBy(*KEYS).agg(F.min("_d").alias("_least"), F.collect_set(plant).alias("_c"))
+    nearest = F.filter("_c", lambda c: c["_d"] == F.col("_least"))
+    return best.where(F.size(nearest) == 1).select(*KEYS, F.get(nearest, F.lit(0))["plant_id"].alias("plant_id"), F.lit(rule).alias("rule"))
 
 
 def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     """Cascade for distinct (volume_id, genus, epithet); epithet '' is a genus alone.
 
-    exact: same genus and epithet. near: epithet within two edits sharing an
-    edge and genus within two, three in all, the closest if unique. initial:
-    only the genus's first letter is known. genus-near: a genus alone within
-    two edits of exactly one genus with an own entry. What is left is unmatched.
-    A genus spelled exactly as one of the volume is never taken for another.
+    Each pass is an equi-join of what is left, verified by edit distance, the
+    closest plant counting only if it is the one at its distance:
+    exact; near, first with the genus exact and the epithet within two edits, then
+    with the epithet exact and the genus within two, then both, three edits in
+    all; initial: only the genus's first letter is known; genus-near: a genus alone within two edits of
+    one genus with an own entry. What is left is unmatched. A genus spelled exactly as one of the volume is never taken for another.
     """
-    keys = ["volume_id", "genus", "epithet"]
-    names = cut(names.select(*keys).distinct())
-    exact = names.join(plant_table, keys).select(*keys, "plant_id", F.lit("exact").alias("rule"))
-    rest = names.join(plant_table.select(*keys), keys, "left_anti")
+    names = cut(names.select(*KEYS).distinct())
+    exact = names.join(plant_table, KEYS).select(*KEYS, "plant_id", F.lit("exact").alias("rule"))
     known = plant_table.select("volume_id", "genus").distinct().withColumn("_known", F.lit(True))
-    rest = rest.join(known, ["volume_id", "genus"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    rest = cut(rest)
+    rest = names.join(plant_table.select(*KEYS), KEYS, "left_anti").join(known, ["volume_id", "genus"], "left")
+    rest = cut(rest.withColumn("_known", F.coalesce("_known", F.lit(False))))
+    edges = F.explode(edge_keys(F.col("epithet"))).alias("_v")
     full = rest.where(F.col("epithet") != "")
-    split = full.select(*keys, "_known", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
-    p = plant_table.where(F.col("epithet") != "").select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
-    pairs = split.join(p, ["volume_id", "_v"]).drop("_v")
-    long = pairs.where((F.length("genus") > 1) & (~F.col("_known") | (F.col("genus") == F.col("_g")))).withColumn(
-        "_d", F.expr("case when levenshtein(genus, _g, 2) < 0 or levenshtein(epithet, _e, 2) < 0 then null else levenshtein(genus, _g, 2) + levenshtein(epithet, _e, 2) end")
-    )
-    near = _unique_best(long.where(F.col("_d") <= 3), "near")
-    short = pairs.where((F.length("genus") == 1) & F.col("_g").startswith(F.col("genus"))).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)"))
-    initial = _unique_best(short.where(F.col("_d") >= 0), "initial")
-    alone = rest.where((F.col("epithet") == "") & (F.length("genus") > 1) & ~F.col("_known")).select(*keys, F.explode(delete_one("genus")).alias("_v"))
-    heads = plant_table.where(F.col("epithet") == "").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(delete_one("genus")).alias("_v"))
+    species = plant_table.where(F.col("epithet") != "")
+
+    a = full.where("_known").select(*KEYS, edges)
+    p = species.join(rest.where("_known and epithet <> ''").select("volume_id", "genus").distinct(), ["volume_id", "genus"], "left_semi")
+    p = p.select("volume_id", "genus", F.col("epithet").alias("_e"), "plant_id", edges)
+    near1 = _unique_best(a.join(p, ["volume_id", "genus", "_v"]).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)")).where("_d >= 0"), "near")
+
+    strange = full.where("not _known and length(genus) > 1").select(*KEYS)
+    b = strange.join(species.withColumnRenamed("genus", "_g"), ["volume_id", "epithet"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)")).where("_d >= 0")
+    near2 = cut(_unique_best(b, "near"))
+
+    left = small(strange.join(near2.select(*KEYS), KEYS, "left_anti").select(*KEYS, edges))
+    every = species.select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", edges)
+    both = every.join(left, ["volume_id", "_v"]).withColumn("_d1", F.expr("levenshtein(genus, _g, 2)")).where("_d1 >= 0")
+    both = both.withColumn("_d2", F.expr("levenshtein(epithet, _e, 2)")).where("_d2 >= 0 and _d1 + _d2 <= 3").withColumn("_d", F.expr("_d1 + _d2"))
+    near3 = _unique_best(both, "near")
+
+    short = small(full.where("length(genus) = 1").select(*KEYS, edges))
+    i = every.join(short, ["volume_id", "_v"]).where(F.startswith("_g", "genus")).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)"))
+    initial = _unique_best(i.where("_d >= 0"), "initial")
+
+    alone = rest.where("epithet = '' and length(genus) > 1 and not _known").select(*KEYS, F.explode(delete_one("genus")).alias("_v"))
+    heads = plant_table.where("epithet = ''").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(delete_one("genus")).alias("_v"))
     g = alone.join(heads, ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
-    genus_near = _unique_best(g.where(F.col("_d") >= 0), "genus-near")
-    return cut(exact.unionByName(near).unionByName(initial).unionByName(genus_near))
+    genus_near = _unique_best(g.where("_d >= 0"), "genus-near")
+    parts = (exact, near1, near2, near3, initial, genus_near)
+    return cut(reduce(DataFrame.unionByName, parts))
 
 
 def vernacular_key(c: Column | str) -> Column:

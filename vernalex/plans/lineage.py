@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The table written once, and hinted for broadcast only if it is counted to have at most ``most`` rows."""
+    t = cut(df)
+    return F.broadcast(t) if t.count() <= most else t
+
+
 def _remove(path: str) -> None:
     local = path.removeprefix("file:")
     if "://" not in local.lstrip("/"):
