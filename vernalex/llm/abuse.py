@@ -221,7 +221,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABE
     """At most ``bound`` labelled documents by majority of their reviewers; ties and null opinions are left out."""
     vote = labels.where(F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.sum(F.when(F.col("abusive") == 1, 1).otherwise(-1)).alias("v"))
     vote = vote.where(F.col("v") != 0).select("doc_id", F.when(F.col("v") > 0, 1).otherwise(0).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = documents.select("doc_id", "text").join(vote, "doc_id").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(vote), "doc_id").collect()
     return sorted((r["doc_id"], r["text"], r["y"]) for r in rows)
 
 

@@ -138,18 +138,20 @@ class Items:
         """item -> tiles (start in the document, start in the item, item words), longest first, none overlapping."""
         d = tokens(text)
         found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        reach: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        # item -> place in the document -> places of the item that a tile already pairs with it
+        reach: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for size, index in ((SEED, self.index), (SEED - 1, self.rare)):
             for i, h in rolling(d, size):
                 for item, j in index.get(h, ()):
                     t = self.words[item]
-                    if d[i] != t[j] or any(a <= i < a + n and b <= j < b + m for a, b, n, m in reach[item]):
+                    if d[i] != t[j] or any(abs(j - e) <= 3 for e in reach[item].get(i, ())):
                         continue
                     right = _extend(d, i, t, j, 1)
                     left = _extend(d, i - 1, t, j - 1, -1)
                     n, m = left[0] + right[0], left[1] + right[1]
                     tile = (i - left[0], j - left[1], n, m)
-                    reach[item].append(tile)
+                    for k in range(n):
+                        reach[item][tile[0] + k].append(tile[1] + k * m // max(n, 1))
                     if m >= MIN_TILE:
                         found[item].append(tile)
         out: dict[int, list[tuple[int, int, int]]] = {}

@@ -3,7 +3,7 @@
 Pass by pass (see ``operators.taxa.resolve_names`` for the first four):
 exact name, near name, name with an initial, near genus, then for citations
 without a full epithet the native name: `vernacular` (phonetic key, genus if
-given) and `vernacular-near` (one edit, two in ten letters or more). A later pass only sees what the passes
+given) and `vernacular-near` (one edit, two in ten letters or more, an end of three letters alike). A later pass only sees what the passes
 before it left. Each rule's confidence is its precision on labelled pairs, smoothed.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vernalex.functions.text import delete_one
-from vernalex.operators.taxa import citations, edge_keys, plants, resolve_names, scientific_entries, vernacular_key
+from vernalex.operators.taxa import citations, plants, resolve_names, scientific_entries, vernacular_key
 from vernalex.plans.lineage import cut
 from vernalex.sources.tables import first_deliveries
 
@@ -22,18 +22,13 @@ ANY = "*"
 RULES = ("exact", "genus", "near", "initial", "genus-near", "vernacular", "vernacular-near")
 
 
-def _vernacular_table(entries: DataFrame, spelled: DataFrame) -> DataFrame:
-    """(volume_id, vkey, genus, p_min, p_max): plants with that native name, of one genus or of any (`*`)."""
-    named = entries.join(spelled, ["volume_id", "genus", "epithet"]).select("volume_id", "genus", "plant_id", F.explode("vernaculars").alias("_v"))
-    named = named.select("volume_id", "plant_id", vernacular_key("_v.name").alias("vkey"), F.explode(F.array(F.col("genus"), F.lit(ANY))).alias("genus")).where(F.length("vkey") > 0)
+def _vernacular_table(part2: DataFrame, members: DataFrame) -> DataFrame:
+    """(volume_id, vkey, genus, p_min, p_max): plants with that native name, by genus. Second deliveries change nothing here."""
+    named = part2.where(F.size("vernaculars") > 0).select("seq", F.explode("vernaculars").alias("_v")).select(F.col("seq").alias("part2_seq"), vernacular_key("_v.name").alias("vkey"))
+    named = named.where(F.length("vkey") > 0).join(members, "part2_seq")
     return named.groupBy("volume_id", "vkey", "genus").agg(F.min("plant_id").alias("p_min"), F.max("plant_id").alias("p_max"))
 
 
-def _blocks(vkey: str):
-    """Blocking keys of a native name: its ends if it is long, else its one-letter deletions."""
-    return F.when(F.length(vkey) >= 10, edge_keys(F.col(vkey))).otherwise(delete_one(vkey))
-
-
 def _genus_of(wanted: DataFrame, spelled: DataFrame) -> DataFrame:
     """wanted genus -> the volume's genus, exactly or within one edit of only one (volume_id, genus, _genus)."""
     asked = wanted.select("volume_id", "genus").where(F.col("genus") != ANY).distinct()
@@ -52,19 +47,19 @@ def _by_vernacular(refs: DataFrame, table: DataFrame, spelled: DataFrame) -> Dat
     known = _genus_of(asked, spelled)
     asked = asked.join(known, ["volume_id", "genus"], "left").withColumn("_genus", F.when(F.col("genus") == ANY, ANY).otherwise(F.col("_genus"))).where(F.col("_genus").isNotNull())
     asked = cut(asked)
-    t = cut(table.withColumnRenamed("genus", "_genus"))
-    hit = asked.join(t, ["volume_id", "_genus", "vkey"])
-    same = hit.where(F.col("p_min") == F.col("p_max")).select(*keys, F.col("p_min").alias("plant_id"), F.lit("vernacular").alias("rule"))
-    rest = asked.join(hit.select(*keys), keys, "left_anti").where(F.length("vkey") >= 4).withColumn("_v", F.explode(_blocks("vkey")))
-    near = t.where(F.length("vkey") >= 4).select("volume_id", "_genus", F.col("vkey").alias("_k"), "p_min", "p_max", F.explode(_blocks("vkey")).alias("_v"))
-    found = (
-        rest.join(near, ["volume_id", "_genus", "_v"])
-        .where(F.expr("levenshtein(vkey, _k, if(length(vkey) >= 10, 2, 1)) >= 0"))
-        .groupBy(*keys)
-        .agg(F.min("p_min").alias("p_min"), F.max("p_max").alias("p_max"))
-        .where(F.col("p_min") == F.col("p_max"))
-    )
-    return same.unionByName(found.select(*keys, F.col("p_min").alias("plant_id"), F.lit("vernacular-near").alias("rule")))
+    t = cut(table.withColumnRenamed("genus", "_of"))
+    fits = (F.col("_genus") == ANY) | (F.col("_genus") == F.col("_of"))
+
+    def only(hits: DataFrame, rule: str) -> DataFrame:
+        g = hits.where(fits).groupBy(*keys).agg(F.min("p_min").alias("plant_id"), F.max("p_max").alias("_p2"))
+        return g.select(*keys, "plant_id", (F.col("plant_id") == F.col("_p2")).alias("_one"), F.lit(rule).alias("rule"))
+
+    same = cut(only(asked.join(t, ["volume_id", "vkey"]), "vernacular"))
+    ends = F.array(F.concat(F.lit("^"), F.left("vkey", F.lit(3))), F.concat(F.right("vkey", F.lit(3)), F.lit("$")))
+    rest = asked.join(same.select(*keys), keys, "left_anti").where(F.length("vkey") >= 6).withColumn("_v", F.explode(ends))
+    near = t.where(F.length("vkey") >= 5).select("volume_id", "_of", F.col("vkey").alias("_k"), "p_min", "p_max", F.explode(ends).alias("_v"))
+    found = only(rest.join(near, ["volume_id", "_v"]).where(F.expr("levenshtein(vkey, _k, if(length(vkey) >= 10, 2, 1)) >= 0")), "vernacular-near")
+    return same.unionByName(found).where("_one").drop("_one")
 
 
 def cascade(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,20 +70,19 @@ def cascade(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     entries = scientific_entries(part2)
     spelled = plants(entries)
-    p1 = first_deliveries(part1, "seq", "volume_id", "taxa", vernacular_key("headword").alias("vkey"))
-    p1 = cut(p1)
-    c = cut(citations(p1, "seq", keep=("volume_id", "vkey")))
-    named = c.where(F.col("kind").isin("full", "genus")).select("seq", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"))
-    by_name = named.join(resolve_names(named, spelled), ["volume_id", "genus", "epithet"]).select("seq", "plant_id", F.when((F.col("epithet") == "") & (F.col("rule") == "exact"), "genus").otherwise(F.col("rule")).alias("rule"))
-    partial = c.where(F.col("kind") == "partial").select("seq", "volume_id", "genus", "vkey")
-    bare = p1.where(F.coalesce(F.size("taxa"), F.lit(0)) <= 0).unionByName(
-        p1.join(c.where(F.col("kind") == "none").select("seq").distinct(), "seq", "left_semi")
-    ).select("seq", "volume_id", F.lit(ANY).alias("genus"), "vkey")
-    asked = cut(partial.unionByName(bare).where(F.length("vkey") > 0))
-    by_native = asked.join(_by_vernacular(asked, _vernacular_table(entries, spelled), spelled), ["volume_id", "genus", "vkey"]).select("seq", "plant_id", "rule")
+    p1 = first_deliveries(part1, "seq", "volume_id", "taxa", "headword")
+    c = cut(citations(p1, "seq", keep=("volume_id", "headword")).select("seq", "volume_id", "genus", F.coalesce("epithet", F.lit("")).alias("epithet"), "kind", F.when(F.col("kind").isin("partial", "none"), vernacular_key("headword")).alias("vkey")))
+    named = c.where(F.col("kind").isin("full", "genus")).select("seq", "volume_id", "genus", "epithet")
+    resolved = resolve_names(named, spelled)
+    by_name = named.join(resolved, ["volume_id", "genus", "epithet"]).select("seq", "plant_id", F.when((F.col("epithet") == "") & (F.col("rule") == "exact"), "genus").otherwise(F.col("rule")).alias("rule"))
+    partial = c.where("kind = 'partial'").select("seq", "volume_id", "genus", "vkey")
+    illegible = c.where("kind = 'none'").select("seq", "volume_id", F.lit(ANY).alias("genus"), "vkey").distinct()
+    bare = p1.where(F.coalesce(F.size("taxa"), F.lit(0)) <= 0).select("seq", "volume_id", F.lit(ANY).alias("genus"), vernacular_key("headword").alias("vkey"))
+    asked = cut(partial.unionByName(illegible).unionByName(bare).where(F.length("vkey") > 0))
+    members = cut(entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", F.col("seq").alias("part2_seq"), "volume_id", "genus"))
+    by_native = asked.join(_by_vernacular(asked, _vernacular_table(part2, members), spelled), ["volume_id", "genus", "vkey"]).select("seq", "plant_id", "rule")
     links = by_name.unionByName(by_native).withColumnRenamed("seq", "part1_seq")
-    members = entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", F.col("seq").alias("part2_seq"))
-    return links, members
+    return links, members.select("plant_id", "part2_seq")
 
 
 def rule_confidence(links: DataFrame, labels: DataFrame, prior: float = 0.9, weight: float = 10.0) -> DataFrame:
