@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -26,12 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to the checkpoint folder and go on from the written table.
 
     The folder is shared, so a lost executor costs only its running tasks; unlike an eager
-    ``checkpoint()`` the rows are computed once. Tables of a session go when Python ends.
+    ``checkpoint()`` the rows are computed once. Tables of a session go when it ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,12 +40,6 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(t) if t.count() <= most else t
 
 
-def _remove(path: str) -> None:
-    local = path.removeprefix("file:")
-    if "://" not in local.lstrip("/"):
-        shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
-
-
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = 200_000, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right`` (unique by ``key``) so that no key of ``left`` floods one task.
 

@@ -391,7 +391,7 @@ def carry_down_heading(spark, d):
     c = carry_down(e, "head", "seq", ["volume_id"], "page", "open")
     lead = e.where(F.col("own").isNull()).join(e.where(F.col("own").isNotNull()).groupBy("volume_id").agg(F.min("seq").alias("_first")), "volume_id", "left").where(F.col("_first").isNull() | (F.col("seq") < F.col("_first")))
     early = lead.groupBy("volume_id").agg(F.min_by(F.struct("family"), "seq").alias("_early"))
-    out = c.join(F.broadcast(early), "volume_id", "left")
+    out = c.join(early, "volume_id", "left")
     return out.select("seq", F.col("open.own").alias("open_genus"), F.when(F.col("open").isNotNull(), F.col("open.family")).otherwise(F.col("_early.family")).alias("group_family"))
 
 
