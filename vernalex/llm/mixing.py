@@ -17,6 +17,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The public split pattern of that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4096
+MAX_SOURCES = 100_000
 NOT_GIVEN = "(none)"
 
 
@@ -96,6 +97,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     goal = targets.groupBy(source_key("source").alias("source")).agg(F.sum("target_share").alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(1)).cast("double").alias("cap"))
     goal = cut(goal.where(F.col("source").isNotNull()))
+    # everything broadcast below has at most a row per source of the targets
+    if goal.count() > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} target sources")
     d = documents.select("doc_id", source_key("source").alias("source"), F.coalesce(F.lower(F.trim("lang")), F.lit(NOT_GIVEN)).alias("lang"), F.coalesce(F.trim("genus"), F.lit(NOT_GIVEN)).alias("topic"), "text")
     d = d.join(F.broadcast(goal), "source").withColumn("n_tokens", token_counts("text")).drop("text").where(F.col("n_tokens") > 0)
     d = cut(d)
