@@ -78,4 +78,6 @@ def align_pages(left: DataFrame, right: DataFrame, page: list[str], order: str,
         return out.astype({f"left_{order}": "Int64", f"right_{order}": "Int64"})
 
     keep = [*page, order, text]
-    return left.select(*keep).groupBy(*page).cogroup(right.select(*keep).groupBy(*page)).applyInPandas(both, schema)
+    # new column identities, as both sides may come from one table
+    a, b = left.select(*keep).toDF(*keep), right.select(*keep).toDF(*keep)
+    return a.groupBy(*page).cogroup(b.groupBy(*page)).applyInPandas(both, schema)
