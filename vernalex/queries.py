@@ -606,11 +606,11 @@ def _ranked_sql(q: str, names_where: str = "true", taxa_where: str = "true") ->
     return f"select * from ({m}) union all select * from ({t}) union all select * from ({n}) where id not in (select id from ({t}))"
 
 
-@query(f"with {INDEX} {_ranked_sql('mesu')}")
+@query(f"with {INDEX} {_ranked_sql('bala')}")
 def search_ranked(spark, d):
     """Flagship: names, taxa and notes in one ranked list."""
     n, t = index(spark, d)
-    return sr.ranked(sr.search(n, t, "mesu"))
+    return sr.ranked(sr.search(n, t, "bala"))
 
 
 @query(f"with {INDEX} {_ranked_sql('bel', names_where=chr(39) + '|' + chr(39) + ' || dialects || ' + chr(39) + '|' + chr(39) + ' like ' + chr(39) + '%|Mar|%' + chr(39) + ' and confidence >= 60 and upper(strip_accents(name[1])) = ' + chr(39) + 'B' + chr(39), taxa_where='upper(strip_accents(label[1])) = ' + chr(39) + 'B' + chr(39))}")
