@@ -63,7 +63,7 @@ def _by_vernacular(refs: DataFrame, table: DataFrame, spelled: DataFrame) -> Dat
 
 
 def cascade(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(part1_seq, plant_id, rule) and the entries (plant_id, part2_seq) of each plant.
+    """(part1_seq, plant_id, rule) and the entries (plant_id, part2_seq, volume_id, genus) of each plant.
 
     Null or empty taxa fall to the native-name passes; a null headword then
     cites nothing; second deliveries count once.
@@ -82,14 +82,14 @@ def cascade(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = cut(entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", F.col("seq").alias("part2_seq"), "volume_id", "genus"))
     by_native = asked.join(_by_vernacular(asked, _vernacular_table(part2, members), spelled), ["volume_id", "genus", "vkey"]).select("seq", "plant_id", "rule")
     links = by_name.unionByName(by_native).withColumnRenamed("seq", "part1_seq")
-    return links, members.select("plant_id", "part2_seq")
+    return links, members
 
 
-def rule_confidence(links: DataFrame, labels: DataFrame, prior: float = 0.9, weight: float = 10.0) -> DataFrame:
-    """(rule, n_labelled, n_right, confidence) from labelled pairs of Part I entries.
+def rule_confidence(links: DataFrame, volumes: DataFrame, labels: DataFrame, prior: float = 0.9, weight: float = 10.0) -> DataFrame:
+    """(rule, n_labelled, n_right, confidence) from labelled pairs of Part I entries; volumes: plant_id, volume_id.
 
     A link is labelled if its entry stands in a pair marked is_match with an
-    entry linked by the `exact` rule; it is right if that entry has the same
+    entry of the same volume (plants belong to one) linked by the `exact` rule; it is right if that entry has the same
     plant. confidence = (n_right + weight·prior) / (n_labelled + weight), so a
     rule without labels keeps the prior.
     """
@@ -97,9 +97,10 @@ def rule_confidence(links: DataFrame, labels: DataFrame, prior: float = 0.9, wei
     pairs = true.select(F.col("left_seq").alias("a"), F.col("right_seq").alias("b"))
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     one = links.groupBy("part1_seq").agg(F.min("plant_id").alias("plant"), F.max("plant_id").alias("p2"), F.min("rule").alias("rule")).where(F.col("plant") == F.col("p2")).drop("p2")
-    a = one.toDF("a", "plant_a", "rule")
-    b = one.where(F.col("rule") == "exact").select(F.col("part1_seq").alias("b"), F.col("plant").alias("plant_b"))
-    judged = pairs.join(a, "a").join(b, "b")
+    one = one.join(volumes.groupBy(F.col("plant_id").alias("plant")).agg(F.first("volume_id").alias("volume")), "plant")
+    a = one.select(F.col("part1_seq").alias("a"), F.col("plant").alias("plant_a"), "rule", "volume")
+    b = one.where(F.col("rule") == "exact").select(F.col("part1_seq").alias("b"), F.col("plant").alias("plant_b"), "volume")
+    judged = pairs.join(a, "a").join(b, ["b", "volume"])
     seen = judged.groupBy("rule").agg(F.count("*").alias("n_labelled"), F.count_if(F.col("plant_a") == F.col("plant_b")).alias("n_right"))
     rules = links.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
     out = rules.join(F.broadcast(seen), "rule", "left").na.fill(0, ["n_labelled", "n_right"])
@@ -121,5 +122,5 @@ def match_with_confidence(part1: DataFrame, part2: DataFrame, labels: DataFrame)
     """The pairs of ``match_entries`` with their rule's confidence; the links are written once and read twice."""
     links, members = cascade(part1, part2)
     links = cut(_best_rule(links))
-    conf = rule_confidence(links, labels)
+    conf = rule_confidence(links, members, labels)
     return links.join(members, "plant_id").join(F.broadcast(conf), "rule").select("part1_seq", "part2_seq", "rule", "confidence")
