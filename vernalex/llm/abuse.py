@@ -176,7 +176,7 @@ def fit(labelled: list[tuple[int, str | None, int]]) -> Model:
 
     A window of an abusive document trains the abusive dictionary if its word
     runs speak for abuse in the other folds, or, in a document without such a window,
-    if the ordinary dictionary leaves the most of it and over NOVEL. Windows of ordinary
+    if they don't speak against it and the ordinary dictionary leaves the most of it and over NOVEL. Windows of ordinary
     documents that speak for abuse in the other folds (wrong labels) train nothing.
     """
     known = vocabulary([t for _, t, _ in labelled])
@@ -191,8 +191,9 @@ def fit(labelled: list[tuple[int, str | None, int]]) -> Model:
     for f, ws, y in docs:
         if y == 1 and ws:
             sure = [w for w in ws if odds[f].of(w) >= ABUSIVE_ODDS]
-            top = max(ws, key=lambda w: (first[f].unknown(w) if len(w) > 16 else 0.0))
-            bad += [(f, w) for w in sure or [top] if sure or first[f].unknown(w) >= NOVEL]
+            novel = [(first[f].unknown(w), w) for w in ws if len(w) > 16 and odds[f].of(w) >= 0]
+            top = [w for u, w in [max(novel, default=(0.0, ""))] if u >= NOVEL]
+            bad += [(f, w) for w in sure or top]
     abusive = {k: train([w for f, w in bad if f != k]) for k in [*range(FOLDS), None]}
     scores = []
     for k in range(FOLDS):
