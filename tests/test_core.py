@@ -258,3 +258,46 @@ def test_guard(spark):
     a = spark.createDataFrame([(0.9,), (0.1,), (None,)], "similarity double")
     with pytest.raises(ValueError):
         audit.guard_alignment(a)
+
+
+@pytest.mark.parametrize("token,code", [("I].", "Il"), ("VY.", "V"), ("It.", "Il"), ("IT.", "T"), ("sp.-fil.", "Sp.-Fil"), ("Bic.", None), (" v.", "V"), (None, None)])
+def test_canonical_marker(spark, token, code):
+    c = grammar.canonical_marker(F.col("s"), ["Il", "V", "T", "Sp.-Fil"], {"I]": "Il", "VY": "V", "It": "Il", "IT": "T"})
+    assert one(spark, c, token) == code
+
+
+def test_sections(spark):
+    rows = [(1, 1, "cover"), (1, 5, "PART I"), (1, 6, "PART I"), (1, 9, "PART II"), (1, 12, "end"), (2, 3, "x")]
+    got = grammar.sections(spark.createDataFrame(rows, "v int, page int, line string"), ["v"], "page", "line", {"a": "^PART I$", "b": "^PART II$"})
+    assert {tuple(r) for r in got.select("v", "section", "first_page", "last_page").collect()} == {(1, "a", 5, 8), (1, "b", 9, 12)}
+
+
+def test_routes(spark):
+    from vernalex.operators import browse
+
+    r = one(spark, browse.route(F.col("s")), "#browse/family/A%20b")
+    assert (r.kind, r.id, r.view, r.key) == ("browse", None, "family", "A b")
+    assert one(spark, browse.route(F.col("s")), "#taxon/12").id == 12 and one(spark, browse.route(F.col("s")), "#x") is None
+    assert one(spark, grammar.unresolved_family(F.col("s")), "X alba (Xaceae.) tree") == "Xaceae" and one(spark, grammar.unresolved_family(F.col("s")), "(Tay)") is None
+
+
+def test_boxes(spark):
+    b = one(spark, scans.normal_box(*[F.lit(float(x)) for x in (0, 100, 500, 130, 1000, 2000)]), "")
+    assert b == [0.0, 0.047, 0.508, 0.021]
+    assert one(spark, scans.implausible_box(F.array(*[F.lit(x) for x in (0.1, 0.1, 0.01, 0.1)])), "") is True
+
+
+def test_page_sequences(spark):
+    rng = random.Random(4)
+    words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(90)) for _ in range(30)]
+    ours = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)] + [(1, 40, ""), (1, 41, "nothing alike anywhere")], "v int, page int, text string")
+    theirs = spark.createDataFrame([(1, i + 2 + (i > 20), w) for i, w in enumerate(words)], "v int, page int, text string")
+    got = {r.page: r.their_page for r in match.align_page_sequences(ours, theirs, ["v"], "page", "text").collect()}
+    assert got == {i: i + 2 + (i > 20) for i in range(30)} | {40: None, 41: None}
+
+
+def test_locate(spark):
+    e = spark.createDataFrame([(1, 1, "ABACA tree"), (1, 2, "BALITE fig")], "page int, seq long, text string")
+    lines = spark.createDataFrame([(1, 0, "123"), (1, 1, "ABACA tree used"), (1, 2, "for rope"), (1, 3, "BALITE fig"), (1, 4, "STOP")], "page int, seq long, text string")
+    got = {(r.seq, r.first_line, r.last_line) for r in align.locate(e, lines, ["page"], "seq", "text", span=True, stop=lambda t: t == "STOP").collect()}
+    assert got == {(1, 1, 2), (2, 3, 3)}

@@ -81,3 +81,31 @@ def align_pages(left: DataFrame, right: DataFrame, page: list[str], order: str,
     # new column identities, as both sides may come from one table
     a, b = left.select(*keep).toDF(*keep), right.select(*keep).toDF(*keep)
     return a.groupBy(*page).cogroup(b.groupBy(*page)).applyInPandas(both, schema)
+
+
+def locate(entries: DataFrame, lines: DataFrame, page: list[str], order: str, text: str, span: bool = False, floor: float = 0.5, stop=None) -> DataFrame:
+    """(page, order, first_line, last_line): where each entry stands among the lines of its page.
+
+    Entries and lines (page, order, text) are aligned page by page by how well a line begins an entry; pairs
+    under ``floor`` are left out. With ``span`` an entry runs on to before the next located one, or to a line for which ``stop`` is true.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema if f.name in page) + f", {order} long, first_line long, last_line long"
+
+    def both(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values(order), b.sort_values(order)
+        s, t = [x or "" for x in a[text]], [x or "" for x in b[text]]
+        ao, bo = list(a[order]), list(b[order])
+        starts = [(i, j) for i, j in align(s, t, prefix_similarity) if i is not None and j is not None and prefix_similarity(s[i], t[j]) >= floor]
+        rows = []
+        for k, (i, j) in enumerate(starts):
+            last = j
+            if span:
+                limit = starts[k + 1][1] - 1 if k + 1 < len(starts) else len(t) - 1
+                while last < limit and not (stop and stop(t[last + 1])):
+                    last += 1
+            rows.append((*key, ao[i], bo[j], bo[last]))
+        return pd.DataFrame(rows, columns=[*page, order, "first_line", "last_line"])
+
+    keep = [*page, order, text]
+    a, b = entries.select(*keep).toDF(*keep), lines.select(*keep).toDF(*keep)
+    return a.groupBy(*page).cogroup(b.groupBy(*page)).applyInPandas(both, schema)

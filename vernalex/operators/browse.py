@@ -42,3 +42,16 @@ def citation(pages: Column, leaves: Column) -> Column:
 def leaf_url(template: str, page: Column) -> Column:
     """A link to a scanned page: `{page}` of the template replaced."""
     return F.replace(F.lit(template), F.lit("{page}"), page.cast("string"))
+
+
+def route(url: Column) -> Column:
+    """struct(kind, id, view, key) of `#name/<id>`, `#taxon/<id>` or `#browse/<view>/<key>`; null for anything else."""
+    entry = r"^#(name|taxon)/(\d+)$"
+    walk = r"^#browse(?:/([^/]*)(?:/(.*))?)?$"
+
+    def given(c: Column) -> Column:
+        return F.when(c != "", c)
+
+    return F.when(url.rlike(entry), F.struct(F.regexp_extract(url, entry, 1).alias("kind"), F.regexp_extract(url, entry, 2).cast("long").alias("id"), F.lit(None).cast("string").alias("view"), F.lit(None).cast("string").alias("key"))).when(
+        url.rlike(walk), F.struct(F.lit("browse").alias("kind"), F.lit(None).cast("long").alias("id"), given(F.regexp_extract(url, walk, 1)).alias("view"), given(F.url_decode(F.regexp_extract(url, walk, 2))).alias("key"))
+    )

@@ -219,3 +219,32 @@ def is_fragment(name: Column, family: Column, notes: Column, vernaculars: Column
     """A single word without anything else, never corrected: debris, not an entry."""
     empty = F.coalesce(F.size(vernaculars), F.lit(0)) <= 0
     return ~F.contains(name, F.lit(" ")) & family.isNull() & notes.isNull() & empty & ~F.coalesce(corrected, F.lit(False))
+
+
+def canonical_marker(token: Column, codes: list[str], misread: dict[str, str] | None = None) -> Column:
+    """The dialect code of a marker: punctuation aside, case aside; ``misread`` spellings (case as given) as a last resort, else null."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\s+", ""), "^[,;.'‘’]+", ""), "[.:?'‘’]+$", "")
+    listed = F.create_map(*[F.lit(x) for c in codes for x in (c.lower(), c)]) if codes else F.lit(None).cast("map<string,string>")
+    out = F.element_at(listed, F.lower(bare))
+    if misread:
+        out = F.coalesce(out, F.element_at(F.create_map(*[F.lit(x) for kv in misread.items() for x in kv]), bare))
+    return out
+
+
+def sections(lines: DataFrame, group: list[str], page: str, line: str, openings: dict[str, str]) -> DataFrame:
+    """(group, section, first_page, last_page) of sections opened by a line that fits a pattern.
+
+    A section ends on the page before the next one opens, the last with the
+    last page; a section that never opens is missing.
+    """
+    marks = F.array_compact(F.array(*[F.when(F.col(line).rlike(p), F.lit(name)) for name, p in openings.items()]))
+    first = lines.select(*group, page, F.explode(marks).alias("section")).groupBy(*group, "section").agg(F.min(page).alias("first_page"))
+    last = lines.groupBy(*group).agg(F.max(page).alias("_end"))
+    nxt = F.lead("first_page").over(Window.partitionBy(*group).orderBy("first_page", "section"))
+    return first.join(last, group).withColumn("last_page", F.greatest("first_page", F.coalesce(nxt - 1, F.col("_end")))).drop("_end")
+
+
+def unresolved_family(text: Column) -> Column:
+    """A bracketed word that looks like a family though none was resolved, to extend the list by; null if there is none."""
+    raw = F.regexp_extract(text, "\\(\\s*([A-Za-zé/\\\\.]{4,26})\\s*\\)", 1)
+    return F.when(raw.rlike("(?i)ce|ae|se|re"), F.regexp_replace(raw, r"\.$", ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernalex.functions.text import delete_one
@@ -97,3 +97,28 @@ def band_offsets(left: DataFrame, right: DataFrame, position: str, words: str, g
     n = a.groupBy(*group).agg(F.count("*").alias("n_pages"))
     got = pairs.groupBy(*group, (F.col("_j") - F.col("_i")).alias("offset")).agg(F.sum("_s").alias("_sum"))
     return got.join(n, group).select(*group, "offset", "n_pages", (F.col("_sum") / F.col("n_pages")).alias("mean_similarity"))
+
+
+def align_page_sequences(ours: DataFrame, theirs: DataFrame, group: list[str], page: str, text: str, window: int = 12, floor: float = 0.25) -> DataFrame:
+    """(group, page, their_page, similarity): the page of another scan that each page is, null if none is like it.
+
+    The offset that agrees best on every seventh long page (over 400 characters) is tried first and
+    taken at once above 0.5; else the most similar page within ``window`` of it above
+    ``floor``, the nearer and then the lower of equals. Only pages of that band ever meet.
+    """
+    a = ours.select(*group, page, text, long_words(F.col(text)).alias("_a"))
+    b = theirs.select(*group, F.col(page).alias("their_page"), long_words(F.col(text)).alias("_b"))
+    order = Window.partitionBy(*group).orderBy(page)
+    probes = a.where(F.length(text) > 400).withColumn("_k", F.row_number().over(order)).where(F.col("_k") % 7 == 1)
+
+    def pairs(pages: DataFrame, around: Column) -> DataFrame:
+        offs = pages.withColumn("their_page", F.explode(F.sequence(F.col(page) + around - window, F.col(page) + around + window)))
+        return offs.join(b, [*group, "their_page"]).withColumn("_s", jaccard(F.col("_a"), F.col("_b")))
+
+    mean = pairs(probes, F.lit(0)).groupBy(*group, (F.col("their_page") - F.col(page)).alias("_o")).agg(F.avg("_s").alias("_m"))
+    best = mean.groupBy(*group).agg(F.max_by("_o", F.struct("_m", -F.col("_o"))).alias("_best"))
+    cand = pairs(a.where(F.trim(text) != "").join(best, group, "left").withColumn("_best", F.coalesce("_best", F.lit(0))), F.col("_best"))
+    off = F.col("their_page") - F.col(page) - F.col("_best")
+    sure = (off == 0) & (F.col("_s") > 0.5)
+    good = cand.where(F.col("_s") > floor).groupBy(*group, page).agg(F.max_by(F.struct("their_page", F.col("_s").alias("similarity")), F.struct(sure, "_s", -F.abs(off), -off)).alias("r"))
+    return ours.select(*group, page).join(good, [*group, page], "left").select(*group, page, "r.their_page", "r.similarity")

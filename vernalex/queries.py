@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vernalex.functions import text as tx
 from vernalex.operators import audit, browse, grammar, graph, match, orphans, overrides, tooling
 from vernalex.operators import search as sr
-from vernalex.operators.align import align_pages, prefix_similarity
+from vernalex.operators.align import align_pages, locate, prefix_similarity
 from vernalex.operators.carry import carry_down
 from vernalex.plans.lineage import cut
 from vernalex.sources import scans, sinks
@@ -725,6 +725,55 @@ def keyed_transcript_match(spark, d):
     return tooling.match_heads(e, f, ["volume_id", "page"])[0].select("correction_id", "seq")
 
 
+@query(GRAMMAR_SQL + f", t as (select distinct unnest(regexp_extract_all(l, '({_q(grammar.SLOT)})\\s*[.:]\\??', 1)) marker from e where head is not null) select marker, dialect_code as code from t left join ref_dialects on lower(regexp_replace(regexp_replace(regexp_replace(marker, '\\s+', '', 'g'), '^[,;.''‘’]+', ''), '[.:?''‘’]+$', '')) = lower(dialect_code)")
+def canonical_markers(spark, d):
+    codes = [r[0] for r in read(spark, d, "ref_dialects").select("dialect_code").limit(1000).collect()]
+    t = parsed_entries(spark, d).where("parsed").select(F.explode(grammar.markers(F.col("locs"))).alias("marker")).distinct()
+    return t.select("marker", grammar.canonical_marker(F.col("marker"), codes).alias("code"))
+
+
+@query(f"""with {P1}, {P2}, l as (select volume_id, page, unnest(string_split(raw, chr(10))) line from p1 union all select volume_id, page, unnest(string_split(notes, chr(10))) from p2),
+m as (select volume_id, case when regexp_matches(line, '^PART I\\. ') then 'part I' else 'part II' end section, min(page) first_page from l where regexp_matches(line, '^PART II?\\. ') group by 1, 2), z as (select volume_id, max(page) e from l group by 1)
+select volume_id, section, first_page::int as first_page, greatest(first_page, coalesce(lead(first_page) over (partition by volume_id order by first_page, section) - 1, e))::int as last_page from m join z using (volume_id)""")
+def section_pages(spark, d):
+    a = part1(spark, d, "volume_id", "page", F.col("raw").alias("t")).unionByName(part2(spark, d, "volume_id", "page", F.col("notes").alias("t")))
+    lines = a.select("volume_id", "page", F.explode(F.split("t", "\n")).alias("line"))
+    return grammar.sections(lines, ["volume_id"], "page", "line", {"part I": r"^PART I\. ", "part II": r"^PART II\. "}).select("volume_id", "section", "first_page", "last_page")
+
+
+@query(f"with {P1} select seq, box[3] < 0.05 or box[4] < 0.004 or box[4] > 0.6 as implausible, round(box[3] / (box[4] * 1.4), 6) as frame_aspect, round(100 / box[3], 6) as width, round(-100 * box[1] / box[3], 6) as left_offset from p1 where box is not null and box[3] > 0 and box[4] > 0")
+def crop_boxes(spark, d):
+    b = part1(spark, d, "box").where("box is not null and box[2] > 0 and box[3] > 0")
+    c = scans.crop(F.col("box"), F.lit(1.4))
+    return b.select("seq", scans.implausible_box(F.col("box")).alias("implausible"), F.round(c["frame_aspect"], 6).alias("frame_aspect"), F.round(c["width"], 6).alias("width"), F.round(c["left"], 6).alias("left_offset"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'name' when event_id % 3 = 1 then 'browse' end as kind, case when event_id % 3 = 0 then event_id end as id, case when event_id % 3 = 1 then 'family' end as view, case when event_id % 3 = 1 then event_type || ' x' end as key from events")
+def routes(spark, d):
+    n = F.col("event_id") % 3
+    url = F.when(n == 0, F.concat(F.lit("#name/"), F.col("event_id").cast("string"))).when(n == 1, F.concat(F.lit("#browse/family/"), F.col("event_type"), F.lit("%20x"))).otherwise(F.lit("#name/x"))
+    r = browse.route(url)
+    return read(spark, d, "events").select("event_id", *[r[c].alias(c) for c in ("kind", "id", "view", "key")])
+
+
+@query()
+def page_sequence_align(spark, d):
+    """Pages of Part I against the same pages three leaves on, as another scan of the book would have them."""
+    p = part1(spark, d, "volume_id", "page", "raw").groupBy("volume_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "raw"))), lambda s: s["raw"]), " ").alias("text"))
+    p = cut(p)
+    return match.align_page_sequences(p, p.withColumn("page", F.col("page") + 3), ["volume_id"], "page", "text")
+
+
+@query()
+def locate_on_scan(spark, d):
+    """Where the headword of each entry stands among the lines of its page's markup."""
+    h = hocr_markup(spark, d).withColumn("_k", F.struct("volume_id", F.col("page").alias("leaf")))
+    w = scans.hocr_words(h.select("_k", "html"), "_k", "html")
+    lines = w.groupBy(F.col("_k.volume_id").alias("volume_id"), F.col("_k.leaf").alias("page"), F.col("line").cast("long").alias("seq")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "text"))), lambda s: s["text"]), " ").alias("text"))
+    e = part1(spark, d, "volume_id", "page", "headword").where("headword is not null").select("volume_id", "page", "seq", F.col("headword").alias("text"))
+    return locate(e, cut(lines), ["volume_id", "page"], "seq", "text")
+
+
 QUERIES |= {"p4_found": orphans.p4_found, "p4_orphans_by_month": orphans.p4_orphans_by_month}
 
 

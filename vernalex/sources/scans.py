@@ -95,11 +95,28 @@ def line_boxes(words: DataFrame, line: list[str]) -> DataFrame:
     return words.groupBy(*line).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def normal_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, pad: float = 0.004) -> Column:
+# How far a box is widened on each side, as fractions of the page.
+PAD_X, PAD_Y = 0.008, 0.003
+
+
+def normal_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
     """[x, y, w, h] as padded, clamped fractions of the page, three decimals, halves up."""
     def r(c: Column) -> Column:
         return F.floor(c * 1000 + 0.5) / 1000
 
-    left, top = F.greatest(F.lit(0.0), x0 / width - pad), F.greatest(F.lit(0.0), y0 / height - pad)
-    right, bottom = F.least(F.lit(1.0), x1 / width + pad), F.least(F.lit(1.0), y1 / height + pad)
+    def clamp(c: Column) -> Column:
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+    left, top, right, bottom = clamp(x0 / width - PAD_X), clamp(y0 / height - PAD_Y), clamp(x1 / width + PAD_X), clamp(y1 / height + PAD_Y)
     return F.array(r(left), r(top), r(right - left), r(bottom - top))
+
+
+def implausible_box(box: Column) -> Column:
+    """A box [x, y, w, h] that can't be one entry: too narrow, too flat or over half the page high."""
+    return (box[2] < 0.05) | (box[3] < 0.004) | (box[3] > 0.6)
+
+
+def crop(box: Column, aspect: Column) -> Column:
+    """Where an image lies so that its box fills a frame: the frame's aspect, and the image's width, left and top in per cent."""
+    x, y, w, h = box[0], box[1], box[2], box[3]
+    return F.struct((w / (h * aspect)).alias("frame_aspect"), (100 / w).alias("width"), (-100 * x / w).alias("left"), (-100 * y / h).alias("top"))
