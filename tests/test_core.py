@@ -301,3 +301,12 @@ def test_locate(spark):
     lines = spark.createDataFrame([(1, 0, "123"), (1, 1, "ABACA tree used"), (1, 2, "for rope"), (1, 3, "BALITE fig"), (1, 4, "STOP")], "page int, seq long, text string")
     got = {(r.seq, r.first_line, r.last_line) for r in align.locate(e, lines, ["page"], "seq", "text", span=True, stop=lambda t: t == "STOP").collect()}
     assert got == {(1, 1, 2), (2, 3, 3)}
+
+
+def test_corrections_written_and_read(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1, "ABACA ALBA", "Xaceae"), (1, 2, "BETULA NIGRA", None)], "page int, line_no long, text string, family string")
+    t = spark.createDataFrame([(1, 1, "ABACA ALBA", "Yaceae"), (1, 2, "BETULLA NIGRA", None)], "page int, line_no long, text string, family string")
+    c = tooling.name_corrections(e, t, ["page"])
+    assert {(r.was, r.name, r.family) for r in c.collect()} == {("ABACA ALBA", "ABACA ALBA", "Yaceae"), ("BETULA NIGRA", "BETULLA NIGRA", None)}
+    sinks.write_corrections(c, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).where("page = 1").count() == 2

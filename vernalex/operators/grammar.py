@@ -23,8 +23,21 @@ AFTER_HEAD = r"\s*[.:]*\s+'?"
 #: two grammars, tried in turn: with markers or a place, and bare
 ENTRY_MARKED = rf"(?s)^{HEAD}(?:({LOCS})(?:{PLACE})?|{PLACE}({LOCS})?){AFTER_MARK}{TAXON}$"
 ENTRY_BARE = rf"(?s)^{HEAD}{AFTER_HEAD}{TAXON}$"
+
+# Shapes of printed lines that the documented results depend on.
 FURNITURE = r"^\s*(?:\d{1,3}|[A-Z]\.|[IVXL]+|\d+\s+\d+)\s*$"
 DEBRIS = r"^[\s.,;:'\"*~\-]+"
+TWO_CAPITALS = r"(?=[A-Za-zé\-]*[A-ZÉ][A-Za-zé\-]*[A-ZÉ])"
+LOST_INITIAL = r"^[\s>«»'\"|]*\.\s+(?=[A-ZÉ]|[a-zé]{1,3}[A-ZÉ])"
+DAMAGED_INITIAL = rf"^\s*[A-Za-z&>«»|]{{0,6}}[^A-Za-z\s.][A-Za-z&>«»|]{{0,6}}\.\s+{TWO_CAPITALS}"
+SHORT_INITIAL = rf"^\s*(?![A-Z]\.\s)[A-Za-z]{{1,2}}\.\s+(?={TWO_CAPITALS}[A-Za-zé\-]{{4,}})"
+SHIFTED_EPITHET = r"^\s{1,4}(?=[A-ZÉ]{4,}\s+[A-ZÉ][a-zé.])"
+NATIVE_LINE = rf"(?i)^[A-Za-zé][A-Za-zé'\- ]{{1,40}}(?:\s*\([^)]{{2,30}}\))?\s*(?:,\s*{SLOT}\.|;)"
+NATIVE_NAME = rf"^([{LETTER}][{LETTER}'\- ]{{0,40}}?)(?:\s*,\s*({SLOT}\.?(?:\s*,\s*{SLOT}\.?)*))?(?:\s*\(([^)]{{2,30}})\))?\s*[.,]?$"
+RUN_TOGETHER = rf"\s(?=[A-Z?]\.\s+{TWO_CAPITALS}[A-Za-zé]{{4,}}[\s.,;])"
+BRACKETED = r"\(\s*([A-Za-zé/\\.]{4,26})\s*\)"
+# Words that begin a sentence, not a name.
+SENTENCE_WORDS = ("the", "a", "an", "in", "of", "this", "these", "used", "cultivated")
 
 
 def parse_entry_lines(lines: DataFrame, line: str) -> DataFrame:
@@ -84,13 +97,8 @@ def dedent(line: Column, margin: Column) -> Column:
 
 def restore_initial(line: Column) -> Column:
     """A lost or damaged initial of an abbreviated genus becomes `?. `; the first rule that fits wins, a sound one (`A. `) stays."""
-    two_capitals = r"(?=[A-Za-z\u00e9\-]*[A-Z\u00c9][A-Za-z\u00e9\-]*[A-Z\u00c9])"
-    lost = r"^[\s>\u00ab\u00bb'\"|]*\.\s+(?=[A-Z\u00c9]|[a-z\u00e9]{1,3}[A-Z\u00c9])"
-    damaged = rf"^\s*[A-Za-z&>\u00ab\u00bb|]{{0,6}}[^A-Za-z\s.][A-Za-z&>\u00ab\u00bb|]{{0,6}}\.\s+{two_capitals}"
-    short = rf"^\s*(?![A-Z]\.\s)[A-Za-z]{{1,2}}\.\s+(?={two_capitals}[A-Za-z\u00e9\-]{{4,}})"
-    shifted = r"^\s{1,4}(?=[A-Z\u00c9]{4,}\s+[A-Z\u00c9][a-z\u00e9.])"
     out = line
-    for rule in (shifted, short, damaged, lost):
+    for rule in (SHIFTED_EPITHET, SHORT_INITIAL, DAMAGED_INITIAL, LOST_INITIAL):
         out = F.when(line.rlike(rule), F.regexp_replace(line, rule, "?. ")).otherwise(out)
     return out
 
@@ -101,10 +109,9 @@ def is_heading(line: Column) -> Column:
     first = F.regexp_extract(t, r"^(\S+)", 1)
     second = F.regexp_replace(F.regexp_extract(t, r"^\S+\s+(\S+)", 1), r"[.,;]+$", "")
     letters = F.regexp_replace(first, "[^A-Za-z]", "")
-    native = rf"(?i)^[A-Za-z\u00e9][A-Za-z\u00e9'\- ]{{1,40}}(?:\s*\([^)]{{2,30}}\))?\s*(?:,\s*{SLOT}\.|;)"
     shaped = (F.length(second) >= 4) & (F.regexp_count(second, F.lit("[A-Z\u00c9]")) >= 2) & second.rlike("^[A-Za-z\u00e9\\-]+$")
     return (
-        F.when(line.rlike(r"^\s{5,}") | (t == "") | t.rlike(FURNITURE) | t.rlike(r"^[a-z\u00e9]") | t.rlike(native), False)
+        F.when(line.rlike(r"^\s{5,}") | (t == "") | t.rlike(FURNITURE) | t.rlike(r"^[a-z\u00e9]") | t.rlike(NATIVE_LINE), False)
         .when(first.rlike(r"^[A-Z?]\.$"), True)
         .when(F.length(letters) < 3, False)
         .when(F.regexp_count(letters, F.lit("[A-Z]")) >= 2, True)
@@ -135,10 +142,9 @@ def join_block(lines: Column, heal: bool = False) -> Column:
 
 def split_run_together(blocks: DataFrame, text: str) -> DataFrame:
     """Explode blocks at an inner abbreviated genus before an epithet in capitals, from the 15th character on (columns piece, text)."""
-    mark = r"\s(?=[A-Z?]\.\s+(?=[A-Za-z\u00e9]*[A-Z\u00c9][A-Za-z\u00e9]*[A-Z\u00c9])[A-Za-z\u00e9]{4,}[\s.,;])"
     import re
 
-    cut = re.compile(mark)
+    cut = re.compile(RUN_TOGETHER)
 
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -158,14 +164,10 @@ def split_run_together(blocks: DataFrame, text: str) -> DataFrame:
     return blocks.select(*[c for c in blocks.columns if c != text], F.posexplode(split(F.col(text))).alias("piece", text))
 
 
-# Words that begin a sentence, not a name.
-SENTENCE_WORDS = ("the", "a", "an", "in", "of", "this", "these", "used", "cultivated")
-
-
 def as_vernacular(segment: Column) -> Column:
     """struct(name, dialects, place) of a segment shaped like a native name, else null."""
     s = F.trim(segment)
-    shape = rf"^([A-Za-z\u00c0-\u00ff][A-Za-z\u00c0-\u00ff'\- ]{{0,40}}?)(?:\s*,\s*({SLOT}\.?(?:\s*,\s*{SLOT}\.?)*))?(?:\s*\(([^)]{{2,30}})\))?\s*[.,]?$"
+    shape = NATIVE_NAME
     name = F.regexp_extract(s, shape, 1)
     locs, place = F.regexp_extract(s, shape, 2), F.regexp_extract(s, shape, 3)
     fits = F.length(s).between(2, 60) & s.rlike(shape) & (F.length(name) >= 2) & (F.size(F.split(name, r"\s+")) <= 4)
@@ -195,7 +197,7 @@ def split_notes(rest: Column) -> Column:
 def parse_block(text: Column, families: list[str] | None = None) -> Column:
     """struct(name, authority, family_raw, rest) of a block's text: the name stands before a bracketed word that
     looks like a family (or is one of ``families``), else before the first full stop followed by a capital."""
-    bracket = r"\(\s*([A-Za-z\u00e9/\\.]{4,26})\s*\)"
+    bracket = BRACKETED
     raw = F.regexp_extract(text, bracket, 1)
     is_family = F.lower(F.regexp_replace(raw, r"\.$", "")).isin([f.lower() for f in families]) if families else raw.rlike(r"(?i)(?:ceae|cee|cece|ae|ew|ex|\u00e6)\.?$")
     fam_at = F.when((raw != "") & is_family, F.regexp_instr(text, F.lit(bracket)))
@@ -204,7 +206,7 @@ def parse_block(text: Column, families: list[str] | None = None) -> Column:
     dot = F.regexp_instr(body, F.lit(r"\.\s+[A-Z]"))
     end = F.coalesce(fam_at - 1, F.when(dot > 0, skip + dot), F.length(text))
     name_part = F.regexp_replace(F.trim(F.substring(text, F.lit(1), end)), r"[\s.]+$", "")
-    start = F.when(fam_at.isNotNull(), F.regexp_instr(text, F.lit(r"\)[^(]*$")) * 0 + fam_at + F.length(F.regexp_extract(text, r"(\(\s*[A-Za-z\u00e9/\\.]{4,26}\s*\))", 1))).otherwise(end + 1)
+    start = F.when(fam_at.isNotNull(), fam_at + F.length(F.regexp_extract(text, BRACKETED, 0))).otherwise(end + 1)
     words = F.split(name_part, r"\s+")
     authority = F.regexp_replace(F.array_join(F.slice(words, 3, 10_000), " "), r"[.,\s]+$", "")
     return F.struct(
@@ -246,5 +248,5 @@ def sections(lines: DataFrame, group: list[str], page: str, line: str, openings:
 
 def unresolved_family(text: Column) -> Column:
     """A bracketed word that looks like a family though none was resolved, to extend the list by; null if there is none."""
-    raw = F.regexp_extract(text, "\\(\\s*([A-Za-zé/\\\\.]{4,26})\\s*\\)", 1)
+    raw = F.regexp_extract(text, BRACKETED, 1)
     return F.when(raw.rlike("(?i)ce|ae|se|re"), F.regexp_replace(raw, r"\.$", ""))

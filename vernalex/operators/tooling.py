@@ -49,3 +49,16 @@ def carry_drops(previous: DataFrame, current: DataFrame, key: list[str]) -> Data
 def doubtful(entries: DataFrame, everything: bool = False) -> DataFrame:
     """Entries worth a look: confidence unknown or under 70."""
     return entries if everything else entries.where(F.coalesce("confidence", F.lit(0)) < 70)
+
+
+def name_corrections(entries: DataFrame, transcript: DataFrame, page: list[str]) -> DataFrame:
+    """(page, was, name, family) where an aligned `Name | Family` transcript differs in the name, or gives another family.
+
+    entries: page, line_no, text (the printed name), family; transcript: page, line_no, text, family. family is null where it agrees or isn't given.
+    """
+    a = align_pages(entries, transcript, page, "line_no", "text")
+    e = entries.select(*page, F.col("line_no").alias("left_line_no"), F.col("text").alias("was"), F.col("family").alias("_had"))
+    t = transcript.select(*page, F.col("line_no").alias("right_line_no"), F.col("text").alias("name"), F.col("family").alias("_has"))
+    j = a.join(e, [*page, "left_line_no"]).join(t, [*page, "right_line_no"])
+    other = F.col("_has").isNotNull() & ~F.col("_has").eqNullSafe(F.col("_had"))
+    return j.where((F.upper("was") != F.upper("name")) | other).select(*page, "was", "name", F.when(other, F.col("_has")).alias("family"))

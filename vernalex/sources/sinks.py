@@ -46,3 +46,8 @@ def drift(listed: DataFrame, present: DataFrame, key: str) -> DataFrame:
     a = listed.select(key).distinct().join(present.select(key), key, "left_anti").withColumn("side", F.lit("listed"))
     b = present.select(key).distinct().join(listed.select(key), key, "left_anti").withColumn("side", F.lit("present"))
     return a.unionByName(b)
+
+
+def write_corrections(df: DataFrame, path: str) -> None:
+    """Corrections as JSON, a folder per page; nulls are left out, so a change of one page rewrites only its folder."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "true").partitionBy("page").json(path)
