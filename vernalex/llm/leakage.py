@@ -29,6 +29,7 @@ SEED, BASE, MOD = 4, 1_000_003, (1 << 61) - 1
 
 _JOIN = re.compile(r"(?<=\w)[-¬­]\s*\n\s*(?=\w)|[¬­]\s*")
 _MARKS = re.compile(r"[^a-z]+")
+_SPACES = str.maketrans(dict.fromkeys('.,;:?"-–—', " "))
 
 
 def tokens(text: str | None) -> list[str]:
@@ -39,14 +40,13 @@ def tokens(text: str | None) -> list[str]:
     if not t.isascii():
         t = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
     out = []
-    for w in re.split(r"[\s\-–—]+", t.lower()):
-        w = w.strip(".,;:?'\"‘’“”!")
+    for w in t.lower().translate(_SPACES).split():
         if w.isalnum() and w.isascii() and (w.isalpha() or w.isdigit()):
             out.append(w)
-        elif w:
-            w = _MARKS.sub("#", w)
-            if w != "#":
-                out.append(w)
+            continue
+        w = _MARKS.sub("#", w.strip("'‘’“”!"))
+        if w and w != "#":
+            out.append(w)
     return out
 
 
@@ -133,6 +133,21 @@ class Items:
             for k, h in rolling(w, SEED - 1):
                 self.rare[h].append((i, k))
         self.rare = {h: v for h, v in self.rare.items() if len({i for i, _ in v}) <= 3}
+        self.vocabulary = {x for w in self.words.values() for x in w}
+
+    def runs(self, d: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """Stretches of the document that are words of items, long enough for a seed."""
+        start = None
+        for k, w in enumerate(d):
+            if w in self.vocabulary:
+                if start is None:
+                    start = k
+            elif start is not None:
+                if k - start >= SEED - 1:
+                    yield start, d[start:k]
+                start = None
+        if start is not None and len(d) - start >= SEED - 1:
+            yield start, d[start:]
 
     def tiles(self, text: str | None) -> dict[int, list[tuple[int, int, int]]]:
         """item -> tiles (start in the document, start in the item, item words), longest first, none overlapping."""
@@ -140,8 +155,9 @@ class Items:
         found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
         # item -> place in the document -> places of the item that a tile already pairs with it
         reach: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        runs = list(self.runs(d))
         for size, index in ((SEED, self.index), (SEED - 1, self.rare)):
-            for i, h in rolling(d, size):
+            for i, h in ((start + k, h) for start, run in runs for k, h in rolling(run, size)):
                 for item, j in index.get(h, ()):
                     t = self.words[item]
                     if d[i] != t[j] or any(abs(j - e) <= 3 for e in reach[item].get(i, ())):
