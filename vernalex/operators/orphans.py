@@ -102,7 +102,9 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
 
     (src_table, ref_id, pos, year_month, reason, status, depth). A reference
     that holds is `inherited` if the record it points at is an orphan itself;
-    its reason is then `inherited`.
+    its reason is then `inherited`. Null arrays and elements refer to nothing, a
+    null headword or `was` matches nothing; repeated deliveries count once; empty tables give no
+    rows, or only missing references; other columns are ignored.
     """
     refs1, targets1 = plant_references(part1, part2)
     judged1 = judge_references(refs1, targets1, ["volume_id", "genus", "epithet"], ["seq", "pos"])
