@@ -23,6 +23,7 @@ def queries() -> dict:
         "p1_repaired": noise.p1_repaired,
         "p2_found": canonical.p2_found,
         "p2_unmatched": canonical.p2_unmatched,
+        "p2_candidates": canonical.p2_candidates,
         "p3_found": p3_found,
         "p3_links": p3_links,
         "p5_found": groups.p5_found,
