@@ -12,7 +12,7 @@ def doc(i, source, n=20, lang="en", genus="G"):
 
 
 def run(spark, docs, goals, **kw):
-    uses, shares = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(goals, GOALS), **kw)
+    uses, shares, _ = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(goals, GOALS), **kw)
     return {r.doc_id: r.n_repeats for r in uses.collect()}, {r.source: r for r in shares.collect()}
 
 
@@ -40,3 +40,11 @@ def test_empty(spark):
 def test_repeated_rows_and_nulls_in_targets(spark):
     uses, shares = run(spark, [doc(1, "a"), doc(1, "a"), doc(2, "a")], [("a", 1.0, None), (None, 0.5, 1)])
     assert set(uses) == {1, 2} and max(uses.values()) == 1
+
+
+def test_marginals_are_raked(spark):
+    # one source is mostly French, the other mostly English; the mix keeps the languages of the listed text where caps allow
+    docs = [doc(i, "a", lang="fr" if i % 4 else "en") for i in range(400)] + [doc(1000 + i, "b", lang="en" if i % 4 else "fr") for i in range(400)]
+    _, _, m = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 2)], GOALS), total_tokens=8000)
+    got = {r.value: r for r in m.where("marginal = 'lang'").collect()}
+    assert all(abs(r.actual_share - r.wanted_share) < 0.05 for r in got.values())

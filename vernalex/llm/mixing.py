@@ -86,10 +86,11 @@ def _fill(cells: DataFrame, share: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(f), "source").withColumn("w", F.when(full, F.col("cap")).otherwise(F.least(F.col("w") * F.greatest("_f", F.lit(0.0)), F.col("cap")))).drop("_f")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(uses, shares).
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uses, shares, marginals).
 
-    uses: doc_id, source, n_tokens, n_repeats >= 1. shares: per source of the targets the wanted and reached share.
+    uses: doc_id, source, lang, topic, n_tokens, n_repeats >= 1. marginals: the share of each language and topic in the listed
+    text, which the weights are raked to, beside the one reached. shares: per source of the targets the wanted and reached share.
     Without ``total_tokens`` the size is the largest at which every source that has text can reach its
     share within its cap. A source without text can't; its share falls to the others in
     proportion and it is reported with 0. Documents of unlisted sources, without a source or
@@ -109,14 +110,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     size = size.select("_s", (F.lit(float(total_tokens)) if total_tokens else F.col("_t") * F.col("_s")).alias("_size"))
     share = cut(live.crossJoin(F.broadcast(size)).select("source", F.least(F.col("target_share") / F.col("_s") * F.col("_size"), F.col("available") * F.col("cap")).alias("want")))
     keys = ["source", "lang", "topic"]
-    cells = d.join(F.broadcast(share.select("source")), "source", "left_semi").groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap"))
+    cells = cut(d.join(F.broadcast(share.select("source")), "source", "left_semi").groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap")))
     w = fit_weights(cells, share).select(*keys, "w")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
     docs = d.join(w, keys).withColumns({"_base": F.floor(F.col("w") + 1e-9), "_u": u})
     docs = docs.withColumn("_part", F.greatest(F.col("w") - F.col("_base"), F.lit(0.0)))
     ratio = F.when(F.col("_part") > 1e-9, F.col("_u") / F.col("_part"))
     docs = docs.withColumn("_bin", F.when(ratio < 4, F.floor(ratio / 4 * BINS)))
-    docs = cut(docs.select("doc_id", "source", "n_tokens", "_base", "_bin"))
+    docs = cut(docs.select("doc_id", *keys, "n_tokens", "_base", "_bin"))
     # per source, the bin up to which the fractional uses are drawn, so that the sum meets the goal
     base = docs.groupBy("source").agg(F.sum(F.col("_base") * F.col("n_tokens")).alias("_fixed"))
     run = Window.partitionBy("source").orderBy("_bin")
@@ -124,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     bins = bins.join(F.broadcast(base.join(share, "source")), "source")
     upto = bins.where(F.col("_fixed") + F.col("_run") - F.col("_n") / 2 <= F.col("want")).groupBy("source").agg(F.max("_bin").alias("_upto"))
     uses = docs.join(F.broadcast(upto), "source", "left").withColumn("n_repeats", (F.col("_base") + F.when(F.col("_bin") <= F.col("_upto"), 1).otherwise(0)).cast("int"))
-    uses = cut(uses.where(F.col("n_repeats") > 0).select("doc_id", "source", "n_tokens", "n_repeats"))
+    uses = cut(uses.where(F.col("n_repeats") > 0).select("doc_id", *keys, "n_tokens", "n_repeats"))
     got = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("tokens"), F.count("*").alias("n_documents"), F.max("n_repeats").alias("most_repeats"))
     whole = got.agg(F.sum("tokens").alias("_all"))
     shares = (
@@ -133,7 +134,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         .crossJoin(F.broadcast(whole))
         .select("source", "target_share", (F.col("tokens") / F.col("_all")).alias("actual_share"), "tokens", "n_documents", "most_repeats", F.col("cap").cast("int").alias("max_repeats"), F.col("available").alias("available_tokens"))
     )
-    return uses, shares
+    parts = []
+    for by in ("lang", "topic"):
+        there = cells.groupBy(F.col(by).alias("value")).agg(F.sum("tokens").alias("available_tokens"))
+        reached = uses.groupBy(F.col(by).alias("value")).agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("tokens"))
+        parts.append(there.join(reached, "value", "left").na.fill(0, ["tokens"]).select(F.lit(by).alias("marginal"), "value", "available_tokens", "tokens"))
+    every = cells.agg(F.sum("tokens").alias("_have")).crossJoin(F.broadcast(whole))
+    marginals = parts[0].unionByName(parts[1]).crossJoin(F.broadcast(every))
+    marginals = marginals.select("marginal", "value", (F.col("available_tokens") / F.col("_have")).alias("wanted_share"), (F.col("tokens") / F.col("_all")).alias("actual_share"))
+    return uses, shares, marginals
 
 
 def p7_mix(spark, sf_dir: str) -> DataFrame:
@@ -142,3 +151,7 @@ def p7_mix(spark, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[1]
+
+
+def p7_marginals(spark, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[2]

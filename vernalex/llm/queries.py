@@ -33,6 +33,7 @@ def queries() -> dict:
         "p6_items": leakage.p6_items,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
+        "p7_marginals": mixing.p7_marginals,
         "p8_found": abuse.p8_found,
         "p8_scores": abuse.p8_scores,
         "p8_rates": abuse.p8_rates,
