@@ -38,7 +38,8 @@ DISGUISE = str.maketrans("0134578@$€!|†", "oieastbaseilt")
 
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_HIDDEN = re.compile(r"[\w@$€!|†*]+")
+# a word with a mark or digit; anchored at the word's start and possessive, so that it is linear in any text
+_HIDDEN = re.compile(r"(?<![\w@$€!|†*])[^\W\d]*+[\d@$€!|†*][\w@$€!|†*]*+")
 _BREAK = re.compile(r"[-¬­]\s*\n\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n\s*\n")
 
@@ -63,13 +64,17 @@ def normal(text: str) -> str:
     return re.sub(r"[^a-z]+", " ", t.replace("*", "")).strip()
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain_word(word: str) -> str:
+    return normal(word)
+
+
 def unnamed(sentence: str, known: frozenset[str] | set[str]) -> str:
-    """The sentence without proper names: capitalised words after the first that aren't known words, unless it is shouted."""
-    upper = sum(ch.isupper() for ch in sentence)
-    if not upper or upper > 0.5 * sum(ch.isalpha() for ch in sentence):
-        return sentence
+    """The sentence without proper names: capitalised words after the first that aren't known words, unless most of its words are shouted."""
     words = sentence.split()
-    return " ".join(w for k, w in enumerate(words) if k == 0 or not w.lstrip("\"'(*").strip()[:1].isupper() or normal(w) in known)
+    if 2 * sum(map(str.isupper, words)) > len(words):
+        return sentence
+    return " ".join(w for k, w in enumerate(words) if k == 0 or not w.lstrip("\"'(*")[:1].isupper() or _plain_word(w) in known)
 
 
 def windows(text: str | None, known: frozenset[str] | set[str] = frozenset()) -> list[str]:
