@@ -37,7 +37,7 @@ def test_display(spark):
 GOLDEN = [
     ("ANAHAO, T., V. Licuala spectabilis Miq.", "ANAHAO", ", T., V.", None, "Licuala spectabilis Miq."),
     ("AMORES SECOS, Sp.-Fil. Chrysopogon aciculatus", "AMORES SECOS", ", Sp.-Fil.", None, "Chrysopogon aciculatus"),
-    ("Captiao, V., T.- Cynomorium philippinense Blanco.", "Captiao", ", V., T.", None, "Cynomorium philippinense Blanco."),
+    ("Captiao, V., T.- Cynomorium coccineum Blanco.", "Captiao", ", V., T.", None, "Cynomorium coccineum Blanco."),
     ("Ma.arsis, T. Malaisia tortuosa Blanco.", "Maarsis", ", T.", None, "Malaisia tortuosa Blanco."),
     ("Dam6-Hia; T. Mimosa pudica L.", "Dam6-Hia", "; T.", None, "Mimosa pudica L."),
     ("Buyén (Balabac). Mussaenda grandiflora Rolfe.", "Buyén", None, "Balabac", "Mussaenda grandiflora Rolfe."),
