@@ -76,6 +76,27 @@ def test_repair(part1, part2):
     assert got[(100, "notes")] == GOOD.replace("\n", " ")
 
 
+def test_repair_of_entries(part1, part2):
+    p1 = [entry(k, "BÁDIN NGA LOTE, Hil. Petrosta cuplicum Olm.") for k in range(100, 103)] + [
+        entry(1, "BÁD*N, H1l. Petrosta cupl1cum Olm."),
+        entry(2, "S3TÍ-SeT|, Sur. Pe|rosta alba and othcr spccies."),
+        entry(3, "LO.TE; Hil. Petrosta [illegible] 2nd"),
+        entry(4, "XU}AN, Sur. Petrosta"),
+        entry(5, "BÁ1I, Sur. Petrosta", headword="BÁDI", ocr_headword="BÁ1I"),
+        entry(7, "MÍL0-MÍLO, Sur.\nPetrosta q--"),
+    ]
+    p1[5]["headword"] = "LO.TE"
+    got = {(r.seq, r.field_name): r.text for r in noise.repaired(part1(*p1), part2()).collect()}
+    assert got[(1, "headword")] == "BÁDIN" and got[(1, "raw")] == "BÁDIN, Hil. Petrosta cuplicum Olm."
+    assert got[(2, "headword")] == "SETÍ-SET|" and got[(2, "raw")] == "SETÍ-SET|, Sur. Petrosta alba and other species."
+    assert got[(3, "headword")] == "LOTE" and got[(3, "raw")] == "LOTE; Hil. Petrosta [illegible] 2nd"
+    # a mark that may be any letter is not guessed
+    assert got[(4, "headword")] == "XU}AN"
+    assert got[(5, "raw")] == "BÁDI, Sur. Petrosta"
+    assert got[(7, "headword")] == "MÍLO-MÍLO" and got[(7, "raw")] == "MÍLO-MÍLO, Sur. Petrosta q--"
+    assert got[(100, "raw")] == p1[0]["raw"]
+
+
 def test_empty(part1, part2):
     assert kinds(part1, part2) == set()
 

@@ -245,13 +245,127 @@ def damage(part1: DataFrame, part2: DataFrame) -> DataFrame:
     return entries.unionByName(notes).select("src_table", F.col("seq").cast("long").alias("seq"), "field_name", "kind")
 
 
+# What a digit or mark of Part I can stand for, the usual letter first. Every other mark may be any letter.
+LOOKALIKES = (("0", "oó"), ("1", "lií"), ("3", "eé"), ("4", "aá"), ("5", "s"), ("6", "gb"), ("7", "t"), ("8", "b"), ("9", "g"), ("µ", "uú"), ("ſ", "s"), ("†", "t"), ("@", "a"), ("$", "s"))
+VOWELS = "aeiouáéíóúàèìòùâêîôûäëïöü"
+# Letters in a row by which a damaged word is looked up at most.
+RUN = 4
+
+
+def _split_words(text: Column) -> Column:
+    """Words between blanks and hyphens, without outer punctuation."""
+    t = F.regexp_replace(text, OMISSION, " ")
+    return F.filter(F.transform(F.split(t, r"[\s\-—]+"), lambda w: F.regexp_replace(w, r"^[.,;:'‘’\"`?(]+|[.,;:'‘’\"`?)]+$", "")), lambda w: w != "")
+
+
+def _damaged(word: Column, head: bool) -> Column:
+    """Words of a headword with anything but capitals; of the rest of the entry those with a mark or digit."""
+    if head:
+        return word.rlike(r"[^\p{Lu}]") & word.rlike(r"\p{L}")
+    return word.rlike(MARKED) & ~word.rlike(r"^\d+(?:st|nd|rd|th)$")
+
+
+def _letters(word: Column) -> Column:
+    """Lower-case word; points, commas and quotes put in are gone."""
+    return F.regexp_replace(F.regexp_replace(F.lower(word), r"[.,;:'‘’\"`]", ""), r"\(\)", "0")
+
+
+def _shape(word: Column) -> Column:
+    """The letters and look-alikes of a word; a mark that may be any letter is `_`."""
+    known = "".join(a for a, _ in LOOKALIKES)
+    return F.regexp_replace(_letters(word), rf"[^\p{{L}}{known}]|[\x{{fb00}}-\x{{fb06}}\x{{370}}-\x{{4ff}}]", "_")
+
+
+def _runs(word: Column, n: int, clean: Column) -> Column:
+    """Keys of all runs of n letters: the word's length, the place and the letters."""
+    size = F.length(word)
+    at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat_ws(":", size, i, clean.substr(i, F.lit(n))))
+
+
+def _plain_reading(letters: Column) -> Column:
+    """Every look-alike as its usual letter; `1` is i between consonants, else l. Marks of no certain letter stay."""
+    beside = rf"[{VOWELS}\p{{S}}\p{{P}}]"
+    w = F.regexp_replace(letters, rf"(?<!{beside})1(?!{beside})", "i")
+    for a, b in LOOKALIKES:
+        w = F.replace(w, F.lit(a), F.lit(b[0]))
+    return w
+
+
+def read_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """asked(seq, head, word, own) and words(head, v, n) -> (seq, head, word, meant), lower-case.
+
+    ``words`` are the undamaged words of the whole corpus, headwords and other words apart; ``own`` those of the same field.
+    A word of the same field that fits is taken first, then the only one of the corpus that fits, or for a word of look-alikes the most
+    frequent; else each look-alike is read as its usual letter. A mark that may be any letter is
+    not guessed and stays.
+    """
+    a = asked.withColumn("shape", _shape(F.col("word")))
+    fits = F.regexp_replace("shape", "_", r"\\p{L}")
+    for x, ys in LOOKALIKES:
+        fits = F.replace(fits, F.lit(x), F.lit(f"[{ys}]"))
+    a = a.withColumn("fits", F.concat(F.lit("^"), fits, F.lit("$"))).withColumn("near", F.get(F.filter("own", lambda w: F.rlike(w, F.col("fits"))), F.lit(0)))
+    a = cut(a.drop("own"))
+    unread = r"[^\p{L}]|[µſ]"
+    clean = F.regexp_replace("shape", unread, "_")
+    at = [F.filter(_runs(F.col("shape"), n, clean), lambda k: ~F.contains(k, F.lit("_"))) for n in range(RUN, 1, -1)]
+    once = a.where(F.col("near").isNull() & F.col("shape").rlike(unread)).select("head", "shape", "fits").distinct()
+    once = once.withColumn("k", F.coalesce(*[F.get(x, F.lit(0)) for x in at])).where(F.col("k").isNotNull())
+    shapes = once.select("head", F.length("shape").alias("_n")).distinct()
+    keyed = words.withColumn("_n", F.length("v")).join(F.broadcast(shapes), ["head", "_n"], "left_semi")
+    keyed = keyed.select("head", "v", "n", F.explode(F.concat(*[_runs(F.col("v"), n, F.col("v")) for n in range(RUN, 1, -1)])).alias("k"))
+    hits = once.join(keyed, ["head", "k"]).where(F.rlike("v", F.col("fits")))
+    best = hits.groupBy("head", "shape").agg(F.count("*").alias("n_fit"), F.max_by("v", F.struct("n", "v")).alias("best"))
+    out = a.join(best, ["head", "shape"], "left")
+    guess = _plain_reading(_letters(F.col("word")))
+    holes = F.contains("shape", F.lit("_"))
+    meant = F.coalesce("near", F.when((F.col("n_fit") == 1) | ~holes, F.col("best")), guess)
+    return out.select("seq", "head", "word", meant.alias("meant"))
+
+
+def _apply(text: Column, pairs: Column) -> Column:
+    """Each damaged word of the text (word, meant) replaced, the longest first."""
+    longest = F.array_sort(F.coalesce(pairs, F.array().cast("array<struct<word:string,meant:string>>")), lambda a, b: F.length(b["word"]) - F.length(a["word"]))
+    return F.aggregate(longest, text, lambda t, p: F.replace(t, p["word"], p["meant"]))
+
+
+def repaired_entries(p1: DataFrame) -> DataFrame:
+    """(seq, raw, headword) of Part I: broken words joined, damaged words of both fields read where they can be.
+
+    The headword printed in front of raw is read as the headword itself; the words after it (dialects, plants,
+    authorities) by the words of all entries.
+    """
+    squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    p = p1.select("seq", squash(healed(compound_kept(F.col("body"), F.trim("own")))).alias("flat"), squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
+    p = p.withColumn("has_head", F.coalesce(F.startswith("flat", "printed") & (F.col("printed") != ""), F.lit(False)))
+    rest = F.when(F.col("has_head"), F.expr("substring(flat, length(printed) + 1)")).otherwise(F.col("flat"))
+    p = cut(p.withColumn("rest", rest).drop("flat"))
+    ending = F.regexp_extract("rest", r"(?<!\p{L})(\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}\S*?)\W*$", 1)
+    odd = (ending != "") & (F.levenshtein(ending, F.lit("and other species"), 6) > 0)
+    p = p.withColumn("rest", F.when(F.length("rest") < 12, F.col("rest")).when(odd, F.replace("rest", ending, F.lit("and other species"))).otherwise(F.col("rest")))
+    each = F.explode(F.array(F.struct(F.lit(True).alias("head"), _split_words(F.col("hw")).alias("ws")), F.struct(F.lit(False).alias("head"), _split_words(F.col("rest")).alias("ws"))))
+    t = p.select("seq", each.alias("e")).select("seq", "e.head", "e.ws")
+    bad = F.when(F.col("head"), F.filter("ws", lambda w: _damaged(w, True))).otherwise(F.filter("ws", lambda w: _damaged(w, False)))
+    t = cut(t.withColumn("bad", bad))
+    whole = t.select("head", F.explode("ws").alias("w")).where(F.when(F.col("head"), F.col("w").rlike(r"^\p{Lu}+$")).otherwise(F.col("w").rlike(r"^\p{L}+$") & ~F.col("w").rlike(MARK)))
+    words = whole.groupBy("head", F.lower("w").alias("v")).agg(F.count("*").alias("n"))
+    own = F.transform(F.filter("ws", lambda w: w.rlike(r"^\p{L}+$") & (F.col("head") & w.rlike(r"^\p{Lu}+$"))), F.lower)
+    asked = t.where(F.size("bad") > 0).select("seq", "head", own.alias("own"), F.explode(F.array_distinct("bad")).alias("word"))
+    got = read_words(asked, words)
+    first = F.col("word").rlike(r"^[^\p{L}]*\p{Lu}") | ((F.length("word") > 1) & F.col("word").rlike(r"^[^\p{L}]\p{Lu}"))
+    shown = F.when(F.col("head"), F.upper("meant")).when(first, F.concat(F.upper(F.substring("meant", 1, 1)), F.expr("substring(meant, 2)"))).otherwise(F.col("meant"))
+    pair = F.struct("word", shown.alias("meant"))
+    fixes = got.groupBy("seq").agg(F.collect_list(F.when(F.col("head"), pair)).alias("of_head"), F.collect_list(F.when(~F.col("head"), pair)).alias("of_rest"))
+    p = p.join(fixes, "seq", "left").withColumn("headword", _apply(F.col("hw"), F.col("of_head"))).withColumn("rest", _apply(F.col("rest"), F.col("of_rest")))
+    return p.select("seq", F.when(F.col("has_head"), F.concat(F.coalesce("headword", "printed"), "rest")).otherwise(F.col("rest")).alias("raw"), "headword")
+
+
 def repaired(part1: DataFrame, part2: DataFrame) -> DataFrame:
-    """(src_table, seq, field_name, text): continuous text without furniture, broken words joined, misread words of notes corrected."""
+    """(src_table, seq, field_name, text): continuous text without furniture, broken words joined, misread words of notes and damaged words of entries corrected."""
     p1, p2 = inspected(part1, part2)
     flat = F.trim(F.regexp_replace(healed(F.col("body")), r"\s+", " "))
-    flat_raw = F.trim(F.regexp_replace(healed(compound_kept(F.col("body"), F.trim("own"))), r"\s+", " "))
-    raw = p1.select(F.lit("part1_vernacular").alias("src_table"), "seq", F.lit("raw").alias("field_name"), flat_raw.alias("text"))
-    head = p1.select(F.lit("part1_vernacular").alias("src_table"), "seq", F.lit("headword").alias("field_name"), F.trim(F.regexp_replace(healed(F.col("headword")), r"\s+", " ")).alias("text"))
+    of_entry = F.array(F.struct(F.lit("raw").alias("field_name"), F.col("raw").alias("text")), F.struct(F.lit("headword").alias("field_name"), F.col("headword").alias("text")))
+    entries = repaired_entries(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", F.explode(of_entry).alias("e")).select("src_table", "seq", "e.*")
     counts = note_words(p2).groupBy("word").agg(F.count("*").alias("n"))
     tokens = p2.select("seq", F.posexplode(F.split(flat, " ")).alias("i", "tok"))
     core = r"^([(\"']*)(.*?)([.,;:?)\"']*)$"
@@ -262,7 +376,7 @@ def repaired(part1: DataFrame, part2: DataFrame) -> DataFrame:
     fixed = fixed.withColumn("tok", F.when(F.col("meant").isNotNull(), F.concat(F.regexp_extract("tok", core, 1), cased, F.regexp_extract("tok", core, 3))).otherwise(F.col("tok")))
     notes = fixed.groupBy("seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "tok"))), lambda s: s["tok"]), " ").alias("text"))
     notes = notes.select(F.lit("part2_scientific").alias("src_table"), "seq", F.lit("notes").alias("field_name"), "text")
-    return raw.unionByName(head).unionByName(notes).where(F.col("text").isNotNull())
+    return entries.unionByName(notes).where(F.col("text").isNotNull())
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
