@@ -76,6 +76,21 @@ def test_repair(part1, part2):
     assert got[(100, "notes")] == GOOD.replace("\n", " ")
 
 
+def test_breaks_by_the_corpus(part1, part2):
+    plain = "The leaves are three-clustered; the wood is for making rope."
+    p2 = [notes(k, plain) for k in range(100, 140)] + [
+        notes(1, "Leaves Three-\nclustered, some three- clustered."),
+        notes(2, "Good for mak-ing and mak-\ning rope."),
+        notes(3, "An un-\nheard word; one- or\ntwo-\nto three-clustered."),
+    ]
+    got = {r.seq: r.text for r in noise.repaired(part1(), part2(*p2)).collect()}
+    assert got[1] == "Leaves Three-clustered, some three-clustered."
+    assert got[2] == "Good for making and making rope."
+    assert got[3] == "An unheard word; one- or two- to three-clustered."
+    assert got[100] == plain
+    assert kinds(part1, part2, (), p2) == {("part2", k, "notes", "hyphen") for k in (1, 2, 3)}
+
+
 def test_repair_of_entries(part1, part2):
     p1 = [entry(k, "BÁDIN NGA LOTE, Hil. Petrosta cuplicum Olm.") for k in range(100, 103)] + [
         entry(1, "BÁD*N, H1l. Petrosta cupl1cum Olm."),

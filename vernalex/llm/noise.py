@@ -211,17 +211,63 @@ def entry_damage(p1: DataFrame) -> DataFrame:
     return p.select("seq", F.explode(each).alias("e")).select("seq", "e.*")
 
 
-def note_words(p2: DataFrame) -> DataFrame:
-    """(seq, word) distinct words of the healed notes, and compounds with their hyphen."""
-    return p2.select("seq", F.explode(F.array_distinct(words_of(healed(F.col("body"))))).alias("word"))
+# Where a word is torn.
+TORN = "\x01"
+
+
+def torn(body: Column) -> Column:
+    """The text with one TORN in place of each break of a word."""
+    x = F.regexp_replace(F.regexp_replace(body, BROKEN_LINE, f"$1{TORN}"), BROKEN_BLANK, f"$1{TORN}")
+    return F.when(body.rlike(rf"[{HYPHEN}]\s|[\u00ac\u00ad\u2010]"), F.regexp_replace(x, SOFT, f"$1{TORN}")).otherwise(body)
+
 
+def _letter_words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
-def joined_compounds(p2: DataFrame, counts: DataFrame) -> DataFrame:
-    """seq of notes with a hyphened word that the corpus mostly writes as one: broken, the line end lost."""
-    c = p2.select("seq", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(r"(?<![\p{L}\-])(\p{L}+-\p{L}+)(?![\p{L}\-])"), F.lit(1))).alias("c"))
-    often = c.groupBy("c").agg(F.count("*").alias("n_c")).withColumn("word", F.replace("c", F.lit("-"), F.lit("")))
-    lost = often.join(counts, "word").where(F.col("n") >= F.col("n_c") * RATIO).select("c")
-    return c.join(lost, "c", "left_semi").select("seq").distinct()
+
+def rejoined_notes(p2: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Notes with ``whole`` (broken words joined as the corpus writes them) and ``lost`` (a line end was lost), their words and counts of these.
+
+    Each break is decided by the notes that hold the word unbroken: with its hyphen if more have it so than joined, else joined. A hyphened word
+    within a line is joined (its line end being lost) if RATIO times as many notes have it as one word. Words: (seq, word), of letters only;
+    counts: (word, n).
+    """
+    p2 = cut(p2)
+    text = F.lower(torn(F.col("body")))
+    solid = F.regexp_replace(text, rf"[\p{{L}}\-]*{TORN}[\p{{L}}\-{TORN}]*", " ")
+    words = p2.select("seq", F.explode(_letter_words(solid)).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    broken_forms = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(\p{{L}}+{TORN}\p{{L}}+)"), F.lit(1))), lambda c: F.struct(F.replace(c, F.lit(TORN), F.lit("-")).alias("c"), F.lit(True).alias("torn")))
+    compounds = F.transform(F.array_distinct(F.regexp_extract_all(solid, F.lit(r"(?<![\p{L}\-])(\p{L}+-\p{L}+)(?![\p{L}\-])"), F.lit(1))), lambda c: F.struct(c.alias("c"), F.lit(False).alias("torn")))
+    hyphened = p2.where(F.col("body").rlike(rf"[{HYPHEN}]"))
+    forms = cut(hyphened.select("seq", F.explode(F.concat(broken_forms, compounds)).alias("f")).select("seq", "f.*"))
+    often = forms.groupBy("c").agg(F.count_if(~F.col("torn")).alias("n_c"), F.max("torn").alias("_any")).withColumn("word", F.replace("c", F.lit("-"), F.lit("")))
+    n, n_c = F.coalesce("n", F.lit(0)), F.col("n_c")
+    judged = often.join(counts, "word", "left").select("c", (F.col("_any") & (n_c > n)).alias("keep"), ((n_c > 0) & (n >= n_c * RATIO)).alias("join"))
+    judged = judged.where(F.col("keep") | F.col("join"))
+    changed = forms.join(judged, "c").where(F.when(F.col("torn"), F.col("keep")).otherwise(F.col("join")))
+    changed = changed.groupBy("seq").agg(F.collect_list(F.struct("c", "torn")).alias("_changes"))
+    p2 = p2.join(changed, "seq", "left")
+
+    def change(t: Column, f: Column) -> Column:
+        a, b = F.substring_index(f["c"], "-", 1), F.substring_index(f["c"], "-", -1)
+        kept = F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<!\p{L})("), a, F.lit(f"){TORN}("), b, F.lit(r")(?!\p{L})")), F.lit("$1-$2"))
+        joined = F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\-])("), a, F.lit(")-("), b, F.lit(r")(?![\p{L}\-])")), F.lit("$1$2"))
+        return F.when(f["torn"], kept).otherwise(joined)
+
+    marked_breaks = torn(F.col("body"))
+    decided = F.when(F.col("_changes").isNull(), marked_breaks).otherwise(F.aggregate("_changes", marked_breaks, change))
+    p2 = p2.withColumns({"whole": F.replace(decided, F.lit(TORN), F.lit("")), "lost": F.coalesce(F.exists("_changes", lambda f: ~f["torn"]), F.lit(False))}).drop("_changes")
+    p2 = cut(p2)
+    # words that stand only in what was rejoined
+    more = p2.where(broken(F.col("body")) | F.col("lost")).select("seq", F.explode(F.array_except(_letter_words(F.col("whole")), _letter_words(solid))).alias("word"))
+    all_counts = counts.unionByName(more.groupBy("word").agg(F.count("*").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    return p2, words.unionByName(more), all_counts
+
+
+def note_words(p2: DataFrame) -> DataFrame:
+    """(seq, word) distinct words of the rejoined notes."""
+    return p2.select("seq", F.explode(F.array_distinct(words_of(F.col("whole")))).alias("word"))
 
 
 def damage(part1: DataFrame, part2: DataFrame) -> DataFrame:
@@ -231,16 +277,13 @@ def damage(part1: DataFrame, part2: DataFrame) -> DataFrame:
     """
     p1, p2 = inspected(part1, part2)
     entries = entry_damage(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", "field_name", F.explode("kinds").alias("kind"))
-    p2 = cut(p2)
     # words of letters only; what a mark splits is damaged anyway
-    words = p2.select("seq", F.explode(F.array_distinct(F.split(F.lower(healed(F.col("body"))), r"[^\p{L}]+"))).alias("word"))
-    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    p2, words, counts = rejoined_notes(p2)
     wrong = misread_words(counts.where(F.length("word") > 0), marks=False).select("word")
     body = F.col("body")
-    sure = p2.select("seq", F.explode(F.array_compact(F.array(F.when(F.col("furniture"), F.lit("furniture")), F.when(broken(body), F.lit("hyphen")), F.when(marked(healed(body)), F.lit("chars"))))).alias("kind"))
+    sure = p2.select("seq", F.explode(F.array_compact(F.array(F.when(F.col("furniture"), F.lit("furniture")), F.when(broken(body) | F.col("lost"), F.lit("hyphen")), F.when(marked(F.col("whole")), F.lit("chars"))))).alias("kind"))
     read_wrong = words.join(wrong, "word", "left_semi").select("seq", F.lit("chars").alias("kind"))
-    lost = joined_compounds(p2, counts).select("seq", F.lit("hyphen").alias("kind"))
-    notes = sure.unionByName(read_wrong).unionByName(lost).distinct()
+    notes = sure.unionByName(read_wrong).distinct()
     notes = notes.select(F.lit("part2_scientific").alias("src_table"), "seq", F.lit("notes").alias("field_name"), "kind")
     return entries.unionByName(notes).select("src_table", F.col("seq").cast("long").alias("seq"), "field_name", "kind")
 
@@ -363,7 +406,8 @@ def repaired_entries(p1: DataFrame) -> DataFrame:
 def repaired(part1: DataFrame, part2: DataFrame) -> DataFrame:
     """(src_table, seq, field_name, text): continuous text without furniture, broken words joined, misread words of notes and damaged words of entries corrected."""
     p1, p2 = inspected(part1, part2)
-    flat = F.trim(F.regexp_replace(healed(F.col("body")), r"\s+", " "))
+    p2, _, _ = rejoined_notes(p2)
+    flat = F.trim(F.regexp_replace("whole", r"\s+", " "))
     of_entry = F.array(F.struct(F.lit("raw").alias("field_name"), F.col("raw").alias("text")), F.struct(F.lit("headword").alias("field_name"), F.col("headword").alias("text")))
     entries = repaired_entries(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", F.explode(of_entry).alias("e")).select("src_table", "seq", "e.*")
     counts = note_words(p2).groupBy("word").agg(F.count("*").alias("n"))
