@@ -9,6 +9,7 @@ the usual confusions of scanners turn into a far more frequent one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -382,25 +383,35 @@ def repaired_entries(p1: DataFrame) -> DataFrame:
     p = p1.select("seq", squash(healed(compound_kept(F.col("body"), F.trim("own")))).alias("flat"), squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
     p = p.withColumn("has_head", F.coalesce(F.startswith("flat", "printed") & (F.col("printed") != ""), F.lit(False)))
     rest = F.when(F.col("has_head"), F.expr("substring(flat, length(printed) + 1)")).otherwise(F.col("flat"))
-    p = cut(p.withColumn("rest", rest).drop("flat"))
-    ending = F.regexp_extract("rest", r"(?<!\p{L})(\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}\S*?)\W*$", 1)
-    odd = (ending != "") & (F.levenshtein(ending, F.lit("and other species"), 6) > 0)
-    p = p.withColumn("rest", F.when(F.length("rest") < 12, F.col("rest")).when(odd, F.replace("rest", ending, F.lit("and other species"))).otherwise(F.col("rest")))
-    each = F.explode(F.array(F.struct(F.lit(True).alias("head"), _split_words(F.col("hw")).alias("ws")), F.struct(F.lit(False).alias("head"), _split_words(F.col("rest")).alias("ws"))))
-    t = p.select("seq", each.alias("e")).select("seq", "e.head", "e.ws")
+    p = p.withColumn("rest", rest).drop("flat")
+    ending = F.regexp_extract(F.right("rest", F.lit(24)), r"(?<!\p{L})(\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}\S*?)\W*$", 1)
+    p = p.withColumn("_ending", ending)
+    odd = (F.col("_ending") != "") & (F.levenshtein("_ending", F.lit("and other species"), 6) > 0)
+    p = p.withColumn("rest", F.when(odd, F.replace("rest", F.col("_ending"), F.lit("and other species"))).otherwise(F.col("rest"))).drop("_ending")
+    hurt = F.col("hw").rlike(r"[^\p{Lu}\s\-]"), F.col("rest").rlike(MARKED)
+    p = cut(p.withColumn("hurt", F.coalesce(hurt[0], F.lit(False)) | F.coalesce(hurt[1], F.lit(False))))
+
+    def both(of: DataFrame, words: Callable[[str], Column]) -> DataFrame:
+        each = F.explode(F.array(F.struct(F.lit(True).alias("head"), words("hw").alias("ws")), F.struct(F.lit(False).alias("head"), words("rest").alias("ws"))))
+        return of.select("seq", each.alias("e")).select("seq", "e.*")
+
+    # few entries are damaged; only their words are looked at one by one
+    t = both(p.where("hurt"), lambda c: _split_words(F.col(c)))
     bad = F.when(F.col("head"), F.filter("ws", lambda w: _damaged(w, True))).otherwise(F.filter("ws", lambda w: _damaged(w, False)))
     t = cut(t.withColumn("bad", bad))
     whole = t.select("head", F.explode("ws").alias("w")).where(F.when(F.col("head"), F.col("w").rlike(r"^\p{Lu}+$")).otherwise(F.col("w").rlike(r"^\p{L}+$") & ~F.col("w").rlike(MARK)))
-    words = whole.groupBy("head", F.lower("w").alias("v")).agg(F.count("*").alias("n"))
-    own = F.transform(F.filter("ws", lambda w: w.rlike(r"^\p{L}+$") & (F.col("head") & w.rlike(r"^\p{Lu}+$"))), F.lower)
+    sound = both(p.where("not hurt"), lambda c: F.split(F.lower(c), r"[^\p{L}]+")).select("head", F.explode("ws").alias("v"))
+    words = whole.select("head", F.lower("w").alias("v")).unionByName(sound).where(F.length("v") > 1).groupBy("head", "v").agg(F.count("*").alias("n"))
+    own = F.transform(F.filter("ws", lambda w: F.col("head") & w.rlike(r"^\p{Lu}+$")), F.lower)
     asked = t.where(F.size("bad") > 0).select("seq", "head", own.alias("own"), F.explode(F.array_distinct("bad")).alias("word"))
     got = read_words(asked, words)
     first = F.col("word").rlike(r"^[^\p{L}]*\p{Lu}") | ((F.length("word") > 1) & F.col("word").rlike(r"^[^\p{L}]\p{Lu}"))
     shown = F.when(F.col("head"), F.upper("meant")).when(first, F.concat(F.upper(F.substring("meant", 1, 1)), F.expr("substring(meant, 2)"))).otherwise(F.col("meant"))
     pair = F.struct("word", shown.alias("meant"))
     fixes = got.groupBy("seq").agg(F.collect_list(F.when(F.col("head"), pair)).alias("of_head"), F.collect_list(F.when(~F.col("head"), pair)).alias("of_rest"))
-    p = p.join(fixes, "seq", "left").withColumn("headword", _apply(F.col("hw"), F.col("of_head"))).withColumn("rest", _apply(F.col("rest"), F.col("of_rest")))
-    return p.select("seq", F.when(F.col("has_head"), F.concat(F.coalesce("headword", "printed"), "rest")).otherwise(F.col("rest")).alias("raw"), "headword")
+    mended = p.where("hurt").join(fixes, "seq", "left").withColumn("hw", _apply(F.col("hw"), F.col("of_head"))).withColumn("rest", _apply(F.col("rest"), F.col("of_rest")))
+    p = p.where("not hurt").unionByName(mended.select(p.columns))
+    return p.select("seq", F.when(F.col("has_head"), F.concat(F.coalesce("hw", "printed"), "rest")).otherwise(F.col("rest")).alias("raw"), F.col("hw").alias("headword"))
 
 
 def repaired(part1: DataFrame, part2: DataFrame) -> DataFrame:
