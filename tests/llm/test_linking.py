@@ -27,6 +27,27 @@ def test_names(part1, part2):
     assert got == {(1, 101), (1, 190), (1, 102), (2, 101), (2, 190), (3, 100)}
 
 
+def test_two_edits_anywhere(part1, part2):
+    p2 = [{"seq": 100, "name": "BRONZATIA HIMPHOLUIDES", "genus": "BRONZATIA"}, {"seq": 101, "name": "BRONZATIA POTHOLATA", "genus": "BRONZATIA"}, {"seq": 102, "name": "VANDEA", "genus": "VANDEA"}]
+    p1 = [{"seq": k, "headword": "X", "taxa": [t]} for k, t in enumerate(("Bronzatia hinpholoides", "Bronzatia poholita", "Vondia"))]
+    assert {(r.part1_seq, r.part2_seq) for r in linking.match_entries(part1(*p1), part2(*p2)).collect()} == {(0, 100), (1, 101), (2, 102)}
+
+
+def test_probes_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from vernalex.operators.taxa import probe_keys, segment_keys
+
+    rng = random.Random(5)
+    words = {"".join(rng.choice("ABC") for _ in range(rng.randint(1, 9))) for _ in range(250)}
+    w = spark.createDataFrame([(x,) for x in sorted(words)], "w string")
+    pairs = w.crossJoin(w.withColumnRenamed("w", "u")).where("levenshtein(w, u, 2) >= 0")
+    lost = pairs.where(~F.arrays_overlap(probe_keys(F.col("w")), segment_keys(F.col("u"))))
+    assert pairs.count() > 1000 and lost.count() == 0
+
+
 def test_native_names(part1, part2):
     got = pairs(
         part1, part2,

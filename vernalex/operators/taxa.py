@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vernalex.functions.text import deaccent, delete_one, letters_key, phonetic
+from vernalex.functions.text import deaccent, letters_key, phonetic
 from vernalex.operators.carry import carry_down
 from vernalex.plans.lineage import cut, small
 from vernalex.sources.tables import first_deliveries
@@ -89,27 +89,51 @@ def scientific_entries(part2: DataFrame) -> DataFrame:
     return cut(e.select("volume_id", "seq", F.coalesce("_own", "_open").alias("genus"), "epithet", "recorded_at", "withdrawn_at"))
 
 
-def edge_keys(word: Column) -> Column:
-    """Blocking keys of a word: its first three letters, its last six (four if it is short) and all but three at each end.
+def _segments(size: Column, j: int) -> tuple[Column, Column]:
+    """Place and length of the jth of three parts of a word of that size."""
+    start = F.floor(size * (j - 1) / 3).cast("int")
+    return start + 1, F.floor(size * j / 3).cast("int") - start
 
-    One edit never breaks them all, two edits rarely do.
+
+def _segment_key(size: Column, j: int, part: Column) -> Column:
+    return F.concat_ws(":", size, F.lit(j), part)
+
+
+def segment_keys(word: Column) -> Column:
+    """Keys of the three parts of a listed word; two edits leave one of them whole."""
+    n = F.length(word)
+    return F.array(*[_segment_key(n, j, word.substr(*_segments(n, j))) for j in (1, 2, 3)])
+
+
+def probe_keys(word: Column) -> Column:
+    """The parts that words within two edits can have in common with this one, for every length and shift they can have.
+
+    Some part j is whole with at most j - 1 edits before and 3 - j after it, so any word within two edits has one of
+    these among its ``segment_keys``.
     """
     n = F.length(word)
-    tail = F.concat(F.right(word, F.lit(6)), F.lit("$"))
-    short = F.when(n < 12, F.concat(F.right(word, F.lit(4)), F.lit("$")))
-    middle = F.when(n > 8, F.concat(F.lit("~"), word.substr(F.lit(4), n - 6)))
-    return F.array_compact(F.array(F.concat(F.lit("^"), F.left(word, F.lit(3))), middle, tail, short))
+    keys = []
+    for more in range(-2, 3):
+        size = n - more
+        for j in (1, 2, 3):
+            place, long = _segments(size, j)
+            for shift in range(1 - j, j):
+                if abs(more - shift) <= 3 - j:
+                    at = place + shift
+                    keys.append(F.when((size > 0) & (at >= 1) & (at + long - 1 <= n), _segment_key(size, j, word.substr(at, long))))
+    return F.array_compact(F.array(*keys))
 
 
 def plants(entries: DataFrame) -> DataFrame:
     """Distinct spellings of a volume with the plant they belong to.
 
     (volume_id, genus, epithet, plant_id): spellings of one genus within two
-    edits that share an edge are one plant, whose id is the smallest seq among them.
+    edits are one plant, whose id is the smallest seq among them.
     """
     spellings = cut(entries.where(F.col("genus").isNotNull()).groupBy("volume_id", "genus", "epithet").agg(F.min("seq").alias("_seq")))
-    k = spellings.where(F.col("epithet") != "").select("volume_id", "genus", "epithet", "_seq", F.explode(edge_keys(F.col("epithet"))).alias("_v"))
-    other = k.select("volume_id", "genus", "_v", F.col("epithet").alias("_e2"), F.col("_seq").alias("_s2"))
+    species = spellings.where(F.col("epithet") != "")
+    k = species.select("volume_id", "genus", "epithet", "_seq", F.explode(probe_keys(F.col("epithet"))).alias("_v"))
+    other = species.select("volume_id", "genus", F.col("epithet").alias("_e2"), F.col("_seq").alias("_s2"), F.explode(segment_keys(F.col("epithet"))).alias("_v"))
     near = (
         k.join(other, ["volume_id", "genus", "_v"])
         .where((F.col("_s2") < F.col("_seq")) & F.expr("levenshtein(epithet, _e2, 2) >= 0"))
@@ -146,35 +170,36 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     known = plant_table.select("volume_id", "genus").distinct().withColumn("_known", F.lit(True))
     rest = names.join(plant_table.select(*KEYS), KEYS, "left_anti").join(known, ["volume_id", "genus"], "left")
     rest = cut(rest.withColumn("_known", F.coalesce("_known", F.lit(False))))
-    edges = F.explode(edge_keys(F.col("epithet"))).alias("_v")
+    probes = F.explode(probe_keys(F.col("epithet"))).alias("_v")
+    parts = F.explode(segment_keys(F.col("epithet"))).alias("_v")
     full = rest.where(F.col("epithet") != "")
     species = plant_table.where(F.col("epithet") != "")
 
-    a = full.where("_known").select(*KEYS, edges)
+    a = full.where("_known").select(*KEYS, probes)
     p = species.join(rest.where("_known and epithet <> ''").select("volume_id", "genus").distinct(), ["volume_id", "genus"], "left_semi")
-    p = p.select("volume_id", "genus", F.col("epithet").alias("_e"), "plant_id", edges)
+    p = p.select("volume_id", "genus", F.col("epithet").alias("_e"), "plant_id", parts)
     near1 = _unique_best(a.join(p, ["volume_id", "genus", "_v"]).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)")).where("_d >= 0"), "near")
 
     strange = full.where("not _known and length(genus) > 1").select(*KEYS)
     b = strange.join(species.withColumnRenamed("genus", "_g"), ["volume_id", "epithet"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)")).where("_d >= 0")
     near2 = cut(_unique_best(b, "near"))
 
-    left = small(strange.join(near2.select(*KEYS), KEYS, "left_anti").select(*KEYS, edges))
-    every = species.select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", edges)
+    left = small(strange.join(near2.select(*KEYS), KEYS, "left_anti").select(*KEYS, probes))
+    every = species.select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", parts)
     both = every.join(left, ["volume_id", "_v"]).withColumn("_d1", F.expr("levenshtein(genus, _g, 2)")).where("_d1 >= 0")
     both = both.withColumn("_d2", F.expr("levenshtein(epithet, _e, 2)")).where("_d2 >= 0 and _d1 + _d2 <= 3").withColumn("_d", F.expr("_d1 + _d2"))
     near3 = _unique_best(both, "near")
 
-    short = small(full.where("length(genus) = 1").select(*KEYS, edges))
+    short = small(full.where("length(genus) = 1").select(*KEYS, probes))
     i = every.join(short, ["volume_id", "_v"]).where(F.startswith("_g", "genus")).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)"))
     initial = _unique_best(i.where("_d >= 0"), "initial")
 
-    alone = rest.where("epithet = '' and length(genus) > 1 and not _known").select(*KEYS, F.explode(delete_one("genus")).alias("_v"))
-    heads = plant_table.where("epithet = ''").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(delete_one("genus")).alias("_v"))
+    alone = rest.where("epithet = '' and length(genus) > 1 and not _known").select(*KEYS, F.explode(probe_keys(F.col("genus"))).alias("_v"))
+    heads = plant_table.where("epithet = ''").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(segment_keys(F.col("genus"))).alias("_v"))
     g = alone.join(heads, ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
     genus_near = _unique_best(g.where("_d >= 0"), "genus-near")
-    parts = (exact, near1, near2, near3, initial, genus_near)
-    return cut(reduce(DataFrame.unionByName, parts))
+    passes = (exact, near1, near2, near3, initial, genus_near)
+    return cut(reduce(DataFrame.unionByName, passes))
 
 
 def vernacular_key(c: Column | str) -> Column:
