@@ -61,3 +61,11 @@ def test_all_candidates():
     got = DIA.candidates("Marandi")
     assert set(got) == {"Mar", "M"} and got["Mar"] < got["M"]
     assert FAM.candidates("stomlornaceae") == {"Stomlornaceae": 0.0} and FAM.candidates("--") == {}
+
+
+def test_farther_candidates():
+    got = FAM.candidates("Crlmflemacee")
+    assert set(got) == {"Crlmflemaceae", "Cremflenaceae"} and got["Crlmflemaceae"] < got["Cremflenaceae"] <= 3
+    got = DIA.candidates("Cor.")
+    assert set(got) == {"Cor", "Or", "Cr.-Or"} and got["Cor"] == 0.0
+    assert DIA.resolve("Cor.") == "Cor" and DIA.candidates("?") == {}

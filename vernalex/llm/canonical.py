@@ -123,6 +123,15 @@ def pick(found: dict[str, float], order: dict[str, int], head: str) -> str | Non
     return min(found, key=lambda e: (round(found[e], 3), not e.lower().startswith(head), order[e]))
 
 
+def with_all(found: dict[str, float], word: str, *tries: Trie) -> dict[str, float]:
+    """``found`` and every entry of the tries within the word's limit."""
+    out = dict(found)
+    for trie in tries if word else ():
+        for e, d in trie.within(word, limit(len(word))).items():
+            out[e] = min(d, out.get(e, 99.0))
+    return out
+
+
 class Families:
     """Family names; the ending may be misread or cut off, so each entry is also reachable by its stem."""
 
@@ -144,12 +153,21 @@ class Families:
         return re.sub(r"[aewxc#]+$", "", p)
 
     def resolve(self, value: str) -> str:
-        return pick(self.candidates(value), self.order, plain(re.sub(REMARK_BEFORE, "", value, flags=re.I))[:1]) or NONE
+        return pick(self.likely(value), self.order, plain(re.sub(REMARK_BEFORE, "", value, flags=re.I))[:1]) or NONE
 
-    def candidates(self, value: str) -> dict[str, float]:
-        """All entries that the value may stand for, with their cost; 0 for an exact spelling or stem."""
+    @staticmethod
+    def key(value: str) -> str:
         body = re.sub(REMARK_AFTER, "", re.sub(REMARK_BEFORE, "", value, flags=re.I))
-        p = plain(body) or plain(value)
+        return plain(body) or plain(value)
+
+    def candidates(self, value: str) -> dict[str, float]:
+        """All entries within the distance that the value's length allows, and those it likely stands for, with their cost."""
+        p = self.key(value)
+        return with_all(self.likely(value), p if len(p) >= 4 else "", self.full)
+
+    def likely(self, value: str) -> dict[str, float]:
+        """The entries among which the value's is, with their cost, 0 for an exact spelling or stem; farther ones are not looked for."""
+        p = self.key(value)
         if len(p) < 4:
             return {}
         s = self.stem(p)
@@ -181,13 +199,23 @@ class Dialects:
                 self.names.add(plain(name), code)
 
     def resolve(self, value: str) -> str:
-        return pick(self.candidates(value), self.order, plain(value)[:1]) or NONE
+        return pick(self.likely(value), self.order, plain(value)[:1]) or NONE
 
-    def candidates(self, value: str) -> dict[str, float]:
-        """All entries that the value may stand for, with their cost; 0 for an exact spelling."""
+    @staticmethod
+    def key(value: str) -> tuple[str, str]:
+        """The value without what stands before it, and its letters."""
         body = re.sub(r"^[^\w«�]+", "", value)
         digits = body.translate(str.maketrans("01345", "oieas")) if len(body) < 3 else body
-        p = plain(digits)
+        return body, plain(digits)
+
+    def candidates(self, value: str) -> dict[str, float]:
+        """All codes and names within the distance that the value's length allows, and those it likely stands for, with their cost."""
+        p = self.key(value)[1]
+        return with_all(self.likely(value), p if re.search("[a-z]", p) else "", self.codes, self.names)
+
+    def likely(self, value: str) -> dict[str, float]:
+        """The entries among which the value's is, with their cost, 0 for an exact spelling; farther ones are not looked for."""
+        body, p = self.key(value)
         if not re.search("[a-z]", p):
             return {}
         for hit in (self.codes.exact(p), self.names.exact(p)):
@@ -285,7 +313,7 @@ def p2_unmatched(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_candidates(spark, sf_dir: str) -> DataFrame:
-    """Per value as entered, every listed entry within its distance, with the cost: what the choice was made from."""
+    """Per value as entered, every listed entry within its distance, with the cost; the choice is made from the likely ones among them."""
     f, d = odd_values(read(spark, sf_dir, "part1_vernacular"), read(spark, sf_dir, "part2_scientific"))
     fam = _reference(read(spark, sf_dir, "ref_families"), "family", "also_known_as", "family_id")
     dia = _reference(read(spark, sf_dir, "ref_dialects"), "dialect_code", "dialect_name", "dialect_code")
