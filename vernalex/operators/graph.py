@@ -89,9 +89,9 @@ def resolve_stubs(keys: DataFrame, known: DataFrame) -> DataFrame:
     """Replay of the sequential stub rule per genus: (key, order) against known keys, in order of first appearance.
 
     Returns (key, target, how): `exact`, `near` (the only known key or earlier stub within one edit),
-    or `stub` (a new key, findable by the later ones; ambiguity counts earlier stubs too). One
-    edit can change only letters, so keys are grouped by length class and first letter twice;
-    within such a bucket the replay is exact.
+    or `stub` (a new key, findable by the later ones; ambiguity counts earlier stubs too). The
+    rule is sequential, so the distinct keys without an exact hit are replayed in one task, whose
+    size grows with their number.
     """
     exact = keys.join(known.select("key").distinct(), "key", "left_semi").select("key", F.col("key").alias("target"), F.lit("exact").alias("how"))
     rest = keys.join(known.select("key"), "key", "left_anti").select("key", "order", F.lit(False).alias("known"))
