@@ -103,9 +103,6 @@ def windows(text: str | None) -> list[str]:
     def close(words: list[str], single: int) -> None:
         if single >= 3:
             words[-single:] = ["".join(words[-single:])]
-        if len(words) <= LONGEST // 2:
-            out.append(" ".join(words))
-            return
         w = " ".join(words).split()
         if len(w) <= LONGEST:
             out.append(" ".join(w))
