@@ -54,3 +54,43 @@ def test_words():
     assert [k for k, _ in rolling(["a", "b"], 3)] == [] and len(list(rolling(["a", "b", "c", "a", "b", "c"], 3))) == 4
     h = [x for _, x in rolling(["a", "b", "c", "a", "b", "c"], 3)]
     assert h[0] == h[3] and tokens(None) == []
+
+
+def test_a_passage_of_many_items_is_found_in_all():
+    shared = "the cream wrapper sets against that spiny twig after glossy rains and the lowest line leaves blank beside a brown index card with nine queries"
+    items = Items([(k, f"question {k * 7} begins: {shared} number {k * 11} ends it") for k in range(9)])
+    damaged = " ".join("xq#zzq" if k % 4 == 3 else w for k, w in enumerate(shared.split()))
+    assert set(items.tiles(damaged)) == set(range(9)) == set(items.tiles("so " + shared))
+
+
+def test_overlapping_pieces_cover_the_whole():
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}{k % 7}x" for k in range(30)]
+    words = [w.translate(str.maketrans("0123456", "bcdfghj")) for w in words]
+    t = Items([(1, " ".join(words))]).tiles(" ".join(words[:18]) + " zz qq zz " + " ".join(words[11:]))[1]
+    assert sum(m for _, _, m in t) == 30 and t[0][2] == 19
+
+
+def test_tiling_against_brute_force():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        d = [rng.choice("abcdef") * 4 for _ in range(rng.randint(5, 40))]
+        t = [rng.choice("abcdef") * 4 for _ in range(rng.randint(5, 25))]
+        got = sorted(m for _, _, m in Items([(1, " ".join(t))]).tiles(" ".join(d)).get(1, []))
+        marked_d, marked_t, want = set(), set(), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(d)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(d) and j + n < len(t) and d[i + n] == t[j + n] and i + n not in marked_d and j + n not in marked_t:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < 4:
+                break
+            want.append(n)
+            marked_d |= set(range(i, i + n))
+            marked_t |= set(range(j, j + n))
+        assert (got or [0])[-1] == max(want, default=0) and sum(got) >= 0.8 * sum(want)

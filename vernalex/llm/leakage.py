@@ -1,42 +1,48 @@
 """Evaluation texts leaking into training text: greedy string tiling of every document against the test items.
 
-Seeds are runs of tokens with equal Karp-Rabin hashes; each is extended to the
-longest tile that tolerates misread letters, split and joined words; tiles are
-marked longest first, none overlapping. A document holds an item if one tile
-reaches ``min_words`` consecutive words of it; the coverage by all tiles also
-shows reordered passages.
+Seeds are runs of three tokens with equal Karp-Rabin hashes, joined with those of all items; each is extended to the
+longest match that tolerates misread letters, split and joined words; the longest match is marked
+as a tile, what is left of the others outside of it is searched again, and so on. The words covered by all tiles, in any
+order, decide whether a document is looked at; it holds a passage if one tile
+reaches ``min_words`` consecutive words of the item.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vernalex.plans.lineage import cut
 from vernalex.sources.tables import read
 
 MIN_WORDS = 12
 MIN_TILE = 4
 COVERAGE = 0.5
-# Items of one pass: they travel to every task, so the block is bounded by the size of its texts.
+# Items are looked up in blocks of at most so many letters, as a block travels to every task. One block is joined by broadcast; of several, a
+# document meets only those that share a seed with it.
 BLOCK_CHARS = 4_000_000
-SEED, BASE, MOD = 4, 1_000_003, (1 << 61) - 1
+SEED, BASE, MOD = 3, 1_000_003, (1 << 61) - 1
+# Bits of the filter that lets only words runs of items into the shuffled seed join; beyond it the filter gets less sharp, never wrong.
+FILTER_BITS = 1 << 26
 
 _JOIN = re.compile(r"(?<=\w)[-¬­]\s*\n\s*(?=\w)|[¬­]\s*")
 _MARKS = re.compile(r"[^a-z]+")
 _SPACES = str.maketrans(dict.fromkeys('.,;:?"-–—', " "))
+LONG_TOKEN = 40
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-case words without accents; a mark inside a word stays as `#`, marks around it go."""
-    if not text:
-        return []
-    t = _JOIN.sub("", text)
+def _words(token: str) -> list[str]:
+    t = token
     if not t.isascii():
         t = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
     out = []
@@ -50,6 +56,28 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
+class _Tokens(dict):
+    """printed token -> its words; a bounded memory, as tokens recur."""
+
+    def __missing__(self, token: str) -> list[str]:
+        found = _words(token)
+        if len(token) <= LONG_TOKEN:
+            if len(self) > 1 << 17:
+                self.clear()
+            self[token] = found
+        return found
+
+
+_known_tokens = _Tokens()
+
+
+def tokens(text: str | None) -> list[str]:
+    """Lower-case words without accents; a mark inside a word stays as `#`, marks around it go."""
+    if not text:
+        return []
+    return [w for ws in map(_known_tokens.__getitem__, _JOIN.sub("", text).split()) for w in ws]
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Edits between two words, or most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -98,96 +126,140 @@ def _step(d: list[str], i: int, t: list[str], j: int, by: int) -> tuple[int, int
     return None
 
 
-def _extend(d: list[str], i: int, t: list[str], j: int, by: int) -> tuple[int, int]:
-    """How many words match from (i, j) on; a single word read past recognition is bridged."""
+def _extend(d: list[str], i: int, t: list[str], j: int, by: int) -> list[tuple[int, int, int, int]]:
+    """Steps (place and words in the document, place and words in the item) that match from (i, j) on; a single word read past recognition is bridged."""
     di = dj = 0
-    firm = (0, 0)
+    steps: list[tuple[int, int, int, int]] = []
+    firm = 0
     while True:
-        s = _step(d, i + by * di, t, j + by * dj, by)
+        a, b = i + by * di, j + by * dj
+        s = _step(d, a, t, b, by)
         if s is None:
-            a, b = i + by * di, j + by * dj
             if not (0 <= a < len(d) and 0 <= b < len(t)) or abs(len(d[a]) - len(t[b])) > 2 or "#" not in d[a] and distance(d[a], t[b], 9) > 0.6 * len(t[b]):
                 break
             after = _step(d, a + by, t, b + by, by)
             if after is None or _step(d, a + by * (1 + after[0]), t, b + by * (1 + after[1]), by) is None:
                 break
             s = (1, 1)
-        word = d[i + by * di]
-        exact = s == (1, 1) and word == t[j + by * dj]
-        di, dj = di + s[0], dj + s[1]
-        if exact or len(word) > 3:
-            firm = (di, dj)
-    return firm
+        n, m = s
+        steps.append((a if by > 0 else a - n + 1, n, b if by > 0 else b - m + 1, m))
+        di, dj = di + n, dj + m
+        if (s == (1, 1) and d[a] == t[b]) or len(d[a]) > 3:
+            firm = len(steps)
+    return steps[:firm]
+
+
+def _free_runs(steps: list[tuple[int, int, int, int]], in_doc: set[int], in_item: set[int]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """What is left of a match: its stretches whose words are unmarked on both sides."""
+    run: list[tuple[int, int, int, int]] = []
+    for s in steps:
+        a, n, b, m = s
+        if any(k in in_doc for k in range(a, a + n)) or any(k in in_item for k in range(b, b + m)):
+            if run:
+                yield run
+            run = []
+        else:
+            run.append(s)
+    if run:
+        yield run
+
+
+def mark_tiles(matches: list[list[tuple[int, int, int, int]]], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (start in the document, start in the item, item words), longest first, none overlapping.
+
+    The longest match is marked; the others are cut to their unmarked words and compete again with what is left of them.
+    """
+
+    def entry(steps):
+        return (-sum(m for *_, m in steps), steps[0][0], steps[0][2], steps)
+
+    heap = [entry(s) for s in matches if s]
+    heapq.heapify(heap)
+    in_doc: set[int] = set()
+    in_item: set[int] = set()
+    tiles = []
+    while heap:
+        size, a, b, steps = heapq.heappop(heap)
+        if -size < least:
+            break
+        left = list(_free_runs(steps, in_doc, in_item))
+        if len(left) != 1 or len(left[0]) != len(steps):
+            for run in left:
+                heapq.heappush(heap, entry(run))
+            continue
+        for x, n, y, m in steps:
+            in_doc.update(range(x, x + n))
+            in_item.update(range(y, y + m))
+        tiles.append((a, b, -size))
+    return tiles
 
 
 class Items:
-    """Tokens of the items and an index of their seeds by rolling hash."""
+    """Tokens of the items and an index of all their seeds by rolling hash."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: tuple[tuple[int, str], ...]) -> None:
         self.words = {i: tokens(t) for i, t in rows}
-        self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.words.items():
             for k, h in rolling(w, SEED):
                 self.index[h].append((i, k))
-            for k, h in rolling(w, SEED - 1):
-                self.rare[h].append((i, k))
-        self.rare = {h: v for h, v in self.rare.items() if len({i for i, _ in v}) <= 3}
         self.vocabulary = {x for w in self.words.values() for x in w}
 
     def runs(self, d: list[str]) -> Iterator[tuple[int, list[str]]]:
         """Stretches of the document that are words of items, long enough for a seed."""
+        known = self.vocabulary.__contains__
         start = None
-        for k, w in enumerate(d):
-            if w in self.vocabulary:
+        for k, there in enumerate(map(known, d)):
+            if there:
                 if start is None:
                     start = k
             elif start is not None:
-                if k - start >= SEED - 1:
+                if k - start >= SEED:
                     yield start, d[start:k]
                 start = None
-        if start is not None and len(d) - start >= SEED - 1:
+        if start is not None and len(d) - start >= SEED:
             yield start, d[start:]
 
-    def tiles(self, text: str | None) -> dict[int, list[tuple[int, int, int]]]:
-        """item -> tiles (start in the document, start in the item, item words), longest first, none overlapping."""
+    def matches(self, text: str | None) -> dict[int, list[list[tuple[int, int, int, int]]]]:
+        """item -> all maximal matches with the document, each a list of steps."""
         d = tokens(text)
-        found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        # item -> place in the document -> places of the item that a tile already pairs with it
+        found: dict[int, list[list[tuple[int, int, int, int]]]] = defaultdict(list)
+        # item -> place in the document -> places of the item that a match already pairs with it
         reach: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        runs = list(self.runs(d))
-        for size, index in ((SEED, self.index), (SEED - 1, self.rare)):
-            for i, h in ((start + k, h) for start, run in runs for k, h in rolling(run, size)):
-                for item, j in index.get(h, ()):
+        for start, run in self.runs(d):
+            for k, h in rolling(run, SEED):
+                i = start + k
+                for item, j in self.index.get(h, ()):
                     t = self.words[item]
                     if d[i] != t[j] or any(abs(j - e) <= 3 for e in reach[item].get(i, ())):
                         continue
-                    right = _extend(d, i, t, j, 1)
-                    left = _extend(d, i - 1, t, j - 1, -1)
-                    n, m = left[0] + right[0], left[1] + right[1]
-                    tile = (i - left[0], j - left[1], n, m)
-                    for k in range(n):
-                        reach[item][tile[0] + k].append(tile[1] + k * m // max(n, 1))
-                    if m >= MIN_TILE:
-                        found[item].append(tile)
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        for item, runs in found.items():
-            in_doc, in_item, kept = set(), set(), []
-            for a, b, n, m in sorted(runs, key=lambda r: (-r[3], r[0], r[1])):
-                if not in_doc.isdisjoint(range(a, a + n)) or not in_item.isdisjoint(range(b, b + m)):
-                    continue
-                in_doc.update(range(a, a + n))
-                in_item.update(range(b, b + m))
-                kept.append((a, b, m))
-            out[item] = kept
-        return out
+                    steps = _extend(d, i - 1, t, j - 1, -1)[::-1] + _extend(d, i, t, j, 1)
+                    for a, n, b, m in steps:
+                        for x in range(n):
+                            reach[item][a + x].append(b + x * m // n)
+                    if sum(m for *_, m in steps) >= MIN_TILE:
+                        found[item].append(steps)
+        return found
+
+    def tiles(self, text: str | None) -> dict[int, list[tuple[int, int, int]]]:
+        return {item: mark_tiles(matches) for item, matches in self.matches(text).items()}
+
+
+@lru_cache(maxsize=2)
+def _items(rows: tuple[tuple[int, str], ...]) -> Items:
+    return Items(rows)
+
+
+@lru_cache(maxsize=1 << 17)
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode()) << 29 ^ zlib.adler32(word.encode())
 
 
 def rolling(words: list[str], size: int) -> Iterator[tuple[int, int]]:
-    """(position, Karp-Rabin hash) of each run of ``size`` words."""
+    """(position, Karp-Rabin hash) of each run of ``size`` words; the same in every process."""
     if len(words) < size:
         return
-    codes = [hash(w) % MOD for w in words]
+    codes = [_code(w) for w in words]
     top = pow(BASE, size - 1, MOD)
     h = 0
     for k, c in enumerate(codes):
@@ -198,28 +270,49 @@ def rolling(words: list[str], size: int) -> Iterator[tuple[int, int]]:
             yield k - size + 1, h
 
 
+def _seeds(table: DataFrame, key: str, kind: str, bits: bytes | None = None) -> DataFrame:
+    """(key, seed) distinct seeds of each text; with ``bits`` only those the filter lets through."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = None if bits is None else np.frombuffer(bits, dtype=np.uint64)
+        for b in batches:
+            keys, seeds = [], []
+            for k, text in zip(b[key], b["text"]):
+                h = np.fromiter({h for _, h in rolling(tokens(text), SEED)}, dtype=np.int64)
+                if there is not None:
+                    at = (h % FILTER_BITS).astype(np.uint64)
+                    h = h[(there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                keys += [k] * len(h)
+                seeds += h.tolist()
+            yield pd.DataFrame({key: keys, "seed": pd.Series(seeds, dtype="int64")})
+
+    return table.mapInPandas(scan, f"{key} {kind}, seed long")
+
+
+def _filter(seeds: DataFrame) -> bytes:
+    """The bits of all seeds, at most FILTER_BITS of them whatever the number of items."""
+    at = F.pmod(F.col("seed"), F.lit(FILTER_BITS))
+    words = seeds.groupBy(F.shiftright(at, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(seed, 64) as int)))").alias("b"))
+    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    t = words.toPandas()
+    out[t["w"].to_numpy(dtype=np.int64)] = t["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out.tobytes()
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, longest_tile, coverage, n_tiles) of all documents sharing a tile of 4 words or more with an item.
 
-    Items are taken in blocks of at most BLOCK_CHARS characters, each block against all documents
-    in one narrow pass without any shuffle. Null or empty texts hold nothing; repeated
-    documents each count.
+    Items of at most BLOCK_CHARS letters are joined by broadcast: one narrow pass over the documents, without any shuffle. More are
+    cut into such blocks; then seeds of documents and items meet by their hash, and a document goes only to the blocks with which it shares
+    one. Null or empty texts hold nothing; repeated documents each count.
     """
-    rows = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id").toLocalIterator()
-    blocks, block, size = [], [], 0
-    for r in rows:
-        if block and size + len(r["text"]) > BLOCK_CHARS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    blocks.append(block)
+    given = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "item_id long, doc_id long, longest_tile int, coverage double, n_tiles int"
 
-    def against(block: list[tuple[int, str]]):
+    def against(docs: DataFrame, block: tuple[tuple[int, str], ...]) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = Items(block)
+            known = _items(block)
             for b in batches:
                 out = []
                 for doc, text in zip(b["doc_id"], b["text"]):
@@ -228,11 +321,25 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         out.append((item, doc, tiles[0][2], n / len(known.words[item]), len(tiles)))
                 yield pd.DataFrame(out, columns=["item_id", "doc_id", "longest_tile", "coverage", "n_tiles"])
 
-        return docs.mapInPandas(scan, schema)
-
-    out = against(blocks[0])
-    for b in blocks[1:]:
-        out = out.unionByName(against(b))
+        return docs.select("doc_id", "text").mapInPandas(scan, schema)
+
+    size = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size <= BLOCK_CHARS:
+        return against(docs, tuple((r["item_id"], r["text"]) for r in given.orderBy("item_id").collect()))
+    # several blocks: a block's items are those of one hash, twice as many blocks as needed, so that none is much too large
+    n = 2 * -(-size // BLOCK_CHARS)
+    given = cut(given.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")))
+    seeds = cut(_seeds(given, "block", "int").distinct())
+    docs = cut(docs.where(F.length("text") > 0).withColumn("_row", F.monotonically_increasing_id()))
+    asked = _seeds(docs.withColumnRenamed("_row", "row"), "row", "long", _filter(seeds))
+    meet = asked.join(seeds, "seed").select(F.col("row").alias("_row"), "block").distinct()
+    met = cut(docs.join(meet, "_row"), "block")
+    out = None
+    for k in range(n):
+        block = tuple((r["item_id"], r["text"]) for r in given.where(F.col("block") == k).select("item_id", "text").orderBy("item_id").collect())
+        if block:
+            part = against(met.where(F.col("block") == k), block)
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -243,6 +350,7 @@ def p6_leaks(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover twelve words of an item or more, then exactly those where one tile reaches as many."""
     found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
     return found.where(F.col("longest_tile") >= MIN_WORDS).select("item_id", "doc_id")
 
