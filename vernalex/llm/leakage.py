@@ -78,6 +78,8 @@ def tokens(text: str | None) -> list[str]:
     return [w for ws in map(_known_tokens.__getitem__, _JOIN.sub("", text).split()) for w in ws]
 
 
+# pairs of words recur across documents; the memory is bounded
+@lru_cache(maxsize=1 << 17)
 def distance(a: str, b: str, most: int) -> int:
     """Edits between two words, or most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -93,6 +95,7 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=1 << 18)
 def same_word(a: str, b: str) -> bool:
     """Equal but for misread letters."""
     if a == b:
@@ -128,6 +131,8 @@ def _step(d: list[str], i: int, t: list[str], j: int, by: int) -> tuple[int, int
 
 def _extend(d: list[str], i: int, t: list[str], j: int, by: int) -> list[tuple[int, int, int, int]]:
     """Steps (place and words in the document, place and words in the item) that match from (i, j) on; a single word read past recognition is bridged."""
+    if not (0 <= i < len(d) and 0 <= j < len(t)):
+        return []
     di = dj = 0
     steps: list[tuple[int, int, int, int]] = []
     firm = 0
@@ -230,14 +235,19 @@ class Items:
             for k, h in rolling(run, SEED):
                 i = start + k
                 for item, j in self.index.get(h, ()):
+                    there = reach[item]
+                    if i in there and any(abs(j - e) <= 3 for e in there[i]):
+                        continue
                     t = self.words[item]
-                    if d[i] != t[j] or any(abs(j - e) <= 3 for e in reach[item].get(i, ())):
+                    if d[i : i + SEED] != t[j : j + SEED]:
                         continue
-                    steps = _extend(d, i - 1, t, j - 1, -1)[::-1] + _extend(d, i, t, j, 1)
+                    steps = _extend(d, i - 1, t, j - 1, -1)[::-1]
+                    steps += [(i + x, 1, j + x, 1) for x in range(SEED)]
+                    steps += _extend(d, i + SEED, t, j + SEED, 1)
                     for a, n, b, m in steps:
                         for x in range(n):
-                            reach[item][a + x].append(b + x * m // n)
-                    if sum(m for *_, m in steps) >= MIN_TILE:
+                            there[a + x].append(b + x * m // n)
+                    if len(steps) > SEED and sum(m for *_, m in steps) >= MIN_TILE:
                         found[item].append(steps)
         return found
 
