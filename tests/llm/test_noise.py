@@ -36,6 +36,8 @@ def test_entries(part1, part2):
     for e in p1:
         if e["seq"] in (20, 21):
             e["headword"] = "BÁDI"
+    # the corpus knows the words that entries 1 and 11 end with
+    p1 += [entry(k, "BÁDI, Sur. Vendia alba and other species.") for k in range(50, 75)]
     got = kinds(part1, part2, p1)
     assert got == {
         ("part1", 2, "raw", "chars"), ("part1", 2, "headword", "chars"), ("part1", 3, "raw", "hyphen"), ("part1", 4, "raw", "hyphen"), ("part1", 5, "raw", "furniture"), ("part1", 7, "raw", "hyphen"), ("part1", 8, "raw", "chars"),
@@ -95,12 +97,13 @@ def test_repair_of_entries(part1, part2):
     p1 = [entry(k, "BÁDIN NGA LOTE, Hil. Petrosta cuplicum Olm.") for k in range(100, 103)] + [
         entry(1, "BÁD*N, H1l. Petrosta cupl1cum Olm."),
         entry(2, "S3TÍ-SeT|, Sur. Pe|rosta alba and othcr spccies."),
+        *[entry(k, "BÁDIN NGA LOTE, Hil. Petrosta cuplicum and other species.") for k in range(110, 136)],
         entry(3, "LO.TE; Hil. Petrosta [illegible] 2nd"),
         entry(4, "XU}AN, Sur. Petrosta"),
         entry(5, "BÁ1I, Sur. Petrosta", headword="BÁDI", ocr_headword="BÁ1I"),
         entry(7, "MÍL0-MÍLO, Sur.\nPetrosta q--"),
     ]
-    p1[5]["headword"] = "LO.TE"
+    next(e for e in p1 if e["seq"] == 3)["headword"] = "LO.TE"
     got = {(r.seq, r.field_name): r.text for r in noise.repaired(part1(*p1), part2()).collect()}
     assert got[(1, "headword")] == "BÁDIN" and got[(1, "raw")] == "BÁDIN, Hil. Petrosta cuplicum Olm."
     assert got[(2, "headword")] == "SETÍ-SET|" and got[(2, "raw")] == "SETÍ-SET|, Sur. Petrosta alba and other species."
@@ -112,6 +115,32 @@ def test_repair_of_entries(part1, part2):
     assert got[(100, "raw")] == p1[0]["raw"]
 
 
+def test_a_heading_misread_in_another_way_on_each_page(part1, part2):
+    heads = ["FLORA OF THE OUTER PROVINCES", "FL0RA OF THF OUTER PROVINCES", "FLORA OF TIIE OUTER PR0VINCES", "FLORA OE THE OUTER PROVINCFS", "FLQRA OF THE OUTFR PROVINCES 44"]
+    p1 = [entry(k, f"BÁDI, Sur.\n{h}\nPetrosta alba", page=30 + k) for k, h in enumerate(heads)] + [entry(9, "BÁDI, Sur.\nANOTHER LINE WITHOUT FELLOWS\nPetrosta alba", page=40)]
+    assert {g[1] for g in kinds(part1, part2, p1) if g[3] == "furniture"} == set(range(5))
+
+
+def test_many_headings(spark, part1, part2):
+    from pyspark.sql import functions as F
+
+    letters = F.array(*[F.lit(c * 4) for c in "ABCDEFGHIJ"])
+    digit = lambda n, k: F.element_at(letters, (F.floor(n / 10**k) % 10 + 1).cast("int"))
+    n = F.floor(F.col("id") / 3)
+    head = F.concat_ws(" ", digit(n, 0), digit(n, 1), digit(n, 2), digit(n, 3), F.lit("VOLUME"))
+    rows = spark.range(3 * 5_100).select(F.col("id").alias("seq"), (F.col("id") % 3).cast("int").alias("page"), F.concat(F.lit("BÁDI, Sur.\n"), head, F.lit("\nPetrosta alba")).alias("raw"))
+    p1 = part1().drop("seq", "page", "raw").limit(0)
+    p1 = rows.join(p1.withColumn("seq", F.lit(0)), "seq", "left").withColumns({"headword": F.lit("BÁDI"), "loaded_at": F.current_timestamp()})
+    got = noise.damage(p1, part2()).where("kind = 'furniture'")
+    assert got.count() == 3 * 5_100
+
+
+def test_long_words(part1, part2):
+    long = "abcdefghij" * 6
+    p2 = [notes(k, f"The {long}h wood is used for making rope.") for k in range(100, 140)] + [notes(1, f"The {long}b wood is used."), notes(2, "y" * 100_000)]
+    assert {g for g in kinds(part1, part2, (), p2) if g[1] < 100} == {("part2", 1, "notes", "chars")}
+
+
 def test_empty(part1, part2):
     assert kinds(part1, part2) == set()
 

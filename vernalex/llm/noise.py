@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: page furniture, broken words, misread characters; detection and repair.
 
 Furniture: a line between the lines that is a page number (its value is the page's), or a heading in capitals whose
-letters, up to three edits, recur on several pages. Then the lines are joined and broken words healed, and
+letters recur on several pages, each time read with up to three edits. Then the lines are joined and broken words healed, and
 misread letters are found against the vocabulary of the corpus itself: a rare word that
 the usual confusions of scanners turn into a far more frequent one.
 """
@@ -18,8 +18,8 @@ from vernalex.functions.text import deaccent
 from vernalex.plans.lineage import cut
 from vernalex.sources.tables import first_deliveries, read
 
-HEADING_PAGES = 3
-MAX_HEADINGS = 5_000
+# Pages on which a heading stands at least, and edits between two readings of it.
+HEADING_PAGES, HEADING_EDITS = 3, 3
 # How many times as frequent the word meant must be.
 RATIO = 12
 
@@ -63,36 +63,61 @@ def page_number(line: Column, page: Column, printed: Column) -> Column:
     return F.coalesce((value != "") & ((value == page.cast("string")) | (value == F.trim(printed))), F.lit(False))
 
 
-def headings(texts: DataFrame) -> list[str]:
-    """Skeletons of heading-like lines that stand on HEADING_PAGES pages or more (texts: volume_id, page, text, own)."""
-    lines = texts.where(F.contains("text", F.lit("\n"))).select("volume_id", "page", skeleton(F.col("own")).alias("_own"), F.explode(F.filter(F.split("text", "\n"), heading_like)).alias("line"))
-    sk = lines.select("volume_id", "page", "_own", skeleton(F.col("line")).alias("sk"))
-    sk = sk.where(F.col("_own").isNull() | ~F.startswith("sk", "_own"))
-    often = sk.groupBy("sk").agg(F.countDistinct("volume_id", "page").alias("n")).where(F.col("n") >= HEADING_PAGES)
-    found = [r["sk"] for r in often.select("sk").orderBy("sk").limit(MAX_HEADINGS + 1).collect()]
-    if len(found) > MAX_HEADINGS:
-        raise ValueError(f"over {MAX_HEADINGS} different headings; is this text really paged?")
-    return found
-
-
-def mark_furniture(texts: DataFrame, known: list[str]) -> DataFrame:
-    """Add ``body`` (text without furniture lines, line ends kept) and ``furniture`` (whether there were any)."""
-    forms = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
+def with_skeletons(texts: DataFrame) -> DataFrame:
+    """Add ``_sk``: of a several-line text the skeleton of each heading-like line that doesn't begin with the printed headword, null for the others; null without any."""
     own = skeleton(F.col("own"))
+    sk = F.transform(F.split("text", "\n"), lambda x: F.when(heading_like(x), skeleton(x)))
+    sk = F.transform(sk, lambda k: F.when(own.isNull() | ~F.startswith(k, own), k))
+    t = texts.withColumn("_sk", F.when(F.contains("text", F.lit("\n")), sk))
+    return t.withColumn("_sk", F.when(F.size(F.array_compact("_sk")) > 0, F.col("_sk")))
+
+
+def _piece_keys(word: Column, shifts: int) -> Column:
+    """Keys of HEADING_EDITS + 1 pieces of a skeleton at their places, and up to ``shifts`` beside them: two skeletons within so many edits share one."""
+    n, k = F.length(word), HEADING_EDITS + 1
+    keys = []
+    for more in range(-shifts, shifts + 1):
+        size = n - more
+        for j in range(k):
+            start, end = F.floor(size * j / k).cast("int"), F.floor(size * (j + 1) / k).cast("int")
+            for shift in range(-shifts, shifts + 1):
+                at = start + shift
+                keys.append(F.when((at >= 0) & (at + end - start <= n), F.concat_ws(":", size, F.lit(j), word.substr(at + 1, end - start))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """(sk) skeletons that stand, with all those within HEADING_EDITS of them, on HEADING_PAGES pages or more, and the skeletons so near to such a one.
+
+    A header misread in another way on each page is found as well. Two readings meet by an equi-join on pieces of them, whatever their number;
+    each page counts once for a skeleton.
+    """
+    once = cut(lines.distinct().groupBy("sk").agg(F.count("*").alias("n")))
+    probes = once.select("sk", F.explode(_piece_keys(F.col("sk"), HEADING_EDITS)).alias("k"))
+    listed = once.select(F.col("sk").alias("other"), "n", F.explode(_piece_keys(F.col("sk"), 0)).alias("k"))
+    near = cut(probes.join(listed, "k").where(F.levenshtein("sk", "other", HEADING_EDITS) >= 0).select("sk", "other", "n").distinct())
+    core = near.groupBy("sk").agg(F.sum("n").alias("_n")).where(F.col("_n") >= HEADING_PAGES).select(F.col("sk").alias("other"))
+    return near.join(core, "other").select("sk").distinct()
 
-    def furniture(line: Column) -> Column:
-        sk = skeleton(line)
-        head = heading_like(line) & (own.isNull() | ~F.startswith(sk, own)) & F.exists(forms, lambda f: F.levenshtein(sk, f, 3) >= 0)
-        return page_number(line, F.col("page"), F.col("printed_page")) | head
 
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~furniture(x))
-    several = F.contains("text", F.lit("\n"))
-    t = texts.withColumn("_kept", F.when(several, kept))
+def mark_furniture(texts: DataFrame) -> DataFrame:
+    """Add ``body`` (text without furniture lines, line ends kept) and ``furniture`` (whether there were any).
+
+    texts: part, seq (unique together), volume_id, page, printed_page, text, own. The lines of the texts are learnt from and judged at once, so that
+    a heading is found by an exact join; only the few texts with a heading-like line take part in it.
+    """
+    t = cut(with_skeletons(texts))
+    lines = t.where(F.col("_sk").isNotNull()).select("part", "seq", "volume_id", "page", F.posexplode("_sk").alias("at", "sk")).where(F.col("sk").isNotNull())
+    heads = lines.join(headings(lines.select("sk", "volume_id", "page")), "sk").groupBy("part", "seq").agg(F.collect_set("at").alias("_heads"))
+    few = t.where(F.col("_sk").isNotNull()).join(heads, ["part", "seq"], "left")
+    t = few.unionByName(t.where(F.col("_sk").isNull()).withColumn("_heads", F.lit(None).cast("array<int>")))
+    split = F.split("text", "\n")
+    kept = F.filter(split, lambda x, i: ~(page_number(x, F.col("page"), F.col("printed_page")) | F.coalesce(F.array_contains("_heads", i), F.lit(False))))
+    t = t.withColumn("_kept", F.when(F.contains("text", F.lit("\n")), kept))
     return t.withColumns({
-        "furniture": F.coalesce(F.size("_kept") < F.size(lines), F.lit(False)),
+        "furniture": F.coalesce(F.size("_kept") < F.size(split), F.lit(False)),
         "body": F.coalesce(F.array_join("_kept", "\n"), "text"),
-    }).drop("_kept")
+    }).drop("_kept", "_heads", "_sk")
 
 
 # A word broken at a line end, kept (a) or lost to blanks (b); not a suspended hyphen before "to" or "or".
@@ -167,7 +192,9 @@ def misread_words(counts: DataFrame, marks: bool = True) -> DataFrame:
     """
     plain = counts.where(~F.col("word").rlike(r"[^\p{L}]") & ~F.contains("word", F.lit("ſ")))
     frequent = plain.where(F.col("n") >= RATIO).select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
-    rare = (counts if marks else plain).where((F.length("word") >= 2) & (F.length("word") <= 40))
+    # a confusion at most doubles or halves a word, so longer ones can't become a frequent word
+    longest = frequent.agg(F.max(F.length("meant")).alias("_longest"))
+    rare = (counts if marks else plain).where(F.length("word") >= 2).crossJoin(F.broadcast(longest)).where(F.length("word") <= 2 * F.col("_longest")).drop("_longest")
     forms = rare.select("word", "n", F.explode(_swaps(_unmarked(F.col("word")) if marks else F.col("word"), CONFUSIONS)).alias("v")).where(F.col("v") != F.col("word"))
     hit = forms.join(frequent, forms["v"] == frequent["meant"]).where(F.col("n_meant") >= F.col("n") * RATIO).select("word", "meant", "n_meant")
     if marks:
@@ -187,29 +214,44 @@ def fields(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def inspected(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
     p1, p2 = fields(part1, part2)
-    both = p1.select("volume_id", "page", "text", "own").unionByName(p2.select("volume_id", "page", "text", "own"))
-    known = headings(both)
-    return mark_furniture(p1, known), mark_furniture(p2, known)
+    both = p1.withColumn("part", F.lit(1)).unionByName(p2.withColumns({"part": F.lit(2), "headword": F.lit(None).cast("string")}))
+    t = mark_furniture(both)
+    return t.where("part = 1").drop("part"), t.where("part = 2").drop("part", "headword")
 
 
-def entry_damage(p1: DataFrame) -> DataFrame:
-    """raw and headword: (seq, field_name, kinds)."""
-    body = F.col("body")
+# A word in small letters after another one or after a stop: no name's epithet, as that follows its genus.
+SMALL_WORD = r"(?<!\p{L})(?:\p{Ll}+[.,]?|\p{Lu}\p{L}+[.,])(?=\s+(\p{Ll}+)(?![\p{L}\d]))"
+
+
+def flattened(p1: DataFrame) -> DataFrame:
+    """Add ``flat``, the entry on one line with its broken words joined, ``has_head``, whether it begins with the printed headword, and ``rest``, what follows that."""
     own = F.trim("own")
-    flat = healed(compound_kept(body, own))
-    squashed = F.when(body.rlike(r"[\n\t]|  "), F.trim(F.regexp_replace(flat, r"\s+", " "))).otherwise(F.trim(flat))
-    has_head = F.coalesce(F.startswith(squashed, own), F.lit(False))
-    rest = F.when(has_head, F.expr("substring(_flat, length(trim(own)) + 1)")).otherwise(F.col("_flat"))
-    tail = F.regexp_replace(F.regexp_extract(F.right("_rest", F.lit(24)), r"(?<!\p{L})(\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}\S*?)\W*$", 1), r"\s+", " ")
-    odd_tail = (tail != "") & (tail != "and other species") & (F.levenshtein(tail, F.lit("and other species"), 6) >= 0)
-    p = p1.withColumn("_flat", squashed).withColumn("_rest", rest)
-    chars = marked(F.col("_rest")) | (has_head & marked_head(own)) | (~has_head & F.col("_rest").rlike(r"\p{Lu}\p{Lu}\p{Ll}")) | odd_tail
-    joined = F.regexp_replace(F.col("_rest"), "-{2,}", " ")
-    hyphen = broken(body) | (F.col("_rest").rlike(rf"\p{{L}}[{HYPHEN}]") & joined.rlike(rf"\p{{L}}[{HYPHEN}]\p{{Ll}}"))
+    joined = healed(compound_kept(F.col("body"), own))
+    p = p1.withColumn("flat", F.when(F.col("body").rlike(r"[\n\t]|  "), F.trim(F.regexp_replace(joined, r"\s+", " "))).otherwise(F.trim(joined)))
+    p = p.withColumn("has_head", F.coalesce(F.startswith("flat", own) & (own != ""), F.lit(False)))
+    return p.withColumn("rest", F.when(F.col("has_head"), F.expr("substring(flat, length(trim(own)) + 1)")).otherwise(F.col("flat")))
+
+
+def misread_small_words(p: DataFrame) -> DataFrame:
+    """(seq, word, meant) of flattened entries: words beside the names ("and other species") misread, by the words of all entries."""
+    words = cut(p.select("seq", F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit(SMALL_WORD), F.lit(1)))).alias("word")))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    return words.join(misread_words(counts, marks=False), "word").select("seq", "word", "meant")
+
+
+def entry_damage(p1: DataFrame) -> DataFrame:
+    """raw and headword: (seq, field_name, kind)."""
+    body, rest = F.col("body"), F.col("rest")
+    p = flattened(p1)
+    chars = marked(rest) | (F.col("has_head") & marked_head(F.trim("own"))) | (~F.col("has_head") & rest.rlike(r"\p{Lu}\p{Lu}\p{Ll}"))
+    joined = F.regexp_replace(rest, "-{2,}", " ")
+    hyphen = broken(body) | (rest.rlike(rf"\p{{L}}[{HYPHEN}]") & joined.rlike(rf"\p{{L}}[{HYPHEN}]\p{{Ll}}"))
     raw = F.array_compact(F.array(F.when(F.col("furniture"), F.lit("furniture")), F.when(hyphen, F.lit("hyphen")), F.when(chars, F.lit("chars"))))
     head = F.array_compact(F.array(F.when(broken(F.col("headword")) | F.col("headword").rlike("\u00ac|\u00ad|\n"), F.lit("hyphen")), F.when(marked_head(F.col("headword")), F.lit("chars"))))
     each = F.array(F.struct(F.lit("raw").alias("field_name"), raw.alias("kinds")), F.struct(F.lit("headword").alias("field_name"), head.alias("kinds")))
-    return p.select("seq", F.explode(each).alias("e")).select("seq", "e.*")
+    seen = p.select("seq", F.explode(each).alias("e")).select("seq", "e.field_name", F.explode("e.kinds").alias("kind"))
+    read_wrong = misread_small_words(p).select("seq", F.lit("raw").alias("field_name"), F.lit("chars").alias("kind"))
+    return seen.unionByName(read_wrong).distinct()
 
 
 # Where a word is torn.
@@ -277,7 +319,7 @@ def damage(part1: DataFrame, part2: DataFrame) -> DataFrame:
     Null texts have no damage; an empty text has none; repeated deliveries of a seq count once.
     """
     p1, p2 = inspected(part1, part2)
-    entries = entry_damage(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", "field_name", F.explode("kinds").alias("kind"))
+    entries = entry_damage(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", "field_name", "kind")
     # words of letters only; what a mark splits is damaged anyway
     p2, words, counts = rejoined_notes(p2)
     wrong = misread_words(counts.where(F.length("word") > 0), marks=False).select("word")
@@ -380,14 +422,10 @@ def repaired_entries(p1: DataFrame) -> DataFrame:
     authorities) by the words of all entries.
     """
     squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    p = p1.select("seq", squash(healed(compound_kept(F.col("body"), F.trim("own")))).alias("flat"), squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
-    p = p.withColumn("has_head", F.coalesce(F.startswith("flat", "printed") & (F.col("printed") != ""), F.lit(False)))
-    rest = F.when(F.col("has_head"), F.expr("substring(flat, length(printed) + 1)")).otherwise(F.col("flat"))
-    p = p.withColumn("rest", rest).drop("flat")
-    ending = F.regexp_extract(F.right("rest", F.lit(24)), r"(?<!\p{L})(\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}\S*?)\W*$", 1)
-    p = p.withColumn("_ending", ending)
-    odd = (F.col("_ending") != "") & (F.levenshtein("_ending", F.lit("and other species"), 6) > 0)
-    p = p.withColumn("rest", F.when(odd, F.replace("rest", F.col("_ending"), F.lit("and other species"))).otherwise(F.col("rest"))).drop("_ending")
+    p = flattened(p1).select("seq", "has_head", "rest", squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
+    p = cut(p)
+    small = misread_small_words(p).groupBy("seq").agg(F.collect_list(F.struct("word", "meant")).alias("_small"))
+    p = p.join(cut(small), "seq", "left").withColumn("rest", F.when(F.col("_small").isNotNull(), _apply(F.col("rest"), F.col("_small"))).otherwise(F.col("rest"))).drop("_small")
     hurt = F.col("hw").rlike(r"[^\p{Lu}\s\-]"), F.col("rest").rlike(MARKED)
     p = cut(p.withColumn("hurt", F.coalesce(hurt[0], F.lit(False)) | F.coalesce(hurt[1], F.lit(False))))
 
@@ -421,16 +459,21 @@ def repaired(part1: DataFrame, part2: DataFrame) -> DataFrame:
     flat = F.trim(F.regexp_replace("whole", r"\s+", " "))
     of_entry = F.array(F.struct(F.lit("raw").alias("field_name"), F.col("raw").alias("text")), F.struct(F.lit("headword").alias("field_name"), F.col("headword").alias("text")))
     entries = repaired_entries(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", F.explode(of_entry).alias("e")).select("src_table", "seq", "e.*")
-    counts = note_words(p2).groupBy("word").agg(F.count("*").alias("n"))
-    tokens = p2.select("seq", F.posexplode(F.split(flat, " ")).alias("i", "tok"))
+    words = note_words(p2)
+    wrong = misread_words(words.groupBy("word").agg(F.count("*").alias("n")))
+    fixes = cut(words.join(cut(wrong), "word").groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("_fix")))
     core = r"^([(\"']*)(.*?)([.,;:?)\"']*)$"
-    tokens = tokens.withColumn("word", F.lower(F.regexp_extract("tok", core, 2)))
-    fixed = tokens.join(misread_words(counts), "word", "left")
-    first = F.regexp_extract("tok", core, 2)
-    cased = F.when(F.substring(first, 1, 1) != F.lower(F.substring(first, 1, 1)), F.initcap("meant")).otherwise(F.col("meant"))
-    fixed = fixed.withColumn("tok", F.when(F.col("meant").isNotNull(), F.concat(F.regexp_extract("tok", core, 1), cased, F.regexp_extract("tok", core, 3))).otherwise(F.col("tok")))
-    notes = fixed.groupBy("seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "tok"))), lambda s: s["tok"]), " ").alias("text"))
-    notes = notes.select(F.lit("part2_scientific").alias("src_table"), "seq", F.lit("notes").alias("field_name"), "text")
+
+    def mended(tok: Column) -> Column:
+        printed = F.regexp_extract(tok, core, 2)
+        meant = F.element_at("_fix", F.lower(printed))
+        cased = F.when(F.substring(printed, 1, 1) != F.lower(F.substring(printed, 1, 1)), F.initcap(meant)).otherwise(meant)
+        return F.when(meant.isNotNull(), F.concat(F.regexp_extract(tok, core, 1), cased, F.regexp_extract(tok, core, 3))).otherwise(tok)
+
+    # notes without a misread word, by far the most, are only rejoined
+    whole = p2.select("seq", flat.alias("text")).join(fixes, "seq", "left")
+    text = F.when(F.col("_fix").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.split("text", " "), mended), " "))
+    notes = whole.select(F.lit("part2_scientific").alias("src_table"), "seq", F.lit("notes").alias("field_name"), text.alias("text"))
     return entries.unionByName(notes).where(F.col("text").isNotNull())
 
 
