@@ -124,10 +124,8 @@ def test_a_heading_misread_in_another_way_on_each_page(part1, part2):
 def test_many_headings(spark, part1, part2):
     from pyspark.sql import functions as F
 
-    letters = F.array(*[F.lit(c * 4) for c in "ABCDEFGHIJ"])
-    digit = lambda n, k: F.element_at(letters, (F.floor(n / 10**k) % 10 + 1).cast("int"))
-    n = F.floor(F.col("id") / 3)
-    head = F.concat_ws(" ", digit(n, 0), digit(n, 1), digit(n, 2), digit(n, 3), F.lit("VOLUME"))
+    head = F.translate(F.substring(F.sha2(F.floor(F.col("id") / 3).cast("string"), 256), 1, 40), "0123456789abcdef", "ABCDEFGHIJKLMNOP")
+    head = F.concat_ws(" ", F.lit("QUIRE"), F.substring(head, 1, 20), F.substring(head, 21, 20))
     rows = spark.range(3 * 5_100).select(F.col("id").alias("seq"), (F.col("id") % 3).cast("int").alias("page"), F.concat(F.lit("BÁDI, Sur.\n"), head, F.lit("\nPetrosta alba")).alias("raw"))
     p1 = part1().drop("seq", "page", "raw").limit(0)
     p1 = rows.join(p1.withColumn("seq", F.lit(0)), "seq", "left").withColumns({"headword": F.lit("BÁDI"), "loaded_at": F.current_timestamp()})

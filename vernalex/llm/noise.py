@@ -72,32 +72,53 @@ def with_skeletons(texts: DataFrame) -> DataFrame:
     return t.withColumn("_sk", F.when(F.size(F.array_compact("_sk")) > 0, F.col("_sk")))
 
 
-def _piece_keys(word: Column, shifts: int) -> Column:
-    """Keys of HEADING_EDITS + 1 pieces of a skeleton at their places, and up to ``shifts`` beside them: two skeletons within so many edits share one."""
+def _piece_key(size: Column, j: int, piece: Column) -> Column:
+    return F.concat_ws(":", size, F.lit(j), piece)
+
+
+def _pieces(word: Column) -> Column:
+    """Keys of HEADING_EDITS + 1 pieces of a skeleton; so many edits leave one of them whole."""
     n, k = F.length(word), HEADING_EDITS + 1
+    place = [F.floor(n * j / k).cast("int") for j in range(k + 1)]
+    return F.array(*[_piece_key(n, j, word.substr(place[j] + 1, place[j + 1] - place[j])) for j in range(k)])
+
+
+def _probes(word: Column) -> Column:
+    """Keys of the pieces that a skeleton within HEADING_EDITS can have in common with this one, for every length and shift it can have."""
+    n, k, e = F.length(word), HEADING_EDITS + 1, HEADING_EDITS
     keys = []
-    for more in range(-shifts, shifts + 1):
+    for more in range(-e, e + 1):
         size = n - more
         for j in range(k):
             start, end = F.floor(size * j / k).cast("int"), F.floor(size * (j + 1) / k).cast("int")
-            for shift in range(-shifts, shifts + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + end - start <= n), F.concat_ws(":", size, F.lit(j), word.substr(at + 1, end - start))))
+            for shift in range(-e, e + 1):
+                if abs(shift) + abs(more - shift) <= e:
+                    at = start + shift
+                    keys.append(F.when((at >= 0) & (at + end - start <= n), _piece_key(size, j, word.substr(at + 1, end - start))))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _alike(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """(sk, n, other, n_other) of skeletons within HEADING_EDITS; an equi-join on pieces, never by broadcast, as the pieces are far more than the skeletons."""
+    a = asked.select("sk", "n", F.explode(_probes(F.col("sk"))).alias("k"))
+    b = listed.select(F.col("sk").alias("other"), F.col("n").alias("n_other"), F.explode(_pieces(F.col("sk"))).alias("k")).hint("merge")
+    return a.join(b, "k").where(F.levenshtein("sk", "other", HEADING_EDITS) >= 0).select("sk", "n", "other", "n_other").distinct()
+
+
 def headings(lines: DataFrame) -> DataFrame:
-    """(sk) skeletons that stand, with all those within HEADING_EDITS of them, on HEADING_PAGES pages or more, and the skeletons so near to such a one.
+    """(sk) skeletons that stand on HEADING_PAGES pages or more (lines: sk, volume_id, page), and what is within HEADING_EDITS of one; of the
+    rest those that do so together with the ones alike.
 
-    A header misread in another way on each page is found as well. Two readings meet by an equi-join on pieces of them, whatever their number;
-    each page counts once for a skeleton.
+    So a header misread in another way on each page is found as well. Nothing is listed on the driver; each page counts once for a skeleton.
     """
     once = cut(lines.distinct().groupBy("sk").agg(F.count("*").alias("n")))
-    probes = once.select("sk", F.explode(_piece_keys(F.col("sk"), HEADING_EDITS)).alias("k"))
-    listed = once.select(F.col("sk").alias("other"), "n", F.explode(_piece_keys(F.col("sk"), 0)).alias("k"))
-    near = cut(probes.join(listed, "k").where(F.levenshtein("sk", "other", HEADING_EDITS) >= 0).select("sk", "other", "n").distinct())
-    core = near.groupBy("sk").agg(F.sum("n").alias("_n")).where(F.col("_n") >= HEADING_PAGES).select(F.col("sk").alias("other"))
-    return near.join(core, "other").select("sk").distinct()
+    often = once.where(F.col("n") >= HEADING_PAGES)
+    seldom = once.where(F.col("n") < HEADING_PAGES)
+    near = cut(_alike(seldom, often).select("sk").distinct())
+    rest = cut(seldom.join(near, "sk", "left_anti"))
+    among = cut(_alike(rest, rest))
+    core = among.groupBy("sk").agg(F.sum("n_other").alias("_n")).where(F.col("_n") >= HEADING_PAGES).select(F.col("sk").alias("other"))
+    return often.select("sk").unionByName(near).unionByName(among.join(core, "other").select("sk").distinct())
 
 
 def mark_furniture(texts: DataFrame) -> DataFrame:
@@ -234,7 +255,8 @@ def flattened(p1: DataFrame) -> DataFrame:
 
 def misread_small_words(p: DataFrame) -> DataFrame:
     """(seq, word, meant) of flattened entries: words beside the names ("and other species") misread, by the words of all entries."""
-    words = cut(p.select("seq", F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit(SMALL_WORD), F.lit(1)))).alias("word")))
+    some = p.where(F.col("body").rlike(r"\s\p{Ll}[\p{Ll}.,]*\s+\p{Ll}|[.,]\s+\p{Ll}"))
+    words = cut(some.select("seq", F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit(SMALL_WORD), F.lit(1)))).alias("word")))
     counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     return words.join(misread_words(counts, marks=False), "word").select("seq", "word", "meant")
 
@@ -422,12 +444,13 @@ def repaired_entries(p1: DataFrame) -> DataFrame:
     authorities) by the words of all entries.
     """
     squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    p = flattened(p1).select("seq", "has_head", "rest", squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
-    p = cut(p)
-    small = misread_small_words(p).groupBy("seq").agg(F.collect_list(F.struct("word", "meant")).alias("_small"))
-    p = p.join(cut(small), "seq", "left").withColumn("rest", F.when(F.col("_small").isNotNull(), _apply(F.col("rest"), F.col("_small"))).otherwise(F.col("rest"))).drop("_small")
+    p = flattened(p1).select("seq", "has_head", "rest", "body", squash(healed(F.col("headword"))).alias("hw"), squash(healed(F.col("own"))).alias("printed"))
+    small = cut(misread_small_words(p).groupBy("seq").agg(F.collect_list(F.struct("word", "meant")).alias("_small")))
     hurt = F.col("hw").rlike(r"[^\p{Lu}\s\-]"), F.col("rest").rlike(MARKED)
-    p = cut(p.withColumn("hurt", F.coalesce(hurt[0], F.lit(False)) | F.coalesce(hurt[1], F.lit(False))))
+    p = cut(p.drop("body").withColumn("hurt", F.coalesce(hurt[0], F.lit(False)) | F.coalesce(hurt[1], F.lit(False))))
+    # few entries have misread small words; only these take part in the join
+    few = p.join(small, "seq").withColumn("rest", _apply(F.col("rest"), F.col("_small"))).drop("_small")
+    p = p.join(small.select("seq"), "seq", "left_anti").unionByName(few)
 
     def both(of: DataFrame, words: Callable[[str], Column]) -> DataFrame:
         each = F.explode(F.array(F.struct(F.lit(True).alias("head"), words("hw").alias("ws")), F.struct(F.lit(False).alias("head"), words("rest").alias("ws"))))
