@@ -2,72 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernalex.functions.text import repair_typography
 
 LETTER = "A-Za-zÀ-ÿ"
-# one marker of a dialect as scanned: up to five letters or look-alikes, or the one two-part code of this kind
-SLOT = r"(?:[A-Z][a-z]{1,3}\.\s*-\s*[A-Z][a-z]{1,3}|[A-Za-z0-9\[\]|']{1,5})"
-LOCS = rf"(?:\s*[,;.]\s*{SLOT}\s*[.:]\??)+"
-PLACE = r"\s*[.:]?\s*\(([^)]{1,40})\)\s*\.?"
-HEAD = rf"((?:[^.;()]|\.[{LETTER}]){{2,60}}?)"
-TAXON = r"([A-ZÁÉÍÓÚ][a-zé?\[].*|\[[a-z]+\].*|\?|\.{2,}.*|--.*)"
-# after a marker or a place the scan may leave debris before the genus; after a bare headword only blanks may stand there
-AFTER_MARK = r"[\s\-*~%?=+.,;']*\s*'?"
-AFTER_HEAD = r"\s*[.:]*\s+'?"
-#: two grammars, tried in turn: with markers or a place, and bare
-ENTRY_MARKED = rf"(?s)^{HEAD}(?:({LOCS})(?:{PLACE})?|{PLACE}({LOCS})?){AFTER_MARK}{TAXON}$"
-ENTRY_BARE = rf"(?s)^{HEAD}{AFTER_HEAD}{TAXON}$"
-
-# Shapes of printed lines that the documented results depend on.
-FURNITURE = r"^\s*(?:\d{1,3}|[A-Z]\.|[IVXL]+|\d+\s+\d+)\s*$"
-DEBRIS = r"^[\s.,;:'\"*~\-]+"
-TWO_CAPITALS = r"(?=[A-Za-zé\-]*[A-ZÉ][A-Za-zé\-]*[A-ZÉ])"
-LOST_INITIAL = r"^[\s>«»'\"|]*\.\s+(?=[A-ZÉ]|[a-zé]{1,3}[A-ZÉ])"
-DAMAGED_INITIAL = rf"^\s*[A-Za-z&>«»|]{{0,6}}[^A-Za-z\s.][A-Za-z&>«»|]{{0,6}}\.\s+{TWO_CAPITALS}"
-SHORT_INITIAL = rf"^\s*(?![A-Z]\.\s)[A-Za-z]{{1,2}}\.\s+(?={TWO_CAPITALS}[A-Za-zé\-]{{4,}})"
-SHIFTED_EPITHET = r"^\s{1,4}(?=[A-ZÉ]{4,}\s+[A-ZÉ][a-zé.])"
-NATIVE_LINE = rf"(?i)^[A-Za-zé][A-Za-zé'\- ]{{1,40}}(?:\s*\([^)]{{2,30}}\))?\s*(?:,\s*{SLOT}\.|;)"
-NATIVE_NAME = rf"^([{LETTER}][{LETTER}'\- ]{{0,40}}?)(?:\s*,\s*({SLOT}\.?(?:\s*,\s*{SLOT}\.?)*))?(?:\s*\(([^)]{{2,30}})\))?\s*[.,]?$"
-RUN_TOGETHER = rf"\s(?=[A-Z?]\.\s+{TWO_CAPITALS}[A-Za-zé]{{4,}}[\s.,;])"
-BRACKETED = r"\(\s*([A-Za-zé/\\.]{4,26})\s*\)"
-# Words that begin a sentence, not a name.
-SENTENCE_WORDS = ("the", "a", "an", "in", "of", "this", "these", "used", "cultivated")
+# A blank within brackets, so that a bracket is one word.
+GLUE = "\u0002"
+HEAD_MIN, HEAD_MAX = 2, 60
+#: words of a line that is a page number or a printer's signature
+SIGNATURE = r"^(?:\d{1,3}|[A-Z]\.|[IVXL]{1,7})$"
+#: a marker of a dialect as scanned: a few letters or look-alikes and a stop, or two such joined by a hyphen
+MARKER_WORD = r"^(?:[\w\[\]|']{1,5}[.:]|[A-Z]\p{Ll}{1,3}\.-[A-Z]\p{Ll}{1,3}[.:]?)\??[,;]?[-~*=+]*$"
+BRACKET_WORD = r"^\([^()]*\)[.,;:]*$"
+DEBRIS_WORD = r"^[^\p{L}\d?\[(]+$"
+#: what a cited plant begins with
+TAXON_WORD = r"^(?:\p{Lu}[\p{Ll}?\[]|\p{Lu}\.{2}|\[\p{Ll}|\?$|\.\.|--)"
 
 
-def parse_entry_lines(lines: DataFrame, line: str) -> DataFrame:
-    """Add head, locs, place, sci (null if absent) and parsed to each line; furniture and blank lines are left out.
+def words_of_line(line: Column) -> Column:
+    """Words between blanks, a bracket being one word, set apart from what it follows."""
+    x = F.regexp_replace(F.replace(line, F.lit("("), F.lit(" (")), r"(?<!^) (?=[^()]*\))", GLUE)
+    return F.filter(F.split(x, " "), lambda w: w != "")
 
-    An inner period of the headword is dropped, marks around it too; a line whose headword then has no letter is not parsed.
-    """
-    x = F.regexp_replace(repair_typography(line), DEBRIS, "")
-    df = lines.withColumn("_x", x).where((F.col("_x") != "") & ~F.col("_x").rlike(FURNITURE))
-    marked = F.col("_x").rlike(ENTRY_MARKED)
 
-    def part(i: int, j: int | None) -> Column:
-        bare = F.regexp_extract("_x", ENTRY_BARE, j) if j else F.lit("")
-        return F.when(marked, F.regexp_extract("_x", ENTRY_MARKED, i)).otherwise(bare)
+def _slice_from(words: Column, start: Column) -> Column:
+    """The words from the 1-based place on."""
+    return F.filter(words, lambda w, i: i + 1 >= start)
+
 
-    df = df.withColumns({"_head": part(1, 1), "_locs": F.concat(part(2, None), part(5, None)), "_place": F.concat(part(3, None), part(4, None)), "_sci": part(6, 2)})
-    head = F.regexp_replace(F.regexp_replace("_head", rf"\.([{LETTER}])", "$1"), rf"^[^{LETTER}]+|[^{LETTER}]+$", "")
-    df = df.withColumn("head", F.when(head != "", head))
-    ok = F.col("head").isNotNull()
+def _first_place(words: Column, test) -> Column:
+    """The 1-based place of the first word that passes, 0 if none does."""
+    return F.coalesce(F.array_position(F.transform(words, lambda w, i: F.coalesce(test(w, i), F.lit(False))), F.lit(True)), F.lit(0)).cast("int")
 
-    def given(c: str) -> Column:
-        return F.when(ok & (F.trim(c) != ""), F.trim(c))
 
-    return df.withColumns({"locs": given("_locs"), "place": given("_place"), "sci": given("_sci"), "parsed": ok}).drop("_head", "_locs", "_place", "_sci").withColumnRenamed("_x", "line_read")
+def is_signature(words: Column) -> Column:
+    """One or two words and nothing but numbers of pages or signatures of the printer."""
+    return F.size(words).between(1, 2) & F.forall(words, lambda w: w.rlike(SIGNATURE)) & ((F.size(words) == 1) | F.forall(words, lambda w: w.rlike(r"^\d+$")))
+
+
+def parse_entry_lines(lines: DataFrame, line: str) -> DataFrame:
+    """Add head, locs, place, sci (null if absent) and parsed to each line; signatures and blank lines are left out.
+
+    The line is read word by word: the headword ends with the first word that closes with a comma, semicolon or stop, or stands before a bracket, or is in capitals and stands before a plant; then
+    markers, brackets and debris are taken as long as they go on; what is left must begin as a plant's name does. An
+    inner stop of the headword is dropped, marks around it too.
+    """
+    x = F.regexp_replace(repair_typography(line), rf"^[^{LETTER}\d(\[?]+", "")
+    df = lines.withColumn("line_read", x).withColumn("_w", words_of_line(F.col("line_read"))).where((F.col("line_read") != "") & ~is_signature(F.col("_w")))
+    w = F.col("_w")
+    ahead = lambda i: F.coalesce(F.get(w, i + 1), F.lit(""))
+    closing = _first_place(w, lambda v, i: v.rlike(r"[^.,;][.,;][-~*]*$") | F.startswith(ahead(i), F.lit("(")) | ((_capitals_in(v) >= 2) & ahead(i).rlike(TAXON_WORD)))
+    df = df.withColumn("_k", closing).withColumn("_after", _slice_from(w, F.col("_k") + 1))
+    goes_on = lambda v: v.rlike(MARKER_WORD) | v.rlike(BRACKET_WORD) | v.rlike(DEBRIS_WORD)
+    after = F.col("_after")
+    df = df.withColumn("_m", _first_place(after, lambda v, i: ~goes_on(v)))
+    taken = F.when(F.col("_m") > 0, F.slice(after, F.lit(1), F.col("_m") - 1)).otherwise(F.array().cast("array<string>"))
+    df = df.withColumns({"_taken": taken, "_head": F.array_join(F.slice(w, F.lit(1), F.greatest("_k", F.lit(1))), " ")})
+    sci = F.regexp_replace(F.array_join(_slice_from(after, F.col("_m")), " "), r"^['‘’]+", "")
+    head = F.regexp_replace(F.regexp_replace("_head", rf"(?<=[{LETTER}])\.(?=[{LETTER}])", ""), rf"^[^{LETTER}]+|[^{LETTER}]+$", "")
+    marks = F.filter("_taken", lambda v: v.rlike(MARKER_WORD))
+    mark = F.regexp_extract("_head", r"([.,;])[-~*]*$", 1)
+    joined = F.array_join(F.transform(marks, lambda v: F.regexp_replace(v, r"[-~*=+]+$", "")), " ")
+    locs = F.when(F.size(marks) > 0, F.concat(F.when(mark == ";", "; ").otherwise(", "), F.regexp_replace(joined, r"[,;]+$", "")))
+    bracket = F.get(F.filter("_taken", lambda v: v.rlike(BRACKET_WORD)), F.lit(0))
+    place = F.regexp_replace(F.translate(bracket, GLUE, " "), r"^\(|\)[.,;:]*$", "")
+    ok = (F.col("_k") > 0) & (F.col("_m") > 0) & F.length("_head").between(HEAD_MIN, HEAD_MAX) & head.rlike(rf"[{LETTER}]") & F.translate(sci, GLUE, " ").rlike(TAXON_WORD)
+    df = df.withColumn("parsed", F.coalesce(ok, F.lit(False)))
+    given = lambda c: F.when(F.col("parsed") & (F.trim(c) != ""), F.trim(c))
+    out = df.withColumns({"head": given(head), "locs": given(locs), "place": given(place), "sci": given(F.translate(sci, GLUE, " "))})
+    return out.drop("_w", "_k", "_after", "_m", "_taken", "_head")
 
 
 def markers(locs: Column) -> Column:
     """The dialect markers of a marker list, without their punctuation."""
-    found = F.regexp_extract_all(locs, F.lit(rf"({SLOT})\s*[.:]\??"), F.lit(1))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    each = F.filter(F.split(locs, r"[\s,;]+"), lambda m: m != "")
+    return F.coalesce(F.transform(each, lambda m: F.regexp_replace(m, r"[.:]\??$", "")), F.array().cast("array<string>"))
 
 
 def taxon_list(sci: Column) -> Column:
@@ -95,32 +106,60 @@ def dedent(line: Column, margin: Column) -> Column:
     return F.substring(line, margin + 1, F.length(line))
 
 
+def _letters_in(word: Column) -> Column:
+    return F.length(F.regexp_replace(word, rf"[^{LETTER}]", ""))
+
+
+def _capitals_in(word: Column) -> Column:
+    return F.length(F.regexp_replace(word, r"[^\p{Lu}]", ""))
+
+
+def capital_epithet(word: Column) -> Column:
+    """A word of four letters or more, two of them capitals, as epithets are printed (and misread)."""
+    return (_letters_in(word) >= 4) & (_capitals_in(word) >= 2)
+
+
 def restore_initial(line: Column) -> Column:
-    """A lost or damaged initial of an abbreviated genus becomes `?. `; the first rule that fits wins, a sound one (`A. `) stays."""
-    out = line
-    for rule in (SHIFTED_EPITHET, SHORT_INITIAL, DAMAGED_INITIAL, LOST_INITIAL):
-        out = F.when(line.rlike(rule), F.regexp_replace(line, rule, "?. ")).otherwise(out)
-    return out
+    """A lost or damaged initial of an abbreviated genus becomes `?. `; a sound one (`A. `) stays.
 
+    It is missed where a word of one or two letters or with marks, closed by a stop, stands before an epithet in capitals, or where
+    a line set in by up to four blanks begins with one and goes on with a capital.
+    """
+    w = F.split(F.trim(line), r"\s+")
+    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+    rest = F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " ")
+    blanks = F.length(line) - F.length(F.ltrim(line))
+    sound = (_capitals_in(first) == 1) & (F.length(first) == 2)
+    broken = F.endswith(first, F.lit(".")) & ~sound & ((_letters_in(first) <= 2) | first.rlike(rf"[^{LETTER}.]")) & ~F.startswith(first, F.lit("?"))
+    moved = blanks.between(1, 4) & (_letters_in(first) >= 4) & (_letters_in(first) == F.length(first)) & (_capitals_in(first) == F.length(first)) & second.rlike(r"^\p{Lu}[\p{Ll}.]")
+    return F.when(broken & capital_epithet(second), F.concat(F.lit("?. "), rest)).when(moved, F.concat(F.lit("?. "), F.trim(line))).otherwise(line)
 
-def is_heading(line: Column) -> Column:
-    """Whether a dedented line opens a block: not deeply indented, not prose, not a native-name line, a name in capitals."""
+
+HEADING_SCORE = 3
+
+
+def heading_score(line: Column) -> Column:
+    """Points for and against a dedented line opening a block: an initial, a name in capitals, a stop before a capital or a bracket; against it
+    small letters, a deep indent, the commas and semicolons of native names."""
     t = F.trim(restore_initial(line))
-    first = F.regexp_extract(t, r"^(\S+)", 1)
-    second = F.regexp_replace(F.regexp_extract(t, r"^\S+\s+(\S+)", 1), r"[.,;]+$", "")
-    letters = F.regexp_replace(first, "[^A-Za-z]", "")
-    shaped = (F.length(second) >= 4) & (F.regexp_count(second, F.lit("[A-Z\u00c9]")) >= 2) & second.rlike("^[A-Za-z\u00e9\\-]+$")
+    w = words_of_line(t)
+    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+    point = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     return (
-        F.when(line.rlike(r"^\s{5,}") | (t == "") | t.rlike(FURNITURE) | t.rlike(r"^[a-z\u00e9]") | t.rlike(NATIVE_LINE), False)
-        .when(first.rlike(r"^[A-Z?]\.$"), True)
-        .when(F.length(letters) < 3, False)
-        .when(F.regexp_count(letters, F.lit("[A-Z]")) >= 2, True)
-        .when(~first.rlike(r"^[A-Z][a-z\u00e9]"), False)
-        .when(first.endswith(".") & t.rlike(r"^\S+\s+[(A-Z]"), True)
-        .otherwise(shaped)
+        point(t.rlike(r"^\p{Lu}"), 1)
+        + point(first.rlike(r"^[\p{Lu}?]\.$"), 3)
+        + point((_letters_in(first) >= 3) & (_capitals_in(first) >= 2) | capital_epithet(second), 2)
+        + point((_letters_in(first) >= 3) & F.endswith(first, F.lit(".")) & second.rlike(r"^[(\p{Lu}]"), 2)
+        - point(t.rlike(r"^\p{Ll}") | (F.length(line) - F.length(F.ltrim(line)) >= 5) | is_signature(w), 9)
+        - point(F.contains(t, F.lit(";")) & ~first.rlike(r"^[\p{Lu}?]\.$") | (F.endswith(first, F.lit(",")) & second.rlike(MARKER_WORD)), 4)
     )
 
 
+def is_heading(line: Column) -> Column:
+    """Whether a dedented line opens a block; a blank line doesn't, a null is null."""
+    return F.when(F.trim(line) == "", False).otherwise(heading_score(line) >= HEADING_SCORE)
+
+
 def block_ids(df: DataFrame, heading: str, order: str, group: list[str], chunk: str, into: str = "block") -> DataFrame:
     """Number of headings at or before each row of its group (0 before the first), by chunk sums and a running sum within the chunk."""
     flag = F.coalesce(F.col(heading).cast("int"), F.lit(0))
@@ -140,80 +179,109 @@ def join_block(lines: Column, heal: bool = False) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+# Letters that a piece of a run-together block has at least.
+LEAST_PIECE = 14
+
+
 def split_run_together(blocks: DataFrame, text: str) -> DataFrame:
-    """Explode blocks at an inner abbreviated genus before an epithet in capitals, from the 15th character on (columns piece, text)."""
-    import re
+    """Explode blocks where an inner abbreviated genus stands before an epithet in capitals (columns piece, text).
 
-    cut = re.compile(RUN_TOGETHER)
+    Words are laid into pieces one after the other; a new piece begins with such an initial once the last one is long enough. Null texts have no piece.
+    """
+    w = F.split(F.trim(F.col(text)), r"\s+")
+    opens = F.transform(w, lambda v, i: v.rlike(r"^[\p{Lu}?]\.$") & F.coalesce(capital_epithet(F.get(w, i + 1)) & (_capitals_in(F.get(w, i + 1)) >= 4), F.lit(False)))
+    pairs = F.arrays_zip(w.alias("w"), opens.alias("o"))
 
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            out = []
-            for t in b:
-                parts = []
-                while t is not None:
-                    m = cut.search(t)
-                    if not m or m.start() < 15:
-                        break
-                    parts.append(t[: m.start()])
-                    t = t[m.start() :].strip()
-                out.append(parts + [t] if t is not None else None)
-            yield pd.Series(out)
+    def lay(pieces: Column, p: Column) -> Column:
+        last = F.element_at(pieces, -1)
+        apart = p["o"] & (F.length(last) >= LEAST_PIECE)
+        longer = F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.when(last == "", p["w"]).otherwise(F.concat(last, F.lit(" "), p["w"]))))
+        return F.when(apart, F.concat(pieces, F.array(p["w"]))).otherwise(longer)
 
-    split = F.pandas_udf(pieces, "array<string>")
-    return blocks.select(*[c for c in blocks.columns if c != text], F.posexplode(split(F.col(text))).alias("piece", text))
+    pieces = F.aggregate(pairs, F.array(F.lit("")), lay)
+    return blocks.select(*[c for c in blocks.columns if c != text], F.posexplode(pieces).alias("piece", text))
+
+
+# Words that begin a sentence, not a name.
+SENTENCE_WORDS = ("a", "an", "cultivated", "in", "of", "the", "these", "this", "used")
+NAME_WORDS = 4
 
 
 def as_vernacular(segment: Column) -> Column:
-    """struct(name, dialects, place) of a segment shaped like a native name, else null."""
-    s = F.trim(segment)
-    shape = NATIVE_NAME
-    name = F.regexp_extract(s, shape, 1)
-    locs, place = F.regexp_extract(s, shape, 2), F.regexp_extract(s, shape, 3)
-    fits = F.length(s).between(2, 60) & s.rlike(shape) & (F.length(name) >= 2) & (F.size(F.split(name, r"\s+")) <= 4)
-    bare = (locs == "") & (place == "") & F.lower(name).isin(*SENTENCE_WORDS)
-    dialects = F.filter(F.transform(F.split(locs, r"\s*,\s*"), lambda d: F.regexp_replace(d, r"\.$", "")), lambda d: d != "")
-    return F.when(fits & ~bare, F.struct(name.alias("name"), dialects.alias("dialects"), F.when(place != "", place).alias("place")))
+    """struct(name, dialects, place) of a segment that reads as a native name, else null.
+
+    A bracket is its place; of what stands between commas the first is the name, of a few words of letters, and all others must be markers.
+    """
+    s = F.regexp_replace(F.trim(segment), r"[.,\s]+$", "")
+    place = F.regexp_extract(s, r"\(([^()]*)\)", 1)
+    parts = F.transform(F.split(F.regexp_replace(s, r"\([^()]*\)", ""), ","), lambda x: F.trim(x))
+    name = F.get(parts, F.lit(0))
+    codes = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda d: d != "")
+    dialects = F.transform(codes, lambda d: F.regexp_replace(d, r"\.$", ""))
+    words = F.split(name, " +")
+    named = F.forall(words, lambda w: w.rlike(rf"^[{LETTER}'-]+$")) & (F.size(words) <= NAME_WORDS) & F.length(name).between(2, 41)
+    marked = F.forall(codes, lambda d: F.concat(F.regexp_replace(d, r"\.$", ""), F.lit(".")).rlike(MARKER_WORD))
+    prose = (F.size(codes) == 0) & (place == "") & F.lower(F.get(words, F.lit(0))).isin(*SENTENCE_WORDS)
+    return F.when(named & marked & ~prose, F.struct(name.alias("name"), dialects.alias("dialects"), F.when(place != "", place).alias("place")))
 
 
 def split_notes(rest: Column) -> Column:
-    """struct(notes, vernaculars): the longest run of name-shaped `;` segments at the end, and a name after the last sentence before it."""
-    segs = F.filter(F.transform(F.split(rest, ";"), F.trim), lambda s: s != "")
-    flags = F.transform(segs, lambda s: as_vernacular(s).isNull())
-    last = F.coalesce(F.array_max(F.transform(flags, lambda f, i: F.when(f, i + 1).otherwise(0))), F.lit(0))
-    names = F.transform(F.slice(segs, last + 1, F.lit(10_000)), as_vernacular)
-    closing = F.get(segs, last - 1)
-    tail = F.regexp_extract(closing, r"(?s)^(.+\.) ([^.]*?\.?)$", 2)
-    extra = F.when((last > 0) & (tail != ""), as_vernacular(tail))
-    kept = F.concat(
-        F.slice(segs, F.lit(1), F.greatest(last - 1, F.lit(0))),
-        F.when(last > 0, F.array(F.when(extra.isNotNull(), F.regexp_extract(closing, r"(?s)^(.+\.) ([^.]*?\.?)$", 1)).otherwise(closing))).otherwise(F.array().cast("array<string>")),
-    )
-    notes = F.regexp_replace(F.array_join(kept, "; "), r"^[\s.;]+", "")
-    both = F.when(extra.isNotNull(), F.concat(F.array(extra), names)).otherwise(names)
-    return F.struct(F.when(notes != "", notes).alias("notes"), both.alias("vernaculars"))
-
-
-def parse_block(text: Column, families: list[str] | None = None) -> Column:
-    """struct(name, authority, family_raw, rest) of a block's text: the name stands before a bracketed word that
-    looks like a family (or is one of ``families``), else before the first full stop followed by a capital."""
-    bracket = BRACKETED
-    raw = F.regexp_extract(text, bracket, 1)
-    is_family = F.lower(F.regexp_replace(raw, r"\.$", "")).isin([f.lower() for f in families]) if families else raw.rlike(r"(?i)(?:ceae|cee|cece|ae|ew|ex|\u00e6)\.?$")
-    fam_at = F.when((raw != "") & is_family, F.regexp_instr(text, F.lit(bracket)))
-    skip = F.when(text.rlike(r"^[A-Z?]\.\s"), 3).otherwise(0)
-    body = F.substring(text, skip + 1, F.length(text))
-    dot = F.regexp_instr(body, F.lit(r"\.\s+[A-Z]"))
-    end = F.coalesce(fam_at - 1, F.when(dot > 0, skip + dot), F.length(text))
-    name_part = F.regexp_replace(F.trim(F.substring(text, F.lit(1), end)), r"[\s.]+$", "")
-    start = F.when(fam_at.isNotNull(), fam_at + F.length(F.regexp_extract(text, BRACKETED, 0))).otherwise(end + 1)
-    words = F.split(name_part, r"\s+")
-    authority = F.regexp_replace(F.array_join(F.slice(words, 3, 10_000), " "), r"[.,\s]+$", "")
+    """struct(notes, vernaculars): native names between semicolons at the end, also one after the last sentence, and the prose before them.
+
+    Read from the end: segments are names until one isn't; of that one the words after its last stop may be a name too.
+    """
+    segments = F.reverse(F.filter(F.transform(F.split(rest, ";"), lambda x: F.trim(x)), lambda s: s != ""))
+    nothing = F.array().cast("array<struct<name:string,dialects:array<string>,place:string>>")
+    start = F.struct(F.lit(True).alias("open"), nothing.alias("names"), F.array().cast("array<string>").alias("prose"))
+
+    def take(state: Column, s: Column) -> Column:
+        whole = as_vernacular(s)
+        after = F.substring_index(s, ". ", -1)
+        tail = F.when(F.contains(s, F.lit(". ")), as_vernacular(after))
+        before = F.when(tail.isNotNull(), F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1)).otherwise(s)
+        names = F.when(state["open"] & whole.isNotNull(), F.concat(F.array(whole), state["names"])).when(state["open"] & tail.isNotNull(), F.concat(F.array(tail), state["names"])).otherwise(state["names"])
+        prose = F.when(~state["open"], F.concat(F.array(s), state["prose"])).when(whole.isNull(), F.array(before)).otherwise(state["prose"])
+        return F.struct((state["open"] & whole.isNotNull()).alias("open"), names.alias("names"), prose.alias("prose"))
+
+    read = F.aggregate(segments, start, take)
+    notes = F.regexp_replace(F.array_join(read["prose"], "; "), r"^[\s.;]+", "")
+    return F.struct(F.when(notes != "", notes).alias("notes"), read["names"].alias("vernaculars"))
+
+
+def family_bracket(text: Column, families: Column | None = None) -> Column:
+    """The bracketed word of a text that is a listed family (an array column of names), or, without a list, looks like one; every bracket is tried."""
+    inner = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.trim(x))
+    key = lambda w: F.lower(F.regexp_replace(w, r"[\s.]+", ""))
+    if families is not None:
+        listed = F.transform(families, key)
+        return F.get(F.filter(inner, lambda w: F.array_contains(listed, key(w))), F.lit(0))
+    return F.get(F.filter(inner, lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit(" ")) & key(w).rlike("(?:[ceo]e|ae|e[wx]|æ)$")), F.lit(0))
+
+
+def parse_block(text: Column, families: Column | None = None) -> Column:
+    """struct(name, authority, family_raw, rest) of a block's text.
+
+    The name is its first two words, a genus alone if that closes with a stop; the authority goes on to the family's bracket, else to the first word of
+    two letters or more that closes with a stop; the rest follows.
+    """
+    family = family_bracket(text, families)
+    at = F.when(family.isNotNull(), F.instr(text, F.concat(F.lit("("), family)))
+    w = F.filter(F.split(F.trim(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)), r"\s+"), lambda v: v != "")
+    alone = F.coalesce(F.endswith(F.get(w, F.lit(0)), F.lit(".")) & (_letters_in(F.get(w, F.lit(0))) >= 3), F.lit(False))
+    n = F.when(alone, 1).otherwise(F.least(F.size(w), F.lit(2)))
+    after = _slice_from(w, n + 1)
+    stop = _first_place(after, lambda v, i: F.endswith(v, F.lit(".")) & (_letters_in(v) >= 2))
+    # an authority is made of capitalised words and what joins them
+    prose = _first_place(after, lambda v, i: ~v.rlike(r"^\p{Lu}") & ~v.isin("&", "et", "ex", "in", "f."))
+    length = F.when(at > 0, F.size(after)).when(~alone & (stop > 0) & ((prose == 0) | (prose > stop)), stop).otherwise(0)
+    stripped = lambda c: F.regexp_replace(c, r"[.,\s]+$", "")
+    authority = stripped(F.array_join(F.slice(after, F.lit(1), length), " "))
+    rest = F.when(at > 0, F.substring(text, at + F.length(family) + 2, F.length(text))).otherwise(F.array_join(_slice_from(after, length + 1), " "))
     return F.struct(
-        F.array_join(F.slice(words, 1, 2), " ").alias("name"),
+        stripped(F.array_join(F.slice(w, F.lit(1), n), " ")).alias("name"),
         F.when(authority != "", authority).alias("authority"),
-        F.when(fam_at.isNotNull(), F.regexp_replace(raw, r"\.$", "")).alias("family_raw"),
-        F.trim(F.substring(text, start, F.length(text))).alias("rest"),
+        stripped(family).alias("family_raw"),
+        F.regexp_replace(F.trim(rest), r"^[.\s]+", "").alias("rest"),
     )
 
 
@@ -223,9 +291,14 @@ def is_fragment(name: Column, family: Column, notes: Column, vernaculars: Column
     return ~F.contains(name, F.lit(" ")) & family.isNull() & notes.isNull() & empty & ~F.coalesce(corrected, F.lit(False))
 
 
+def bare_marker(token: Column) -> Column:
+    """A marker without blanks and the punctuation around it."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\s+", ""), "^[,;.'‘’]+", ""), "[.:?'‘’]+$", "")
+
+
 def canonical_marker(token: Column, codes: list[str], misread: dict[str, str] | None = None) -> Column:
     """The dialect code of a marker: punctuation aside, case aside; ``misread`` spellings (case as given) as a last resort, else null."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\s+", ""), "^[,;.'‘’]+", ""), "[.:?'‘’]+$", "")
+    bare = bare_marker(token)
     listed = F.create_map(*[F.lit(x) for c in codes for x in (c.lower(), c)]) if codes else F.lit(None).cast("map<string,string>")
     out = F.element_at(listed, F.lower(bare))
     if misread:
@@ -248,5 +321,4 @@ def sections(lines: DataFrame, group: list[str], page: str, line: str, openings:
 
 def unresolved_family(text: Column) -> Column:
     """A bracketed word that looks like a family though none was resolved, to extend the list by; null if there is none."""
-    raw = F.regexp_extract(text, BRACKETED, 1)
-    return F.when(raw.rlike("(?i)ce|ae|se|re"), F.regexp_replace(raw, r"\.$", ""))
+    return F.regexp_replace(family_bracket(text), r"[.\s]+$", "")

@@ -13,6 +13,7 @@ from vernalex.operators.carry import carry_down
 from vernalex.plans.lineage import cut
 from vernalex.sources import scans, sinks
 from vernalex.sources.tables import first_deliveries, read
+from vernalex.sql import GRAMMAR_SQL, MARKERS_SQL, P1, P2
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -39,10 +40,6 @@ def part2(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 # --- SQL fragments
-P1 = "p1 as (select * from part1_vernacular qualify row_number() over (partition by seq order by loaded_at) = 1)"
-P2 = "p2 as (select * from part2_scientific qualify row_number() over (partition by seq order by loaded_at) = 1)"
-
-
 def key_sql(x: str) -> str:
     return f"regexp_replace(translate(lower(strip_accents({x})), '01345689', 'oieasobg'), '[^a-z]', '', 'g')"
 
@@ -101,11 +98,12 @@ select seq, array_to_string(list_filter([case when contains(headword, 'é') then
  case when len(list_filter(coalesce(dialects, []), lambda x: not list_contains(l, x) and regexp_matches(x, '^[A-Z]$'))) > 0 then 'dialect-undocumented' end,
  case when len(list_filter(taxa, lambda x: regexp_matches(x, '[0-9?\\\\|]'))) > 0 then 'taxon-suspect' end], lambda x: x is not null), '|') as quality from p1, codes""")
 def quality_flags(spark, d):
-    codes = [r[0] for r in read(spark, d, "ref_dialects").select("dialect_code").limit(1000).collect()]
+    codes = read(spark, d, "ref_dialects").agg(F.collect_set("dialect_code").alias("codes"))
     ds = F.coalesce("dialects", F.array().cast("array<string>"))
-    unknown = F.filter(ds, lambda x: ~x.isin(codes) & ~x.rlike("^[A-Z]$"))
-    undocumented = F.filter(ds, lambda x: ~x.isin(codes) & x.rlike("^[A-Z]$"))
-    return part1(spark, d, "headword", "taxa", "dialects").select("seq", F.array_join(tx.quality_flags("headword", "taxa", unknown, undocumented), "|").alias("quality"))
+    unlisted = F.array_except(ds, "codes")
+    unknown, undocumented = F.filter(unlisted, lambda x: ~x.rlike("^[A-Z]$")), F.filter(unlisted, lambda x: x.rlike("^[A-Z]$"))
+    e = part1(spark, d, "headword", "taxa", "dialects").crossJoin(F.broadcast(codes))
+    return e.select("seq", F.array_join(tx.quality_flags("headword", "taxa", unknown, undocumented), "|").alias("quality"))
 
 
 @query(f"with {P1} select case when confidence is null then 'unknown' when confidence < 40 then 'bad' when confidence < 70 then 'weak' else 'ok' end as band, count(*)::bigint as n from p1 group by 1")
@@ -153,21 +151,6 @@ def html_token_confidence(spark, d):
 
 
 # ---------------------------------------------------------------- grammar and blocks
-LINE_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(raw, '‘’‚“”„', '''''''\"\"\"'), '[\\s\\x{a0}]*[—–][\\s\\x{a0}]*', '--', 'g'), '[\\s\\x{a0}]+([,.;])', '\\1', 'g'), '[\\s\\x{a0}]+', ' ', 'g'), '^[\\s.,;:''\"*~\\-]+', ''))"
-
-
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-GRAMMAR_SQL = f"""with {P1}, x as (select seq, {LINE_SQL} x from p1), m as (select seq, x, regexp_matches(x, '{_q(grammar.ENTRY_MARKED)}') mk from x where x <> '' and not regexp_matches(x, '{_q(grammar.FURNITURE)}')),
-g as (select seq, x, case when mk then regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 1) else regexp_extract(x, '{_q(grammar.ENTRY_BARE)}', 1) end h0,
- trim(case when mk then regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 2) || regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 5) else '' end) l,
- trim(case when mk then regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 3) || regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 4) else '' end) p,
- trim(case when mk then regexp_extract(x, '{_q(grammar.ENTRY_MARKED)}', 6) else regexp_extract(x, '{_q(grammar.ENTRY_BARE)}', 2) end) s from m),
-e as (select seq, x, nullif(regexp_replace(regexp_replace(h0, '\\.([{grammar.LETTER}])', '\\1', 'g'), '^[^{grammar.LETTER}]+|[^{grammar.LETTER}]+$', '', 'g'), '') head, l, p, s from g)"""
-
-
 def parsed_entries(spark, d) -> DataFrame:
     return grammar.parse_entry_lines(part1(spark, d, "raw"), "raw")
 
@@ -182,7 +165,7 @@ def dead_letter_lines(spark, d):
     return sinks.dead_letters(parsed_entries(spark, d), "parsed", "line_read").select("seq", F.col("line_read").alias("line"))
 
 
-@query(GRAMMAR_SQL + f", t as (select unnest(regexp_extract_all(l, '({_q(grammar.SLOT)})\\s*[.:]\\??', 1)) marker from e where head is not null) select marker, dialect_code is not null as known, count(*)::bigint as n from t left join ref_dialects on marker = dialect_code group by 1, 2")
+@query(GRAMMAR_SQL + f", t as (select unnest({MARKERS_SQL}) marker from e where head is not null) select marker, dialect_code is not null as known, count(*)::bigint as n from t left join ref_dialects on marker = dialect_code group by 1, 2")
 def token_slot_extract(spark, d):
     t = parsed_entries(spark, d).where("parsed").select(F.explode(grammar.markers(F.col("locs"))).alias("marker"))
     n = t.groupBy("marker").agg(F.count("*").alias("n"))
@@ -204,10 +187,14 @@ def page_indent_margin(spark, d):
     return grammar.page_margins(lines, ["doc_id"], "line")
 
 
-@query(f"""with {P2}, b as (select seq, volume_id, sum(case when not regexp_matches(name, '^[A-Z?]\\.') then 1 else 0 end) over (partition by volume_id order by seq) as block from p2)
+@query(f"""with {P2}, w as (select seq, volume_id, string_split(trim(name), ' ')[1] w1, coalesce(string_split(trim(name), ' ')[2], '') w2, trim(name) t from p2 where name is not null),
+h as (select seq, volume_id, length(w1) = 2 and w1[2] = '.' and w1[1] between 'A' and 'Z' as short, t[1] between 'A' and 'Z' cap, length(regexp_replace(w1, '[^A-Z]', '', 'g')) c1, length(regexp_replace(w1, '[^A-Za-z]', '', 'g')) l1, length(regexp_replace(w2, '[^A-Z]', '', 'g')) c2, length(regexp_replace(w2, '[^A-Za-z]', '', 'g')) l2 from w),
+b as (select seq, volume_id, sum(case when not short and cap and (l1 >= 3 and c1 >= 2 or l2 >= 4 and c2 >= 2) then 1 else 0 end) over (partition by volume_id order by seq) as block from h)
 select volume_id, block::bigint as block, count(*)::bigint as n_entries, min(seq) as first_seq from b where block > 0 group by 1, 2""")
 def block_assembly(spark, d):
-    e = part2(spark, d, "volume_id", "page", "name").withColumn("heading", ~F.col("name").rlike(r"^[A-Z?]\."))
+    """Blocks of a genus: a heading that gives the genus in full opens one."""
+    e = part2(spark, d, "volume_id", "page", "name").where("name is not null")
+    e = e.withColumn("heading", grammar.is_heading(F.col("name")) & ~F.col("name").rlike(r"^\s*[A-Z?]\.\s"))
     b = grammar.block_ids(e, "heading", "seq", ["volume_id"], "page").where("block > 0")
     return b.groupBy("volume_id", "block").agg(F.count("*").alias("n_entries"), F.min("seq").alias("first_seq"))
 
@@ -725,11 +712,11 @@ def keyed_transcript_match(spark, d):
     return tooling.match_heads(e, f, ["volume_id", "page"])[0].select("correction_id", "seq")
 
 
-@query(GRAMMAR_SQL + f", t as (select distinct unnest(regexp_extract_all(l, '({_q(grammar.SLOT)})\\s*[.:]\\??', 1)) marker from e where head is not null) select marker, dialect_code as code from t left join ref_dialects on lower(regexp_replace(regexp_replace(regexp_replace(marker, '\\s+', '', 'g'), '^[,;.''‘’]+', ''), '[.:?''‘’]+$', '')) = lower(dialect_code)")
+@query(GRAMMAR_SQL + f", t as (select distinct unnest({MARKERS_SQL}) marker from e where head is not null) select marker, dialect_code as code from t left join ref_dialects on lower(regexp_replace(regexp_replace(regexp_replace(marker, '\\s+', '', 'g'), '^[,;.''‘’]+', ''), '[.:?''‘’]+$', '')) = lower(dialect_code)")
 def canonical_markers(spark, d):
-    codes = [r[0] for r in read(spark, d, "ref_dialects").select("dialect_code").limit(1000).collect()]
     t = parsed_entries(spark, d).where("parsed").select(F.explode(grammar.markers(F.col("locs"))).alias("marker")).distinct()
-    return t.select("marker", grammar.canonical_marker(F.col("marker"), codes).alias("code"))
+    codes = read(spark, d, "ref_dialects").select(F.lower("dialect_code").alias("_k"), F.col("dialect_code").alias("code"))
+    return t.join(codes, F.lower(grammar.bare_marker(F.col("marker"))) == F.col("_k"), "left").select("marker", "code")
 
 
 @query(f"""with {P1}, {P2}, l as (select volume_id, page, unnest(string_split(raw, chr(10))) line from p1 union all select volume_id, page, unnest(string_split(notes, chr(10))) from p2),
