@@ -27,9 +27,14 @@ def words_of_line(line: Column) -> Column:
     return F.filter(F.split(x, " "), lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, whatever the times and the lambdas it is used in."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _slice_from(words: Column, start: Column) -> Column:
     """The words from the 1-based place on."""
-    return F.filter(words, lambda w, i: i + 1 >= start)
+    return F.slice(words, F.greatest(start, F.lit(1)), F.greatest(F.size(words), F.lit(1)))
 
 
 def _first_place(words: Column, test) -> Column:
@@ -50,29 +55,35 @@ def parse_entry_lines(lines: DataFrame, line: str) -> DataFrame:
     inner stop of the headword is dropped, marks around it too.
     """
     x = F.regexp_replace(repair_typography(line), rf"^[^{LETTER}\d(\[?]+", "")
-    df = lines.withColumn("line_read", x).withColumn("_w", words_of_line(F.col("line_read"))).where((F.col("line_read") != "") & ~is_signature(F.col("_w")))
-    w = F.col("_w")
-    ahead = lambda i: F.coalesce(F.get(w, i + 1), F.lit(""))
-    closing = _first_place(w, lambda v, i: v.rlike(r"[^.,;][.,;][-~*]*$") | F.startswith(ahead(i), F.lit("(")) | ((_capitals_in(v) >= 2) & ahead(i).rlike(TAXON_WORD)))
-    df = df.withColumn("_k", closing).withColumn("_after", _slice_from(w, F.col("_k") + 1))
+    df = lines.withColumn("line_read", x)
+    df = df.withColumn("_e", F.when(F.col("line_read") != "", let(words_of_line(F.col("line_read")), _entry)))
+    df = df.where(F.col("_e").isNotNull())
+    given = lambda c: F.when(F.col("_e.parsed") & (F.trim(c) != ""), F.trim(c))
+    fields = {c: given(F.col(f"_e.{c}")) for c in ("head", "locs", "place", "sci")}
+    return df.withColumns({**fields, "parsed": F.col("_e.parsed")}).drop("_e")
+
+
+def _entry(w: Column) -> Column:
+    """struct(head, locs, place, sci, parsed) of a line's words; null of a signature."""
+    closes = lambda v, ahead: v.rlike(r"[^.,;][.,;][-~*]*$") | F.startswith(ahead, F.lit("(")) | ((_capitals_in(v) >= 2) & ahead.rlike(TAXON_WORD))
+    closing = _first_place(w, lambda v, i: closes(v, F.coalesce(F.get(w, i + 1), F.lit(""))))
     goes_on = lambda v: v.rlike(MARKER_WORD) | v.rlike(BRACKET_WORD) | v.rlike(DEBRIS_WORD)
-    after = F.col("_after")
-    df = df.withColumn("_m", _first_place(after, lambda v, i: ~goes_on(v)))
-    taken = F.when(F.col("_m") > 0, F.slice(after, F.lit(1), F.col("_m") - 1)).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns({"_taken": taken, "_head": F.array_join(F.slice(w, F.lit(1), F.greatest("_k", F.lit(1))), " ")})
-    sci = F.regexp_replace(F.array_join(_slice_from(after, F.col("_m")), " "), r"^['‘’]+", "")
-    head = F.regexp_replace(F.regexp_replace("_head", rf"(?<=[{LETTER}])\.(?=[{LETTER}])", ""), rf"^[^{LETTER}]+|[^{LETTER}]+$", "")
-    marks = F.filter("_taken", lambda v: v.rlike(MARKER_WORD))
-    mark = F.regexp_extract("_head", r"([.,;])[-~*]*$", 1)
-    joined = F.array_join(F.transform(marks, lambda v: F.regexp_replace(v, r"[-~*=+]+$", "")), " ")
-    locs = F.when(F.size(marks) > 0, F.concat(F.when(mark == ";", "; ").otherwise(", "), F.regexp_replace(joined, r"[,;]+$", "")))
-    bracket = F.get(F.filter("_taken", lambda v: v.rlike(BRACKET_WORD)), F.lit(0))
-    place = F.regexp_replace(F.translate(bracket, GLUE, " "), r"^\(|\)[.,;:]*$", "")
-    ok = (F.col("_k") > 0) & (F.col("_m") > 0) & F.length("_head").between(HEAD_MIN, HEAD_MAX) & head.rlike(rf"[{LETTER}]") & F.translate(sci, GLUE, " ").rlike(TAXON_WORD)
-    df = df.withColumn("parsed", F.coalesce(ok, F.lit(False)))
-    given = lambda c: F.when(F.col("parsed") & (F.trim(c) != ""), F.trim(c))
-    out = df.withColumns({"head": given(head), "locs": given(locs), "place": given(place), "sci": given(F.translate(sci, GLUE, " "))})
-    return out.drop("_w", "_k", "_after", "_m", "_taken", "_head")
+
+    def read(k: Column, after: Column, m: Column) -> Column:
+        printed = F.array_join(F.slice(w, F.lit(1), F.greatest(k, F.lit(1))), " ")
+        taken = F.when(m > 0, F.slice(after, F.lit(1), F.greatest(m - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        sci = F.when(m > 0, F.translate(F.regexp_replace(F.array_join(_slice_from(after, m), " "), r"^['‘’]+", ""), GLUE, " "))
+        head = F.regexp_replace(F.regexp_replace(printed, rf"(?<=[{LETTER}])\.(?=[{LETTER}])", ""), rf"^[^{LETTER}]+|[^{LETTER}]+$", "")
+        marks = F.filter(taken, lambda v: v.rlike(MARKER_WORD))
+        joined = F.regexp_replace(F.array_join(F.transform(marks, lambda v: F.regexp_replace(v, r"[-~*=+]+$", "")), " "), r"[,;]+$", "")
+        locs = F.when(joined != "", F.concat(F.when(printed.rlike(r";[-~*]*$"), "; ").otherwise(", "), joined))
+        bracket = F.get(F.filter(taken, lambda v: v.rlike(BRACKET_WORD)), F.lit(0))
+        place = F.regexp_replace(F.translate(bracket, GLUE, " "), r"^\(|\)[.,;:]*$", "")
+        ok = (k > 0) & (m > 0) & F.length(printed).between(HEAD_MIN, HEAD_MAX) & (head != "") & sci.rlike(TAXON_WORD)
+        return F.struct(head.alias("head"), locs.alias("locs"), place.alias("place"), sci.alias("sci"), F.coalesce(ok, F.lit(False)).alias("parsed"))
+
+    found = let(closing, lambda k: let(_slice_from(w, k + 1), lambda after: let(_first_place(after, lambda v, i: ~goes_on(v)), lambda m: read(k, after, m))))
+    return F.when(~is_signature(w), found)
 
 
 def markers(locs: Column) -> Column:
@@ -125,14 +136,17 @@ def restore_initial(line: Column) -> Column:
     It is missed where a word of one or two letters or with marks, closed by a stop, stands before an epithet in capitals, or where
     a line set in by up to four blanks begins with one and goes on with a capital.
     """
-    w = F.split(F.trim(line), r"\s+")
-    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
-    rest = F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), " ")
-    blanks = F.length(line) - F.length(F.ltrim(line))
-    sound = (_capitals_in(first) == 1) & (F.length(first) == 2)
-    broken = F.endswith(first, F.lit(".")) & ~sound & ((_letters_in(first) <= 2) | first.rlike(rf"[^{LETTER}.]")) & ~F.startswith(first, F.lit("?"))
-    moved = blanks.between(1, 4) & (_letters_in(first) >= 4) & (_letters_in(first) == F.length(first)) & (_capitals_in(first) == F.length(first)) & second.rlike(r"^\p{Lu}[\p{Ll}.]")
-    return F.when(broken & capital_epithet(second), F.concat(F.lit("?. "), rest)).when(moved, F.concat(F.lit("?. "), F.trim(line))).otherwise(line)
+
+    def restored(w: Column) -> Column:
+        first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+        rest = F.array_join(_slice_from(w, F.lit(2)), " ")
+        blanks = F.length(line) - F.length(F.ltrim(line))
+        sound = (_capitals_in(first) == 1) & (F.length(first) == 2)
+        broken = F.endswith(first, F.lit(".")) & ~sound & ((_letters_in(first) <= 2) | first.rlike(rf"[^{LETTER}.]")) & ~F.startswith(first, F.lit("?"))
+        moved = blanks.between(1, 4) & (F.length(first) >= 4) & (_capitals_in(first) == F.length(first)) & second.rlike(r"^\p{Lu}[\p{Ll}.]")
+        return F.when(broken & capital_epithet(second), F.concat(F.lit("?. "), rest)).when(moved, F.concat(F.lit("?. "), F.trim(line))).otherwise(line)
+
+    return let(F.split(F.trim(line), r"\s+"), restored)
 
 
 HEADING_SCORE = 3
@@ -141,18 +155,22 @@ HEADING_SCORE = 3
 def heading_score(line: Column) -> Column:
     """Points for and against a dedented line opening a block: an initial, a name in capitals, a stop before a capital or a bracket; against it
     small letters, a deep indent, the commas and semicolons of native names."""
-    t = F.trim(restore_initial(line))
-    w = words_of_line(t)
-    first, second = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
     point = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
-    return (
-        point(t.rlike(r"^\p{Lu}"), 1)
-        + point(first.rlike(r"^[\p{Lu}?]\.$"), 3)
-        + point((_letters_in(first) >= 3) & (_capitals_in(first) >= 2) | capital_epithet(second), 2)
-        + point((_letters_in(first) >= 3) & F.endswith(first, F.lit(".")) & second.rlike(r"^[(\p{Lu}]"), 2)
-        - point(t.rlike(r"^\p{Ll}") | (F.length(line) - F.length(F.ltrim(line)) >= 5) | is_signature(w), 9)
-        - point(F.contains(t, F.lit(";")) & ~first.rlike(r"^[\p{Lu}?]\.$") | (F.endswith(first, F.lit(",")) & second.rlike(MARKER_WORD)), 4)
-    )
+    set_in = F.length(line) - F.length(F.ltrim(line))
+
+    def scored(t: Column, w: Column, first: Column, second: Column) -> Column:
+        initial = first.rlike(r"^[\p{Lu}?]\.$")
+        return (
+            point(t.rlike(r"^\p{Lu}"), 1)
+            + point(initial, 3)
+            + point((_letters_in(first) >= 3) & (_capitals_in(first) >= 2) | capital_epithet(second), 2)
+            + point((_letters_in(first) >= 3) & F.endswith(first, F.lit(".")) & second.rlike(r"^[(\p{Lu}]"), 2)
+            - point(t.rlike(r"^\p{Ll}") | (set_in >= 5) | is_signature(w), 9)
+            - point(F.contains(t, F.lit(";")) & ~initial | (F.endswith(first, F.lit(",")) & second.rlike(MARKER_WORD)), 4)
+        )
+
+    words = lambda t, w: let(F.get(w, F.lit(0)), lambda first: let(F.coalesce(F.get(w, F.lit(1)), F.lit("")), lambda second: scored(t, w, first, second)))
+    return let(F.trim(restore_initial(line)), lambda t: let(words_of_line(t), lambda w: words(t, w)))
 
 
 def is_heading(line: Column) -> Column:
@@ -188,17 +206,22 @@ def split_run_together(blocks: DataFrame, text: str) -> DataFrame:
 
     Words are laid into pieces one after the other; a new piece begins with such an initial once the last one is long enough. Null texts have no piece.
     """
-    w = F.split(F.trim(F.col(text)), r"\s+")
-    opens = F.transform(w, lambda v, i: v.rlike(r"^[\p{Lu}?]\.$") & F.coalesce(capital_epithet(F.get(w, i + 1)) & (_capitals_in(F.get(w, i + 1)) >= 4), F.lit(False)))
-    pairs = F.arrays_zip(w.alias("w"), opens.alias("o"))
+
+    def opens(v: Column, ahead: Column) -> Column:
+        return v.rlike(r"^[\p{Lu}?]\.$") & (_letters_in(ahead) >= 4) & (_capitals_in(ahead) >= 4)
 
     def lay(pieces: Column, p: Column) -> Column:
-        last = F.element_at(pieces, -1)
-        apart = p["o"] & (F.length(last) >= LEAST_PIECE)
-        longer = F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.when(last == "", p["w"]).otherwise(F.concat(last, F.lit(" "), p["w"]))))
-        return F.when(apart, F.concat(pieces, F.array(p["w"]))).otherwise(longer)
+        def on(last: Column) -> Column:
+            longer = F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.when(last == "", p["w"]).otherwise(F.concat(last, F.lit(" "), p["w"]))))
+            return F.when(p["o"] & (F.length(last) >= LEAST_PIECE), F.concat(pieces, F.array(p["w"]))).otherwise(longer)
 
-    pieces = F.aggregate(pairs, F.array(F.lit("")), lay)
+        return let(F.element_at(pieces, -1), on)
+
+    def laid(w: Column) -> Column:
+        flagged = F.transform(w, lambda v, i: F.struct(v.alias("w"), opens(v, F.coalesce(F.get(w, i + 1), F.lit(""))).alias("o")))
+        return F.aggregate(flagged, F.array(F.lit("")), lay)
+
+    pieces = let(F.split(F.trim(F.col(text)), r"\s+"), laid)
     return blocks.select(*[c for c in blocks.columns if c != text], F.posexplode(pieces).alias("piece", text))
 
 
@@ -212,17 +235,20 @@ def as_vernacular(segment: Column) -> Column:
 
     A bracket is its place; of what stands between commas the first is the name, of a few words of letters, and all others must be markers.
     """
-    s = F.regexp_replace(F.trim(segment), r"[.,\s]+$", "")
-    place = F.regexp_extract(s, r"\(([^()]*)\)", 1)
-    parts = F.transform(F.split(F.regexp_replace(s, r"\([^()]*\)", ""), ","), lambda x: F.trim(x))
-    name = F.get(parts, F.lit(0))
-    codes = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda d: d != "")
-    dialects = F.transform(codes, lambda d: F.regexp_replace(d, r"\.$", ""))
-    words = F.split(name, " +")
-    named = F.forall(words, lambda w: w.rlike(rf"^[{LETTER}'-]+$")) & (F.size(words) <= NAME_WORDS) & F.length(name).between(2, 41)
-    marked = F.forall(codes, lambda d: F.concat(F.regexp_replace(d, r"\.$", ""), F.lit(".")).rlike(MARKER_WORD))
-    prose = (F.size(codes) == 0) & (place == "") & F.lower(F.get(words, F.lit(0))).isin(*SENTENCE_WORDS)
-    return F.when(named & marked & ~prose, F.struct(name.alias("name"), dialects.alias("dialects"), F.when(place != "", place).alias("place")))
+
+    def read(s: Column, parts: Column) -> Column:
+        place = F.regexp_extract(s, r"\(([^()]*)\)", 1)
+        name = F.get(parts, F.lit(0))
+        codes = F.filter(_slice_from(parts, F.lit(2)), lambda d: d != "")
+        dialects = F.transform(codes, lambda d: F.regexp_replace(d, r"\.$", ""))
+        words = F.split(name, " +")
+        named = name.rlike(rf"^[{LETTER}' -]+$") & (F.size(words) <= NAME_WORDS) & F.length(name).between(2, 41)
+        marked = F.forall(dialects, lambda d: F.concat(d, F.lit(".")).rlike(MARKER_WORD))
+        prose = (F.size(codes) == 0) & (place == "") & F.lower(F.get(words, F.lit(0))).isin(*SENTENCE_WORDS)
+        return F.when(named & marked & ~prose, F.struct(name.alias("name"), dialects.alias("dialects"), F.when(place != "", place).alias("place")))
+
+    parts = lambda s: F.transform(F.split(F.regexp_replace(s, r"\([^()]*\)", ""), ","), lambda x: F.trim(x))
+    return let(F.regexp_replace(F.trim(segment), r"[.,\s]+$", ""), lambda s: let(parts(s), lambda p: read(s, p)))
 
 
 def split_notes(rest: Column) -> Column:
@@ -234,18 +260,19 @@ def split_notes(rest: Column) -> Column:
     nothing = F.array().cast("array<struct<name:string,dialects:array<string>,place:string>>")
     start = F.struct(F.lit(True).alias("open"), nothing.alias("names"), F.array().cast("array<string>").alias("prose"))
 
-    def take(state: Column, s: Column) -> Column:
-        whole = as_vernacular(s)
+    def taken(state: Column, s: Column, whole: Column, tail: Column) -> Column:
         after = F.substring_index(s, ". ", -1)
-        tail = F.when(F.contains(s, F.lit(". ")), as_vernacular(after))
         before = F.when(tail.isNotNull(), F.substring(s, F.lit(1), F.length(s) - F.length(after) - 1)).otherwise(s)
         names = F.when(state["open"] & whole.isNotNull(), F.concat(F.array(whole), state["names"])).when(state["open"] & tail.isNotNull(), F.concat(F.array(tail), state["names"])).otherwise(state["names"])
         prose = F.when(~state["open"], F.concat(F.array(s), state["prose"])).when(whole.isNull(), F.array(before)).otherwise(state["prose"])
         return F.struct((state["open"] & whole.isNotNull()).alias("open"), names.alias("names"), prose.alias("prose"))
 
-    read = F.aggregate(segments, start, take)
-    notes = F.regexp_replace(F.array_join(read["prose"], "; "), r"^[\s.;]+", "")
-    return F.struct(F.when(notes != "", notes).alias("notes"), read["names"].alias("vernaculars"))
+    def take(state: Column, s: Column) -> Column:
+        tail = F.when(state["open"] & F.contains(s, F.lit(". ")), as_vernacular(F.substring_index(s, ". ", -1)))
+        return let(F.when(state["open"], as_vernacular(s)), lambda whole: let(F.when(whole.isNull(), tail), lambda t: taken(state, s, whole, t)))
+
+    notes = lambda read: F.regexp_replace(F.array_join(read["prose"], "; "), r"^[\s.;]+", "")
+    return let(F.aggregate(segments, start, take), lambda read: F.struct(F.when(notes(read) != "", notes(read)).alias("notes"), read["names"].alias("vernaculars")))
 
 
 def family_bracket(text: Column, families: Column | None = None) -> Column:
@@ -253,8 +280,7 @@ def family_bracket(text: Column, families: Column | None = None) -> Column:
     inner = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.trim(x))
     key = lambda w: F.lower(F.regexp_replace(w, r"[\s.]+", ""))
     if families is not None:
-        listed = F.transform(families, key)
-        return F.get(F.filter(inner, lambda w: F.array_contains(listed, key(w))), F.lit(0))
+        return let(F.transform(families, key), lambda listed: F.get(F.filter(inner, lambda w: F.array_contains(listed, key(w))), F.lit(0)))
     return F.get(F.filter(inner, lambda w: (F.length(w) >= 4) & ~F.contains(w, F.lit(" ")) & key(w).rlike("(?:[ceo]e|ae|e[wx]|æ)$")), F.lit(0))
 
 
@@ -264,25 +290,30 @@ def parse_block(text: Column, families: Column | None = None) -> Column:
     The name is its first two words, a genus alone if that closes with a stop; the authority goes on to the family's bracket, else to the first word of
     two letters or more that closes with a stop; the rest follows.
     """
-    family = family_bracket(text, families)
-    at = F.when(family.isNotNull(), F.instr(text, F.concat(F.lit("("), family)))
-    w = F.filter(F.split(F.trim(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)), r"\s+"), lambda v: v != "")
-    alone = F.coalesce(F.endswith(F.get(w, F.lit(0)), F.lit(".")) & (_letters_in(F.get(w, F.lit(0))) >= 3), F.lit(False))
-    n = F.when(alone, 1).otherwise(F.least(F.size(w), F.lit(2)))
-    after = _slice_from(w, n + 1)
-    stop = _first_place(after, lambda v, i: F.endswith(v, F.lit(".")) & (_letters_in(v) >= 2))
-    # an authority is made of capitalised words and what joins them
-    prose = _first_place(after, lambda v, i: ~v.rlike(r"^\p{Lu}") & ~v.isin("&", "et", "ex", "in", "f."))
-    length = F.when(at > 0, F.size(after)).when(~alone & (stop > 0) & ((prose == 0) | (prose > stop)), stop).otherwise(0)
     stripped = lambda c: F.regexp_replace(c, r"[.,\s]+$", "")
-    authority = stripped(F.array_join(F.slice(after, F.lit(1), length), " "))
-    rest = F.when(at > 0, F.substring(text, at + F.length(family) + 2, F.length(text))).otherwise(F.array_join(_slice_from(after, length + 1), " "))
-    return F.struct(
-        stripped(F.array_join(F.slice(w, F.lit(1), n), " ")).alias("name"),
-        F.when(authority != "", authority).alias("authority"),
-        stripped(family).alias("family_raw"),
-        F.regexp_replace(F.trim(rest), r"^[.\s]+", "").alias("rest"),
-    )
+
+    def cut(family: Column, at: Column, w: Column, n: Column, after: Column, length: Column) -> Column:
+        authority = stripped(F.array_join(F.slice(after, F.lit(1), length), " "))
+        rest = F.when(at > 0, F.substring(text, at + F.length(family) + 2, F.length(text))).otherwise(F.array_join(_slice_from(after, length + 1), " "))
+        return F.struct(
+            stripped(F.array_join(F.slice(w, F.lit(1), n), " ")).alias("name"),
+            F.when(authority != "", authority).alias("authority"),
+            stripped(family).alias("family_raw"),
+            F.regexp_replace(F.trim(rest), r"^[.\s]+", "").alias("rest"),
+        )
+
+    def read(family: Column, at: Column, w: Column) -> Column:
+        alone = F.coalesce(F.endswith(F.get(w, F.lit(0)), F.lit(".")) & (_letters_in(F.get(w, F.lit(0))) >= 3), F.lit(False))
+        # an authority is made of capitalised words and what joins them
+        stop = lambda after: _first_place(after, lambda v, i: F.endswith(v, F.lit(".")) & (_letters_in(v) >= 2))
+        prose = lambda after: _first_place(after, lambda v, i: ~v.rlike(r"^\p{Lu}") & ~v.isin("&", "et", "ex", "in", "f."))
+        length = lambda after, k, q: F.when(at > 0, F.size(after)).when(~alone & (k > 0) & ((q == 0) | (q > k)), k).otherwise(0)
+        tail = lambda n, after: let(stop(after), lambda k: let(prose(after), lambda q: let(length(after, k, q), lambda z: cut(family, at, w, n, after, z))))
+        return let(F.when(alone, 1).otherwise(F.least(F.size(w), F.lit(2))), lambda n: let(_slice_from(w, n + 1), lambda after: tail(n, after)))
+
+    words = lambda at: F.filter(F.split(F.trim(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)), r"\s+"), lambda v: v != "")
+    place = lambda family: F.coalesce(F.when(family.isNotNull(), F.instr(text, F.concat(F.lit("("), family))), F.lit(0))
+    return let(family_bracket(text, families), lambda family: let(place(family), lambda at: let(words(at), lambda w: read(family, at, w))))
 
 
 def is_fragment(name: Column, family: Column, notes: Column, vernaculars: Column, corrected: Column) -> Column:
