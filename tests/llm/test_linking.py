@@ -82,4 +82,8 @@ def test_confidence(spark, part1, part2):
     labels = spark.createDataFrame([(1, 2, True), (1, 3, True), (1, 1, True), (2, None, True), (1, 2, None)], "left_seq long, right_seq long, is_match boolean")
     p1 = part1({"seq": 1, "headword": "X", "taxa": ["Bronzatia cumglarosa"]}, {"seq": 2, "headword": "X", "taxa": ["Bronzatia cumglaroza"]}, {"seq": 3, "headword": "X", "taxa": ["Bronzatia lateralis"]})
     got = {(r.part1_seq, r.part2_seq): (r.rule, round(r.confidence, 4)) for r in linking.match_with_confidence(p1, part2(*P2), labels).collect()}
-    assert got[(2, 101)] == ("near", round((1 + 9) / 11, 4)) and got[(3, 102)] == ("exact", round((0 + 9) / 12, 4))
+    assert got[(2, 101)] == ("near", round((1 + 9) / 11, 4)) and got[(3, 102)] == ("exact", round((1 + 9) / 13, 4))
+    # a refused pair of two plants speaks for its links; one labelled both ways says nothing
+    labels = spark.createDataFrame([(2, 3, False), (3, 2, False), (1, 2, True), (2, 1, False)], "left_seq long, right_seq long, is_match boolean")
+    got = {(r.part1_seq, r.part2_seq): (r.rule, round(r.confidence, 4)) for r in linking.match_with_confidence(p1, part2(*P2), labels).collect()}
+    assert got[(2, 101)] == ("near", round((1 + 9) / 11, 4)) and got[(3, 102)] == ("exact", round((1 + 9) / 11, 4))

@@ -272,8 +272,8 @@ def map_values(rows: DataFrame, reference: list[tuple[str, str | None]], resolve
 
     Only distinct values reach Python. Null values are no cases; an empty one stands for none.
     """
-    listed = [r[0] for r in reference]
-    odd = rows.where(F.col("value").isNotNull() & ~F.col("value").isin(listed)).dropDuplicates(["src_table", "seq", "pos"])
+    listed = rows.sparkSession.createDataFrame([(r[0],) for r in reference], "value string").distinct()
+    odd = rows.where(F.col("value").isNotNull()).join(listed, "value", "left_anti").dropDuplicates(["src_table", "seq", "pos"])
     known = resolve_values(odd.select("value").distinct(), reference, resolver)
     return odd.join(known, "value").select("src_table", "seq", "pos", "value", "canonical")
 

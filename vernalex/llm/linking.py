@@ -88,20 +88,20 @@ def cascade(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rule_confidence(links: DataFrame, volumes: DataFrame, labels: DataFrame, prior: float = 0.9, weight: float = 10.0) -> DataFrame:
     """(rule, n_labelled, n_right, confidence) from labelled pairs of Part I entries; volumes: plant_id, volume_id.
 
-    A link is labelled if its entry stands in a pair marked is_match with an
-    entry of the same volume (plants belong to one) linked by the `exact` rule; it is right if that entry has the same
-    plant. confidence = (n_right + weight·prior) / (n_labelled + weight), so a
+    A link is labelled by every pair, true or refused, of its entry with another one linked in the same volume (plants belong to one), by
+    whatever rule: right if a true pair has one plant, or a refused pair two. Undecided pairs, pairs with themselves and those labelled both ways
+    say nothing; repeats count once; entries with several plants are left out. confidence = (n_right + weight·prior) / (n_labelled + weight), so a
     rule without labels keeps the prior.
     """
-    true = labels.where(F.col("is_match") & (F.col("left_seq") != F.col("right_seq")))
-    pairs = true.select(F.col("left_seq").alias("a"), F.col("right_seq").alias("b"))
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    said = labels.where(F.col("is_match").isNotNull() & (F.col("left_seq") != F.col("right_seq")))
+    said = said.groupBy(F.least("left_seq", "right_seq").alias("a"), F.greatest("left_seq", "right_seq").alias("b")).agg(F.min("is_match").alias("same"), F.max("is_match").alias("_max"))
+    pairs = said.where(F.col("same") == F.col("_max")).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "same").select("p.*", "same")
     one = links.groupBy("part1_seq").agg(F.min("plant_id").alias("plant"), F.max("plant_id").alias("p2"), F.min("rule").alias("rule")).where(F.col("plant") == F.col("p2")).drop("p2")
-    one = one.join(volumes.groupBy(F.col("plant_id").alias("plant")).agg(F.first("volume_id").alias("volume")), "plant")
+    one = cut(one.join(volumes.groupBy(F.col("plant_id").alias("plant")).agg(F.first("volume_id").alias("volume")), "plant"))
     a = one.select(F.col("part1_seq").alias("a"), F.col("plant").alias("plant_a"), "rule", "volume")
-    b = one.where(F.col("rule") == "exact").select(F.col("part1_seq").alias("b"), F.col("plant").alias("plant_b"), "volume")
+    b = one.select(F.col("part1_seq").alias("b"), F.col("plant").alias("plant_b"), "volume")
     judged = pairs.join(a, "a").join(b, ["b", "volume"])
-    seen = judged.groupBy("rule").agg(F.count("*").alias("n_labelled"), F.count_if(F.col("plant_a") == F.col("plant_b")).alias("n_right"))
+    seen = judged.groupBy("rule").agg(F.count("*").alias("n_labelled"), F.count_if((F.col("plant_a") == F.col("plant_b")) == F.col("same")).alias("n_right"))
     rules = links.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
     out = rules.join(F.broadcast(seen), "rule", "left").na.fill(0, ["n_labelled", "n_right"])
     return out.withColumn("confidence", (F.col("n_right") + F.lit(weight * prior)) / (F.col("n_labelled") + F.lit(weight)))

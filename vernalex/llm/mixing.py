@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vernalex.plans.lineage import cut
+from vernalex.plans.lineage import cut, small
 from vernalex.sources.tables import read
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The public split pattern of that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Bins of the drawing order: fine near 0, where most uses are drawn, and open at the end, so that any document can be drawn.
 BINS = 4096
+# Raking ends once every goal that can be reached is met to this share of all tokens, or after so many rounds.
+TOLERANCE, MAX_ROUNDS = 0.002, 25
 MAX_SOURCES = 100_000
 NOT_GIVEN = "(none)"
 
@@ -53,28 +56,38 @@ def _rake(cells: DataFrame, by: str, goal: DataFrame) -> DataFrame:
     return cells.join(f, by, "left").withColumn("w", F.least(F.col("w") * F.coalesce("_f", F.lit(1.0)), F.col("cap"))).drop("_f")
 
 
-def fit_weights(cells: DataFrame, share: DataFrame, rounds: int = 4, fill: int = 3) -> DataFrame:
+def fit_weights(cells: DataFrame, share: DataFrame, tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens, cap) -> w, the expected uses of each document of a cell.
 
-    Rakes in turn to topic, language and source; the topic and language goals
-    are their shares of the listed text. No weight exceeds its source's
-    cap; the source goal comes last, ``fill`` times, so that what capped cells can't
-    give goes to the others of the source. Rounds are checkpointed.
-    share(source, want): tokens wanted of each source.
+    Rakes in turn to topic, language and source until no goal is missed by more than ``tolerance`` of all tokens, or until a round brings nothing more
+    (caps can make goals unreachable together); the topic and language goals are their shares of the listed text. No weight exceeds its source's
+    cap; the source goal comes last, and is filled, so that what capped cells can't give goes to the others of the source. Rounds are written
+    tables; a goal missed by less than the tolerance stays a little off, and what remains is reported by ``p7_marginals``. share(source, want): tokens wanted of each source.
     """
     total = share.agg(F.sum("want").alias("_all"))
     have = cells.agg(F.sum("tokens").alias("_have"))
-    goals = {}
+    goals = {"source": share}
     for by in ("topic", "lang"):
         goals[by] = cut(cells.groupBy(by).agg(F.sum("tokens").alias("_t")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(have)).select(by, (F.col("_t") / F.col("_have") * F.col("_all")).alias("want")))
     first = cells.groupBy("source").agg(F.sum("tokens").alias("_t")).join(share, "source").select("source", (F.col("want") / F.col("_t")).alias("w"))
     cells = cut(cells.join(F.broadcast(first), "source").withColumn("w", F.least("w", "cap")))
+    size = total.first()["_all"] or 0.0
+    last = float("inf")
     for _ in range(rounds):
-        for by, goal in (("topic", goals["topic"]), ("lang", goals["lang"]), ("source", share)):
-            cells = cut(_rake(cells, by, goal))
-    for _ in range(fill):
+        for by in ("topic", "lang", "source"):
+            cells = _rake(cells, by, goals[by])
         cells = cut(_fill(cells, share))
-    return cells
+        missed = max((_missed(cells, by, goals[by]) for by in goals), default=0.0)
+        if missed <= tolerance * size or missed > 0.98 * last:
+            break
+        last = missed
+    return cut(_fill(_fill(cells, share), share))
+
+
+def _missed(cells: DataFrame, by: str, goal: DataFrame) -> float:
+    """Tokens by which the goal that is missed most is missed."""
+    now = cells.groupBy(by).agg(F.sum(F.col("tokens") * F.col("w")).alias("_now"))
+    return now.join(goal, by).agg(F.max(F.abs(F.col("_now") - F.col("want")))).first()[0] or 0.0
 
 
 def _fill(cells: DataFrame, share: DataFrame) -> DataFrame:
@@ -113,10 +126,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     cells = cut(d.join(F.broadcast(share.select("source")), "source", "left_semi").groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.max("cap").alias("cap")))
     w = fit_weights(cells, share).select(*keys, "w")
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    docs = d.join(w, keys).withColumns({"_base": F.floor(F.col("w") + 1e-9), "_u": u})
+    # one row a cell: with a third of the documents in one cell its key must not lie in one task
+    docs = d.join(small(w), keys).withColumns({"_base": F.floor(F.col("w") + 1e-9), "_u": u})
     docs = docs.withColumn("_part", F.greatest(F.col("w") - F.col("_base"), F.lit(0.0)))
     ratio = F.when(F.col("_part") > 1e-9, F.col("_u") / F.col("_part"))
-    docs = docs.withColumn("_bin", F.when(ratio < 4, F.floor(ratio / 4 * BINS)))
+    docs = docs.withColumn("_bin", F.floor(ratio / (1 + ratio) * BINS))
     docs = cut(docs.select("doc_id", *keys, "n_tokens", "_base", "_bin"))
     # per source, the bin up to which the fractional uses are drawn, so that the sum meets the goal
     base = docs.groupBy("source").agg(F.sum(F.col("_base") * F.col("n_tokens")).alias("_fixed"))
