@@ -161,7 +161,7 @@ def test_carry_down_equals_plain_window(spark):
 
 def test_alignment():
     assert align.align(["a", "b", "c"], ["a", "c"], lambda x, y: 1.0 if x == y else 0.0) == [(0, 0), (1, None), (2, 1)]
-    assert align.ordered_similarity("abc", "abc") == 1.0 and align.ordered_similarity("", "") == 1.0 and align.ordered_similarity("", "a") == 0.0
+    assert align.ordered_similarity("abc", "abc") == 1.0 and align.ordered_similarity("", "") == 0.0 and align.ordered_similarity("BÁDI-badi", "badibadi") == 1.0 and align.ordered_similarity("TEGUMO", "TEXGUMO") == 12 / 13 and align.ordered_similarity("", "a") == 0.0
     assert align.prefix_similarity("BALAWIT, Isa. Migrenis", "BALAWIT") == 1.0
 
 

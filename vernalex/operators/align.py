@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,25 +13,36 @@ from pyspark.sql import DataFrame
 GAP = -0.4
 
 
-def ordered_similarity(a: str, b: str) -> float:
-    """Twice the letters found in order (each sought from where the last was found) over both lengths; greedy, both ways, the better."""
-    if not a or not b:
-        return 1.0 if a == b else 0.0
+@lru_cache(maxsize=1 << 16)
+def folded(text: str) -> str:
+    """Small letters and digits without accents; all else is gone."""
+    return "".join(ch for ch in unicodedata.normalize("NFKD", text.lower()) if ch.isascii() and ch.isalnum())
+
 
-    def found(s: str, t: str) -> int:
-        n = at = 0
-        for ch in s:
-            k = t.find(ch, at)
-            if k >= 0:
-                n, at = n + 1, k + 1
-        return n
+def ordered_similarity(a: str, b: str) -> float:
+    """Twice the letters met in order over both lengths, of folded texts; 0 if either has none.
 
-    return 2 * max(found(a, b), found(b, a)) / (len(a) + len(b))
+    Letter by letter from the front: equal ones count and both go; of unequal ones that of the text goes of which more is left, of ``b`` if as much.
+    """
+    left, right = list(reversed(folded(a))), list(reversed(folded(b)))
+    both = len(left) + len(right)
+    if not left or not right:
+        return 0.0
+    met = 0
+    while left and right:
+        if left[-1] == right[-1]:
+            met += 1
+            left.pop()
+            right.pop()
+        else:
+            (left if len(left) > len(right) else right).pop()
+    return 2 * met / both
 
 
 def prefix_similarity(text: str, line: str) -> float:
     """Similarity of a line to as much of the text as the line is long; symmetric below six letters."""
-    return ordered_similarity(text[: len(line)] if len(line) >= 6 else text, line)
+    s, t = folded(text), folded(line)
+    return ordered_similarity(s[: len(t)] if len(t) >= 6 else s, t)
 
 
 def align(a: list, b: list, score: Callable[[object, object], float], gap: float = GAP) -> list[tuple[int | None, int | None]]:

@@ -48,18 +48,25 @@ def orphan_cascade(direct: DataFrame, edges: DataFrame, max_rounds: int = 50) ->
     """Fixpoint over the foreign-key graph.
 
     ``direct``: (table, id) of records with an orphan reference of their own.
-    ``edges``: (table, id, parent_table, parent_id), the references that hold.
+    ``edges``: (table, id, parent_table, parent_id), the references that hold, with several targets of one reference under one ``ref``, if there is such a
+    column. A reference is orphaned if all of its targets are orphans, a record if one of its references is.
     Returns (table, id, status, depth): `direct` at depth 0, else `inherited` with
-    the length of the shortest path to a direct orphan. Cycles end, as a record is added
-    once. Each round's frontier is checkpointed.
+    the round that reached it. Cycles end, as a record is added once. Each round's frontier is a written table.
     """
+    several = "ref" in edges.columns
+    ref = ["table", "id", "ref"]
+    if several:
+        n = edges.groupBy(*ref).agg(F.count("*").alias("_n"))
     found = cut(direct.select("table", "id").distinct().withColumn("depth", F.lit(0)))
     frontier, rounds = found, [found]
     for depth in range(1, max_rounds + 1):
-        up = frontier.select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"))
-        children = edges.join(up, ["parent_table", "parent_id"], "left_semi").select("table", "id").distinct()
         known = reduce(DataFrame.unionByName, rounds).select("table", "id")
-        frontier = cut(children.join(known, ["table", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        # with several targets, earlier orphans count as well
+        up = (known if several else frontier).select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"))
+        children = edges.join(up, ["parent_table", "parent_id"], "left_semi")
+        if several:
+            children = children.groupBy(*ref).agg(F.count("*").alias("_hit")).join(n, ref).where("_hit = _n")
+        frontier = cut(children.select("table", "id").distinct().join(known, ["table", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         rounds.append(frontier)
@@ -116,20 +123,26 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
     first = judged1.where(F.col("reason").isNotNull()).select(F.lit("part1_vernacular").alias("src_table"), F.col("seq").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), month, "reason")
     second = judged2.where(F.col("reason").isNotNull()).select(F.lit("taxa_corrections").alias("src_table"), F.col("correction_id").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), month, "reason")
     direct = cut(first.unionByName(second))
-    edges = cut(standing.select(F.lit("taxa_corrections").alias("table"), F.col("correction_id").alias("id"), F.lit("part1_vernacular").alias("parent_table"), F.col("seq").alias("parent_id"), "pos", month))
-    cascade = orphan_cascade(direct.select(F.col("src_table").alias("table"), F.col("ref_id").alias("id")), edges)
+    # the references that hold: to records that stand at their time
+    stands = (F.col("recorded_at") <= F.col("at")) & (F.col("withdrawn_at").isNull() | (F.col("withdrawn_at") > F.col("at")))
+    edges = cut(standing.where(stands).select(F.lit("taxa_corrections").alias("table"), F.col("correction_id").alias("id"), F.col("pos").cast("long").alias("ref"), F.lit("part1_vernacular").alias("parent_table"), F.col("seq").alias("parent_id"), month))
+    cascade = cut(orphan_cascade(direct.select(F.col("src_table").alias("table"), F.col("ref_id").alias("id")), edges))
+    records = cascade.select(F.col("table").alias("src_table"), F.col("id").alias("ref_id"), "depth", "status")
     up = cascade.select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"), F.col("depth").alias("_up"))
     inherited = (
-        edges.join(up, ["parent_table", "parent_id"])
-        .groupBy(F.col("table").alias("src_table"), F.col("id").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), "year_month")
-        .agg((F.min("_up") + 1).alias("depth"))
-        .join(direct, ["src_table", "ref_id", "pos"], "left_anti")
+        edges.join(up, ["parent_table", "parent_id"], "left")
+        .groupBy(F.col("table").alias("src_table"), F.col("id").cast("long").alias("ref_id"), F.col("ref").alias("pos"), "year_month")
+        .agg((F.max("_up") + 1).alias("depth"), F.count_if(F.col("_up").isNull()).alias("_sound"))
+        .where("_sound = 0")
+        .drop("_sound")
         .withColumns({"reason": F.lit("inherited"), "status": F.lit("inherited")})
     )
-    return direct.withColumns({"status": F.lit("direct"), "depth": F.lit(0)}).unionByName(inherited)
+    # a direct orphan is a reference of its own of a record at depth 0
+    return direct.join(records.where("depth = 0"), ["src_table", "ref_id"]).unionByName(inherited)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
+    """The references that the cascade starts from: those that are orphans themselves, not by what they refer to."""
     found = dictionary_orphans(read(spark, sf_dir, "part1_vernacular"), read(spark, sf_dir, "part2_scientific"), read(spark, sf_dir, "taxa_corrections"))
     return found.where(F.col("status") == "direct").select("src_table", "ref_id", "pos", "year_month", "reason")
 

@@ -124,11 +124,15 @@ def probe_keys(word: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+# Each jump doubles the length of the chains that are resolved.
+MAX_JUMPS = 40
+
+
 def plants(entries: DataFrame) -> DataFrame:
     """Distinct spellings of a volume with the plant they belong to.
 
-    (volume_id, genus, epithet, plant_id): spellings of one genus within two
-    edits are one plant, whose id is the smallest seq among them.
+    (volume_id, genus, epithet, plant_id): a spelling belongs to the plant of the first printed spelling of its genus within two
+    edits, if there is an earlier one, and so on; the plant's id is the smallest seq among them.
     """
     spellings = cut(entries.where(F.col("genus").isNotNull()).groupBy("volume_id", "genus", "epithet").agg(F.min("seq").alias("_seq")))
     species = spellings.where(F.col("epithet") != "")
@@ -140,19 +144,28 @@ def plants(entries: DataFrame) -> DataFrame:
         .groupBy("volume_id", "genus", "epithet")
         .agg(F.min("_s2").alias("_s2"))
     )
-    out = spellings.join(near, ["volume_id", "genus", "epithet"], "left")
-    return cut(out.select("volume_id", "genus", "epithet", F.coalesce("_s2", "_seq").alias("plant_id")))
+    # seq is unique to a spelling, so a spelling's nearest smaller one points on until one points nowhere
+    pointers = cut(near.join(spellings, ["volume_id", "genus", "epithet"]).select(F.col("_seq").alias("seq"), F.col("_s2").alias("plant_id")))
+    for _ in range(MAX_JUMPS):
+        on = pointers.select(F.col("seq").alias("plant_id"), F.col("plant_id").alias("_on"))
+        jumped = cut(pointers.join(on, "plant_id", "left").select("seq", F.coalesce("_on", "plant_id").alias("plant_id"), F.col("_on").isNotNull().alias("_moved")))
+        pointers = jumped.select("seq", "plant_id")
+        if jumped.where("_moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"spellings still point on after {MAX_JUMPS} jumps")
+    out = spellings.join(pointers.withColumnRenamed("seq", "_seq"), "_seq", "left")
+    return cut(out.select("volume_id", "genus", "epithet", F.coalesce("plant_id", "_seq").alias("plant_id")))
 
 
 KEYS = ["volume_id", "genus", "epithet"]
 
 
 def _unique_best(cand: DataFrame, rule: str) -> DataFrame:
-    """The plant of least distance, where it is the only one at that distance."""
-    plant = F.struct("_d", "plant_id")
-    best = cand.groupBy(*KEYS).agg(F.min("_d").alias("_least"), F.collect_set(plant).alias("_c"))
-    nearest = F.filter("_c", lambda c: c["_d"] == F.col("_least"))
-    return best.where(F.size(nearest) == 1).select(*KEYS, F.get(nearest, F.lit(0))["plant_id"].alias("plant_id"), F.lit(rule).alias("rule"))
+    """The plant of least distance, where it is the only one at that distance; only the least and the greatest id at each distance are kept."""
+    each = cand.groupBy(*KEYS, "_d").agg(F.min("plant_id").alias("_lo"), F.max("plant_id").alias("_hi"))
+    best = each.groupBy(*KEYS).agg(F.min_by(F.struct("_lo", "_hi"), "_d").alias("_b"))
+    return best.where(F.col("_b._lo") == F.col("_b._hi")).select(*KEYS, F.col("_b._lo").alias("plant_id"), F.lit(rule).alias("rule"))
 
 
 def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
