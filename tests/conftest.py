@@ -64,3 +64,34 @@ def part2(spark):
 @pytest.fixture(scope="session")
 def fixes(spark):
     return lambda *rows: table(spark, FIX_SCHEMA, [{"volume_id": 1, "page": 5, "loaded_at": at(9), "recorded_at": at(6)} | r for r in rows])
+
+
+@pytest.fixture
+def size_broadcasts(monkeypatch):
+    """Plans of a result, with those of the tables written for it: the keys and kinds of joins that broadcast a side by its taken size.
+
+    Lists of repeated deliveries and the values of pages (one row a page) may do that.
+    """
+    import re
+
+    from vernalex.plans import lineage
+
+    cut, small = lineage.cut, lineage.small
+
+    def listed(make, *modules) -> set[str]:
+        plans = []
+
+        def spy(df, *by):
+            plans.append(df)
+            return cut(df, *by)
+
+        for m in (lineage, *modules):
+            monkeypatch.setattr(m, "cut", spy)
+            if hasattr(m, "small"):
+                monkeypatch.setattr(m, "small", lambda df: small(df, -1))
+        plans.append(make())
+        shown = "\n".join(df._jdf.queryExecution().executedPlan().toString() for df in plans)
+        joins = {re.sub(r"#\d+L?", "", j) for j in re.findall(r"Broadcast(?:Hash|NestedLoop)Join (.*?), Build", shown)}
+        return joins - {f"[{k}], [{k}], {kind}" for k in ("seq", "correction_id") for kind in ("LeftAnti", "LeftSemi")} - {"[volume_id, page], [volume_id, page], LeftOuter"}
+
+    return listed

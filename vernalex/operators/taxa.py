@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vernalex.functions.text import deaccent, letters_key, phonetic
 from vernalex.operators.carry import carry_down
-from vernalex.plans.lineage import cut, small
+from vernalex.plans.lineage import cut, shuffled, small
 from vernalex.sources.tables import first_deliveries
 
 # Words that stand where an epithet is not given.
@@ -139,22 +139,22 @@ def plants(entries: DataFrame) -> DataFrame:
     k = species.select("volume_id", "genus", "epithet", "_seq", F.explode(probe_keys(F.col("epithet"))).alias("_v"))
     other = species.select("volume_id", "genus", F.col("epithet").alias("_e2"), F.col("_seq").alias("_s2"), F.explode(segment_keys(F.col("epithet"))).alias("_v"))
     near = (
-        k.join(other, ["volume_id", "genus", "_v"])
+        k.join(shuffled(other), ["volume_id", "genus", "_v"])
         .where((F.col("_s2") < F.col("_seq")) & F.expr("levenshtein(epithet, _e2, 2) >= 0"))
         .groupBy("volume_id", "genus", "epithet")
         .agg(F.min("_s2").alias("_s2"))
     )
     # seq is unique to a spelling, so a spelling's nearest smaller one points on until one points nowhere
-    pointers = cut(near.join(spellings, ["volume_id", "genus", "epithet"]).select(F.col("_seq").alias("seq"), F.col("_s2").alias("plant_id")))
+    pointers = cut(near.join(shuffled(spellings), ["volume_id", "genus", "epithet"]).select(F.col("_seq").alias("seq"), F.col("_s2").alias("plant_id")))
     for _ in range(MAX_JUMPS):
         on = pointers.select(F.col("seq").alias("plant_id"), F.col("plant_id").alias("_on"))
-        jumped = cut(pointers.join(on, "plant_id", "left").select("seq", F.coalesce("_on", "plant_id").alias("plant_id"), F.col("_on").isNotNull().alias("_moved")))
+        jumped = cut(pointers.join(shuffled(on), "plant_id", "left").select("seq", F.coalesce("_on", "plant_id").alias("plant_id"), F.col("_on").isNotNull().alias("_moved")))
         pointers = jumped.select("seq", "plant_id")
         if jumped.where("_moved").isEmpty():
             break
     else:
         raise RuntimeError(f"spellings still point on after {MAX_JUMPS} jumps")
-    out = spellings.join(pointers.withColumnRenamed("seq", "_seq"), "_seq", "left")
+    out = spellings.join(shuffled(pointers.withColumnRenamed("seq", "_seq")), "_seq", "left")
     return cut(out.select("volume_id", "genus", "epithet", F.coalesce("plant_id", "_seq").alias("plant_id")))
 
 
@@ -179,9 +179,9 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     one genus with an own entry. What is left is unmatched. A genus spelled exactly as one of the volume is never taken for another.
     """
     names = cut(names.select(*KEYS).distinct())
-    exact = names.join(plant_table, KEYS).select(*KEYS, "plant_id", F.lit("exact").alias("rule"))
+    exact = names.join(shuffled(plant_table), KEYS).select(*KEYS, "plant_id", F.lit("exact").alias("rule"))
     known = plant_table.select("volume_id", "genus").distinct().withColumn("_known", F.lit(True))
-    rest = names.join(plant_table.select(*KEYS), KEYS, "left_anti").join(known, ["volume_id", "genus"], "left")
+    rest = names.join(shuffled(plant_table.select(*KEYS)), KEYS, "left_anti").join(shuffled(known), ["volume_id", "genus"], "left")
     rest = cut(rest.withColumn("_known", F.coalesce("_known", F.lit(False))))
     probes = F.explode(probe_keys(F.col("epithet"))).alias("_v")
     parts = F.explode(segment_keys(F.col("epithet"))).alias("_v")
@@ -189,15 +189,15 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
     species = plant_table.where(F.col("epithet") != "")
 
     a = full.where("_known").select(*KEYS, probes)
-    p = species.join(rest.where("_known and epithet <> ''").select("volume_id", "genus").distinct(), ["volume_id", "genus"], "left_semi")
+    p = species.join(shuffled(rest.where("_known and epithet <> ''").select("volume_id", "genus").distinct()), ["volume_id", "genus"], "left_semi")
     p = p.select("volume_id", "genus", F.col("epithet").alias("_e"), "plant_id", parts)
-    near1 = _unique_best(a.join(p, ["volume_id", "genus", "_v"]).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)")).where("_d >= 0"), "near")
+    near1 = _unique_best(a.join(shuffled(p), ["volume_id", "genus", "_v"]).withColumn("_d", F.expr("levenshtein(epithet, _e, 2)")).where("_d >= 0"), "near")
 
     strange = full.where("not _known and length(genus) > 1").select(*KEYS)
-    b = strange.join(species.withColumnRenamed("genus", "_g"), ["volume_id", "epithet"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)")).where("_d >= 0")
+    b = strange.join(shuffled(species.withColumnRenamed("genus", "_g")), ["volume_id", "epithet"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)")).where("_d >= 0")
     near2 = cut(_unique_best(b, "near"))
 
-    left = small(strange.join(near2.select(*KEYS), KEYS, "left_anti").select(*KEYS, probes))
+    left = small(strange.join(shuffled(near2.select(*KEYS)), KEYS, "left_anti").select(*KEYS, probes))
     every = species.select("volume_id", F.col("genus").alias("_g"), F.col("epithet").alias("_e"), "plant_id", parts)
     both = every.join(left, ["volume_id", "_v"]).withColumn("_d1", F.expr("levenshtein(genus, _g, 2)")).where("_d1 >= 0")
     both = both.withColumn("_d2", F.expr("levenshtein(epithet, _e, 2)")).where("_d2 >= 0 and _d1 + _d2 <= 3").withColumn("_d", F.expr("_d1 + _d2"))
@@ -209,7 +209,7 @@ def resolve_names(names: DataFrame, plant_table: DataFrame) -> DataFrame:
 
     alone = rest.where("epithet = '' and length(genus) > 1 and not _known").select(*KEYS, F.explode(probe_keys(F.col("genus"))).alias("_v"))
     heads = plant_table.where("epithet = ''").select("volume_id", F.col("genus").alias("_g"), "plant_id", F.explode(segment_keys(F.col("genus"))).alias("_v"))
-    g = alone.join(heads, ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
+    g = alone.join(shuffled(heads), ["volume_id", "_v"]).withColumn("_d", F.expr("levenshtein(genus, _g, 2)"))
     genus_near = _unique_best(g.where("_d >= 0"), "genus-near")
     passes = (exact, near1, near2, near3, initial, genus_near)
     return cut(reduce(DataFrame.unionByName, passes))
