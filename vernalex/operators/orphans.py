@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vernalex.functions.text import deaccent
 from vernalex.operators.taxa import citations, plants, resolve_names, scientific_entries
-from vernalex.plans.lineage import cut
+from vernalex.plans.lineage import cut, shuffled
 from vernalex.sources.tables import first_deliveries, read
 
 
@@ -26,7 +26,7 @@ def judge_references(refs: DataFrame, targets: DataFrame, key: list[str], ref: l
     stands = (F.col("recorded_at") <= F.col("at")) & (F.col("withdrawn_at").isNull() | (F.col("withdrawn_at") > F.col("at")))
     t = targets.withColumn("_there", F.lit(1))
     agg = (
-        refs.join(t, key, "left")
+        refs.join(shuffled(t), key, "left")
         .groupBy(*ref)
         .agg(
             F.first("at").alias("at"),
@@ -63,10 +63,10 @@ def orphan_cascade(direct: DataFrame, edges: DataFrame, max_rounds: int = 50) ->
         known = reduce(DataFrame.unionByName, rounds).select("table", "id")
         # with several targets, earlier orphans count as well
         up = (known if several else frontier).select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"))
-        children = edges.join(up, ["parent_table", "parent_id"], "left_semi")
+        children = edges.join(shuffled(up), ["parent_table", "parent_id"], "left_semi")
         if several:
-            children = children.groupBy(*ref).agg(F.count("*").alias("_hit")).join(n, ref).where("_hit = _n")
-        frontier = cut(children.select("table", "id").distinct().join(known, ["table", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+            children = children.groupBy(*ref).agg(F.count("*").alias("_hit")).join(shuffled(n), ref).where("_hit = _n")
+        frontier = cut(children.select("table", "id").distinct().join(shuffled(known), ["table", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         rounds.append(frontier)
@@ -90,8 +90,8 @@ def plant_references(part1: DataFrame, part2: DataFrame) -> tuple[DataFrame, Dat
     refs = c.where(F.col("kind").isin("full", "genus")).drop("kind")
     spelled = plants(entries)
     resolved = resolve_names(refs, spelled)
-    of_plant = entries.join(spelled, ["volume_id", "genus", "epithet"]).select("plant_id", "recorded_at", "withdrawn_at")
-    targets = resolved.join(of_plant, "plant_id").select("volume_id", "genus", "epithet", "recorded_at", "withdrawn_at")
+    of_plant = entries.join(shuffled(spelled), ["volume_id", "genus", "epithet"]).select("plant_id", "recorded_at", "withdrawn_at")
+    targets = resolved.join(shuffled(of_plant), "plant_id").select("volume_id", "genus", "epithet", "recorded_at", "withdrawn_at")
     return refs, targets
 
 
@@ -117,7 +117,7 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
     judged1 = judge_references(refs1, targets1, ["volume_id", "genus", "epithet"], ["seq", "pos"])
     refs2, targets2 = correction_references(corrections, part1)
     refs2 = cut(refs2)
-    standing = cut(refs2.join(targets2, ["volume_id", "page", "head", "cited"]).select("correction_id", "pos", "at", "seq", "recorded_at", "withdrawn_at"))
+    standing = cut(refs2.join(shuffled(targets2), ["volume_id", "page", "head", "cited"]).select("correction_id", "pos", "at", "seq", "recorded_at", "withdrawn_at"))
     judged2 = judge_references(refs2, standing.drop("at"), ["correction_id", "pos"], ["correction_id", "pos"])
     month = F.date_format("at", "yyyy-MM").alias("year_month")
     first = judged1.where(F.col("reason").isNotNull()).select(F.lit("part1_vernacular").alias("src_table"), F.col("seq").cast("long").alias("ref_id"), F.col("pos").cast("long").alias("pos"), month, "reason")
@@ -130,7 +130,7 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
     records = cascade.select(F.col("table").alias("src_table"), F.col("id").alias("ref_id"), "depth", "status")
     up = cascade.select(F.col("table").alias("parent_table"), F.col("id").alias("parent_id"), F.col("depth").alias("_up"))
     inherited = (
-        edges.join(up, ["parent_table", "parent_id"], "left")
+        edges.join(shuffled(up), ["parent_table", "parent_id"], "left")
         .groupBy(F.col("table").alias("src_table"), F.col("id").cast("long").alias("ref_id"), F.col("ref").alias("pos"), "year_month")
         .agg((F.max("_up") + 1).alias("depth"), F.count_if(F.col("_up").isNull()).alias("_sound"))
         .where("_sound = 0")
@@ -138,7 +138,7 @@ def dictionary_orphans(part1: DataFrame, part2: DataFrame, corrections: DataFram
         .withColumns({"reason": F.lit("inherited"), "status": F.lit("inherited")})
     )
     # a direct orphan is a reference of its own of a record at depth 0
-    return direct.join(records.where("depth = 0"), ["src_table", "ref_id"]).unionByName(inherited)
+    return direct.join(shuffled(records.where("depth = 0")), ["src_table", "ref_id"]).unionByName(inherited)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
