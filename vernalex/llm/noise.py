@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vernalex.functions.text import deaccent
-from vernalex.plans.lineage import cut
+from vernalex.plans.lineage import cut, small
 from vernalex.sources.tables import first_deliveries, read
 
 # Pages on which a heading stands at least, and edits between two readings of it.
@@ -165,13 +165,15 @@ def compound_kept(body: Column, own: Column) -> Column:
 
 # A mark or digit within, at the start or at the end of a word.
 MARKED = rf"\p{{L}}{MARK}|{MARK}\p{{L}}|\p{{L}}\d|\d\p{{L}}|\p{{L}}\(\)|\(\)\p{{L}}|\p{{L}}!\p{{L}}|(?<![\p{{L}}!])!\p{{L}}|\p{{L}}[.,;:]\p{{Ll}}\p{{Ll}}"
+# What every text with such a mark or digit holds; one look at each letter tells most texts that have none.
+MAYBE_MARKED = rf"{MARK[:-1]}\d!]|\(\)|[.,;:]\p{{Ll}}\p{{Ll}}"
 
 
 def marked(text: Column) -> Column:
     """A mark or digit stands within, at the start or at the end of a word; marks of omission and ordinals are none."""
     t = F.regexp_replace(text, OMISSION, " ")
     t = F.regexp_replace(t, r"(?<![\p{L}\d])\d+(?:st|nd|rd|th)(?![\p{L}\d])", " ")
-    return text.rlike(MARKED) & t.rlike(MARKED)
+    return text.rlike(MAYBE_MARKED) & text.rlike(MARKED) & t.rlike(MARKED)
 
 
 def marked_head(head: Column) -> Column:
@@ -291,28 +293,38 @@ def _letter_words(text: Column) -> Column:
 
 
 def rejoined_notes(p2: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Notes with ``whole`` (broken words joined as the corpus writes them) and ``lost`` (a line end was lost), their words and counts of these.
+    """Notes with ``whole`` (broken words joined as the corpus writes them), ``broken`` (a word was) and ``lost`` (a line end was lost), their words and counts of these.
 
     Each break is decided by the notes that hold the word unbroken: with its hyphen if more have it so than joined, else joined. A hyphened word
     within a line is joined (its line end being lost) if RATIO times as many notes have it as one word. Words: (seq, word), of letters only;
-    counts: (word, n).
+    counts: (word, n). The notes are searched once, for breaks, words and hyphened words alike, and these are written with them.
     """
-    p2 = cut(p2)
-    text = F.lower(torn(F.col("body")))
-    solid = F.regexp_replace(text, rf"[\p{{L}}\-]*{TORN}[\p{{L}}\-{TORN}]*", " ")
-    words = p2.select("seq", F.explode(_letter_words(solid)).alias("word"))
+    p2 = p2.withColumn("_torn", torn(F.col("body")))
+    p2 = p2.withColumn("_text", F.lower("_torn"))
+    has_torn = F.contains("_text", F.lit(TORN))
+    # the patterns try every end of a word, so only texts with a break are searched for one
+    p2 = p2.withColumn("_solid", F.when(has_torn, F.regexp_replace("_text", rf"[\p{{L}}\-]*{TORN}[\p{{L}}\-{TORN}]*", " ")).otherwise(F.col("_text")))
+    pairs = F.when(has_torn, F.regexp_extract_all("_text", F.lit(rf"(\p{{L}}+{TORN}\p{{L}}+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    broken_forms = F.transform(F.array_distinct(pairs), lambda c: F.struct(F.replace(c, F.lit(TORN), F.lit("-")).alias("c"), F.lit(True).alias("torn")))
+    compounds = F.transform(F.array_distinct(F.regexp_extract_all("_solid", F.lit(r"(?<![\p{L}\-])(\p{L}+-\p{L}+)(?![\p{L}\-])"), F.lit(1))), lambda c: F.struct(c.alias("c"), F.lit(False).alias("torn")))
+    p2 = p2.withColumns({
+        "_words": _letter_words(F.col("_solid")),
+        "_forms": F.when(F.col("body").rlike(rf"[{HYPHEN}]"), F.concat(broken_forms, compounds)),
+        "_torn": F.when(F.col("_torn") != F.col("body"), F.col("_torn")),
+    })
+    p2 = cut(p2.drop("_text", "_solid"))
+    words = p2.select("seq", F.explode("_words").alias("word"))
     counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
-    broken_forms = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(\p{{L}}+{TORN}\p{{L}}+)"), F.lit(1))), lambda c: F.struct(F.replace(c, F.lit(TORN), F.lit("-")).alias("c"), F.lit(True).alias("torn")))
-    compounds = F.transform(F.array_distinct(F.regexp_extract_all(solid, F.lit(r"(?<![\p{L}\-])(\p{L}+-\p{L}+)(?![\p{L}\-])"), F.lit(1))), lambda c: F.struct(c.alias("c"), F.lit(False).alias("torn")))
-    hyphened = p2.where(F.col("body").rlike(rf"[{HYPHEN}]"))
-    forms = cut(hyphened.select("seq", F.explode(F.concat(broken_forms, compounds)).alias("f")).select("seq", "f.*"))
+    forms = p2.select("seq", F.explode("_forms").alias("f")).select("seq", "f.*")
     often = forms.groupBy("c").agg(F.count_if(~F.col("torn")).alias("n_c"), F.max("torn").alias("_any")).withColumn("word", F.replace("c", F.lit("-"), F.lit("")))
     n, n_c = F.coalesce("n", F.lit(0)), F.col("n_c")
     judged = often.join(counts, "word", "left").select("c", (F.col("_any") & (n_c > n)).alias("keep"), ((n_c > 0) & (n >= n_c * RATIO)).alias("join"))
     judged = judged.where(F.col("keep") | F.col("join"))
     changed = forms.join(judged, "c").where(F.when(F.col("torn"), F.col("keep")).otherwise(F.col("join")))
     changed = changed.groupBy("seq").agg(F.collect_list(F.struct("c", "torn")).alias("_changes"))
-    p2 = p2.join(changed, "seq", "left")
+    # only notes with a hyphen take part in the join
+    few = p2.where(F.col("_forms").isNotNull()).join(changed, "seq", "left")
+    p2 = few.unionByName(p2.where(F.col("_forms").isNull()).withColumn("_changes", F.lit(None).cast(few.schema["_changes"].dataType)))
 
     def change(t: Column, f: Column) -> Column:
         a, b = F.substring_index(f["c"], "-", 1), F.substring_index(f["c"], "-", -1)
@@ -320,14 +332,14 @@ def rejoined_notes(p2: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         joined = F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\-])("), a, F.lit(")-("), b, F.lit(r")(?![\p{L}\-])")), F.lit("$1$2"))
         return F.when(f["torn"], kept).otherwise(joined)
 
-    marked_breaks = torn(F.col("body"))
+    marked_breaks = F.coalesce("_torn", "body")
     decided = F.when(F.col("_changes").isNull(), marked_breaks).otherwise(F.aggregate("_changes", marked_breaks, change))
-    p2 = p2.withColumns({"whole": F.replace(decided, F.lit(TORN), F.lit("")), "lost": F.coalesce(F.exists("_changes", lambda f: ~f["torn"]), F.lit(False))}).drop("_changes")
-    p2 = cut(p2)
+    p2 = p2.withColumns({"whole": F.replace(decided, F.lit(TORN), F.lit("")), "broken": F.col("_torn").isNotNull(), "lost": F.coalesce(F.exists("_changes", lambda f: ~f["torn"]), F.lit(False))})
     # words that stand only in what was rejoined
-    more = p2.where(broken(F.col("body")) | F.col("lost")).select("seq", F.explode(F.array_except(_letter_words(F.col("whole")), _letter_words(solid))).alias("word"))
+    p2 = cut(p2.withColumn("_more", F.when(F.col("broken") | F.col("lost"), F.array_except(_letter_words(F.col("whole")), F.col("_words")))).drop("_torn", "_words", "_forms", "_changes"))
+    more = p2.select("seq", F.explode("_more").alias("word"))
     all_counts = counts.unionByName(more.groupBy("word").agg(F.count("*").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
-    return p2, words.unionByName(more), all_counts
+    return p2.drop("_more"), words.unionByName(more), all_counts
 
 
 def note_words(p2: DataFrame) -> DataFrame:
@@ -344,9 +356,8 @@ def damage(part1: DataFrame, part2: DataFrame) -> DataFrame:
     entries = entry_damage(p1).select(F.lit("part1_vernacular").alias("src_table"), "seq", "field_name", "kind")
     # words of letters only; what a mark splits is damaged anyway
     p2, words, counts = rejoined_notes(p2)
-    wrong = misread_words(counts.where(F.length("word") > 0), marks=False).select("word")
-    body = F.col("body")
-    sure = p2.select("seq", F.explode(F.array_compact(F.array(F.when(F.col("furniture"), F.lit("furniture")), F.when(broken(body) | F.col("lost"), F.lit("hyphen")), F.when(marked(F.col("whole")), F.lit("chars"))))).alias("kind"))
+    wrong = small(misread_words(counts.where(F.length("word") > 0), marks=False).select("word"))
+    sure = p2.select("seq", F.explode(F.array_compact(F.array(F.when(F.col("furniture"), F.lit("furniture")), F.when(F.col("broken") | F.col("lost"), F.lit("hyphen")), F.when(marked(F.col("whole")), F.lit("chars"))))).alias("kind"))
     read_wrong = words.join(wrong, "word", "left_semi").select("seq", F.lit("chars").alias("kind"))
     notes = sure.unionByName(read_wrong).distinct()
     notes = notes.select(F.lit("part2_scientific").alias("src_table"), "seq", F.lit("notes").alias("field_name"), "kind")
